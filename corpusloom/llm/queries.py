@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, mixing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_mixing": mixing.op2_mixing,
 }
 
 #: Where SQL can express the whole result.
