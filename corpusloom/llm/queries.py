@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, mixing, simhash
+from . import langid, line_dedup, mixing, quality, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op5_quality": quality.op5_quality,
     "op9_language_id": langid.op9_language_id,
     "op10_simhash": simhash.op10_simhash,
 }
