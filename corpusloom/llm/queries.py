@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, mixing, quality, simhash
+from . import langid, line_dedup, mixing, quality, secret_scan, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op5_quality": quality.op5_quality,
+    "op7_secret_scan": secret_scan.op7_secret_scan,
     "op9_language_id": langid.op9_language_id,
     "op10_simhash": simhash.op10_simhash,
 }
