@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import string
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +52,17 @@ def unit_interval(*cols: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def map_texts(docs: DataFrame, make: Callable[[list[str | None]], dict[str, Any]], schema: str) -> DataFrame:
+    """``doc_id`` as it is, beside what ``make`` says of each batch's texts: columns of ``schema``, in its order.
+
+    Arrow batches, so that null and large ids survive; ``make`` is given plain strings and None.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = make(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, made.values())], names=["doc_id", *made])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import map_texts, read
 
 #: Documents a language in the training sample, and of those the landmarks.
 PER_LANG, LANDMARKS = 400, 32
@@ -121,19 +121,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs``' ``doc_id`` with ``lang_pred`` and ``score``, from the text alone."""
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = kept.value
-        for b in batches:
-            pred, score = np.full(len(b), UNDETERMINED, object), np.zeros(len(b))
-            good = [i for i, t in enumerate(b["text"]) if has_letter(t)] if model else []
-            for k in range(0, len(good), BATCH):
-                part = good[k : k + BATCH]
-                s = model.scores([presence(b["text"].iat[i]) for i in part])
-                pred[part] = [model.langs[j] for j in s.argmax(axis=1)]
-                score[part] = s.max(axis=1)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": pred, "score": score})
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    def make(texts: list[str | None]) -> dict[str, list]:
+        model, pred, score = kept.value, [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        good = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
+        for k in range(0, len(good), BATCH):
+            part = good[k : k + BATCH]
+            for i, s in zip(part, model.scores([presence(texts[i]) for i in part]).astype(float), strict=True):
+                pred[i], score[i] = model.langs[s.argmax()], min(1.0, s.max())
+        return {"lang_pred": pred, "score": score}
+
+    return map_texts(docs, make, "lang_pred string, score double")
 
 
 def held_out():

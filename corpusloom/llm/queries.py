@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, mixing, quality, secret_scan, simhash
+from . import langid, line_dedup, mixing, quality, secret_scan, simhash, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op5_quality": quality.op5_quality,
+    "op6_warc": warc.op6_warc,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op9_language_id": langid.op9_language_id,
     "op10_simhash": simhash.op10_simhash,
@@ -16,4 +17,5 @@ QUERIES = {
 #: Where SQL can express the whole result.
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op6_warc": warc.ORACLE_SQL,
 }

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, read
+from .common import map_texts, materialize, partitions, read
 from .components import connected_components
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
@@ -58,12 +58,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp)``; fp is the fingerprint as a signed long."""
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+    def make(texts: list[str | None]) -> dict[str, np.ndarray]:
+        return {"fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)}
 
-    return docs.select("doc_id", "text").mapInPandas(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_texts(docs, make, "fp long")
 
 
 def choices(n: int, budget: int = BUDGET) -> list[tuple[list[tuple[int, int]], tuple[int, ...]]]:
