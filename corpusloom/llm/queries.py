@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, mixing, quality, secret_scan, simhash, warc
+from . import langid, line_dedup, media, mixing, quality, secret_scan, simhash, token_counts, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op4_media_columns": media.op4_media_columns,
     "op5_quality": quality.op5_quality,
     "op6_warc": warc.op6_warc,
     "op7_secret_scan": secret_scan.op7_secret_scan,
