@@ -20,10 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, read
+from .common import map_texts, materialize, read, unit_interval
 
 #: Documents a language in the training sample, and of those the landmarks.
-PER_LANG, LANDMARKS = 400, 32
+PER_LANG, LANDMARKS, SURPLUS = 400, 32, 8
 #: N-grams fall in so many buckets; each length has its own.
 BUCKETS, LENGTHS = 1 << 18, (1, 2, 3)
 RIDGE, BATCH, PIECE = 1e-3, 64, 1 << 20
@@ -102,11 +102,16 @@ def fit(sets: list[np.ndarray], langs: list[str], per_lang: int = LANDMARKS, rid
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """Learns from rows of ``docs`` with a language, text and letters; None if there are none.
 
-    The sample is found by doc_id and lang alone; it is bounded by ``per_lang`` times the number of languages.
+    The sample is found by doc_id and lang alone. A language's share of rows by hash is cut to SURPLUS times the
+    sample before rows are ranked, so that no task ranks more. It is bounded by ``per_lang`` times the number of
+    languages; as a written table its size is known, and Spark broadcasts it only below its threshold.
     """
+    ids = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang")
+    rate = SURPLUS * per_lang / F.col("count")
+    ids = ids.join(materialize(ids.groupBy("lang").count(), "langid_counts"), "lang").where(unit_interval(F.col("doc_id").cast("string")) < rate)
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang)
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(materialize(ids.select("doc_id", "lang").distinct(), "langid_sample"), ["doc_id", "lang"])
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
