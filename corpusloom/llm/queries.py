@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, media, mixing, quality, secret_scan, simhash, token_counts, warc
+from . import langid, line_dedup, media, mixing, packing, quality, secret_scan, simhash, token_counts, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_warc": warc.op6_warc,
     "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_language_id": langid.op9_language_id,
     "op10_simhash": simhash.op10_simhash,
 }
