@@ -54,8 +54,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_texts(docs: DataFrame, make: Callable[[list[str | None]], dict[str, Any]], schema: str) -> DataFrame:
-    """``doc_id`` as it is, beside what ``make`` says of each batch's texts: columns of ``schema``, in its order.
+def map_texts(docs: DataFrame, make: Callable[[list[str | None]], dict[str, Any]], schema: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` as they are, beside what ``make`` says of each batch's texts: columns of ``schema``, in its order.
 
     Arrow batches, so that null and large ids survive; ``make`` is given plain strings and None.
     """
@@ -63,6 +63,7 @@ def map_texts(docs: DataFrame, make: Callable[[list[str | None]], dict[str, Any]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = make(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, made.values())], names=["doc_id", *made])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *map(pa.array, made.values())], names=[*keep, *made])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{kinds}, {schema}")

@@ -29,7 +29,8 @@ BUCKETS, LENGTHS = 1 << 18, (1, 2, 3)
 RIDGE, BATCH, PIECE = 1e-3, 64, 1 << 20
 #: Two scores' difference counts so much in the softmax that gives the reported score.
 SHARPNESS = 6.0
-UNDETERMINED = "und"
+#: Documents below this score are rejected by ``identified``; four equal odds would be 0.25.
+UNDETERMINED, MIN_SCORE = "und", 0.4
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -122,8 +123,8 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     return fit([np.asarray(x, np.int64) for x in got["found"]], got["lang"].tolist())
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs``' ``doc_id`` with ``lang_pred`` and ``score``, from the text alone."""
+def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``docs``' columns ``keep`` with ``lang_pred`` and ``score``, from the text alone."""
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(texts: list[str | None]) -> dict[str, list]:
@@ -135,7 +136,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 pred[i], score[i] = model.langs[s.argmax()], min(1.0, s.max())
         return {"lang_pred": pred, "score": score}
 
-    return map_texts(docs, make, "lang_pred string, score double")
+    return map_texts(docs, make, "lang_pred string, score double", keep)
 
 
 def held_out():
@@ -154,5 +155,15 @@ def language_id(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def identified(docs: DataFrame, min_score: float = MIN_SCORE, per_lang: int = PER_LANG) -> DataFrame:
+    """The rows of ``docs`` whose language is determined with ``min_score`` at least; their columns are as they were.
+
+    With a clash of names (``lang_pred``, ``score``) the rows' own columns hold.
+    """
+    plain = docs.toDF(*(f"_{i}" if c not in ("text",) else c for i, c in enumerate(docs.columns)))
+    found = predict(plain, train(docs.where(~held_out()), per_lang), tuple(plain.columns))
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*plain.columns).toDF(*docs.columns)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents"))

@@ -55,13 +55,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)``; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ``fp``, the fingerprint as a signed long."""
 
     def make(texts: list[str | None]) -> dict[str, np.ndarray]:
         return {"fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)}
 
-    return map_texts(docs, make, "fp long")
+    return map_texts(docs, make, "fp long", keep)
 
 
 def choices(n: int, budget: int = BUDGET) -> list[tuple[list[tuple[int, int]], tuple[int, ...]]]:
@@ -244,12 +244,15 @@ def restore(moved: np.ndarray, spans: list[tuple[int, int]], keep: tuple[int, ..
 
 
 def components(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """``(fp, component_id)`` of all classes of ``prints`` (``doc_id``, ``fp``): the smallest doc_id reachable."""
+    """``(fp, component, component_id)`` of all classes of ``prints`` (``doc_id``, ``fp``).
+
+    ``component`` is the component's smallest fingerprint as a long, ``component_id`` its smallest doc_id.
+    """
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash_classes")
     stars = connected_components(links(classes, classes.count(), budget))
     joined = classes.join(stars, classes["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    return joined.join(least, "component").select("fp", "component_id")
+    return joined.join(least, "component").select("fp", "component", "component_id")
 
 
 def simhash_components(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -264,5 +267,20 @@ def simhash_components(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     return prints.join(of, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_deduplicated(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """One row of ``docs`` for each component, with its columns as they were: that of the smallest doc_id (null last).
+
+    Of rows that share that doc_id, the one with the smallest fingerprint stays, and one of those that share both.
+    """
+    plain = docs.toDF(*(f"_{i}" if c not in ("doc_id", "text") else c for i, c in enumerate(docs.columns)))
+    prints = materialize(fingerprints(plain, tuple(plain.columns)), "simhash_rows")
+    ids = prints.select("doc_id", "fp")
+    of = components(ids, budget).withColumnRenamed("fp", "_fp")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp"))
+    stay = ids.distinct().join(of, F.col("fp") == F.col("_fp")).groupBy("component").agg(first.alias("x")).select(F.col("x.doc_id").alias("_doc"), F.col("x.fp").alias("_fp"))
+    kept = prints.join(stay, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("fp") == F.col("_fp")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "fp"]).select(*plain.columns).toDF(*docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
