@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
@@ -31,18 +32,23 @@ def strip_suffixes(word: Column, suffixes: list[tuple] | None = None) -> Column:
     none = F.array().cast("array<string>")
     state = F.struct(word.alias("root"), none.alias("ids"), none.alias("forms"))
     for group in suffix_groups(suffixes):
-        state = T.let(state, lambda s, g=group: _strip_one(s, g))
+        state = T.let(state, _strip_one(group))
     return state
 
 
-def _strip_one(s: Column, group: list[tuple]) -> Column:
-    out, n = None, F.char_length(s["root"])
-    for sid, form, *_ in group:
-        k = len(form)
-        fits = (n >= max(3, k + 2)) & s["root"].endswith(F.lit(form))
-        stripped = F.struct(F.left(s["root"], n - k).alias("root"), F.array_prepend(s["ids"], F.lit(sid)).alias("ids"), F.array_prepend(s["forms"], F.lit(form)).alias("forms"))
-        out = F.when(fits, stripped) if out is None else out.when(fits, stripped)
-    return out.otherwise(F.struct(s["root"].alias("root"), s["ids"].alias("ids"), s["forms"].alias("forms")))
+def _strip_one(group: list[tuple]) -> Callable[[Column], Column]:
+    """Strips the first of a group's suffixes that fits, from a state."""
+
+    def strip(s: Column) -> Column:
+        out, n = None, F.char_length(s["root"])
+        for sid, form, *_ in group:
+            k = len(form)
+            fits = (n >= max(3, k + 2)) & s["root"].endswith(F.lit(form))
+            stripped = F.struct(F.left(s["root"], n - k).alias("root"), F.array_prepend(s["ids"], F.lit(sid)).alias("ids"), F.array_prepend(s["forms"], F.lit(form)).alias("forms"))
+            out = F.when(fits, stripped) if out is None else out.when(fits, stripped)
+        return out.otherwise(F.struct(s["root"].alias("root"), s["ids"].alias("ids"), s["forms"].alias("forms")))
+
+    return strip
 
 
 def attached_to(kind: str, suffixes: list[tuple] | None = None) -> list[str]:
