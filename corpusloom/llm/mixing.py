@@ -135,8 +135,8 @@ def plan(meta: DataFrame, shards: int = SHARDS, seed: int = SEED, docs_per_block
     shift = F.pmod(F.xxhash64(F.lit(seed), F.lit("shift"), "source"), F.col("blocks"))
     placed = meta.join(by, F.col("_source").eqNullSafe(F.col("source"))).drop("_source").withColumn("at", F.pmod(block * F.lit(PRIME) + shift, F.col("blocks")))
 
-    # running sums of words over the permuted blocks, by blocks of blocks
-    sums = placed.groupBy("rank", "rest", F.floor(F.col("at") / SUPER).alias("sup"), "at").agg(F.sum("size").alias("size"))
+    # running sums of words over the permuted blocks, by blocks of blocks; sources at their limit need none
+    sums = placed.where(F.col("passes") < MAX_REPEATS).groupBy("rank", "rest", F.floor(F.col("at") / SUPER).alias("sup"), "at").agg(F.sum("size").alias("size"))
     tops = sums.groupBy("rank", "sup").agg(F.sum("size").alias("top"))
     upto = F.coalesce(F.sum("top").over(Window.partitionBy("rank").orderBy("sup").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     tops = tops.select("rank", "sup", upto.alias("upto"))
@@ -148,15 +148,16 @@ def plan(meta: DataFrame, shards: int = SHARDS, seed: int = SEED, docs_per_block
     fronts = materialize(fronts, "mix_fronts")
 
     # quotas in blocks, dealt to shards
-    quota = F.col("passes") * F.col("blocks") + F.col("front") + F.when(F.col("front") < F.col("blocks"), 1).otherwise(0)
-    row = by.join(fronts, "rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", quota.cast("long").alias("q")))), lambda x: x["q"]).alias("quotas"))
+    front = F.coalesce("front", F.lit(0))
+    quota = F.col("passes") * F.col("blocks") + front + F.when((front < F.col("blocks")) & (F.col("passes") < MAX_REPEATS), 1).otherwise(0)
+    row = by.join(fronts, "rank", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", quota.cast("long").alias("q")))), lambda x: x["q"]).alias("quotas"))
     tree = splitting_tree(row, shards, seed).select("shard", F.posexplode("quotas").alias("rank", "q"))
     ends = F.array_sort(F.collect_list(F.struct("shard", "q")))
     running = lambda a: F.aggregate(a, F.array().cast("array<long>"), lambda s, x: F.array_append(s, F.coalesce(F.element_at(F.when(F.size(s) > 0, s), -1), F.lit(0)) + x["q"]))
     ends = materialize(tree.groupBy("rank").agg(running(ends).alias("ends")), "mix_shards")
 
     # of the block at the front, the largest documents that still fit
-    placed = placed.join(fronts, "rank").join(ends, "rank")
+    placed = placed.join(fronts, "rank", "left").join(ends, "rank")
     edge = placed.where(F.col("at") == F.col("front")).groupBy("rank", "doc_id", "size", "rest", "front_words").agg(F.count(F.lit(1)).alias("n"))
     best = F.array_sort(F.collect_list(F.struct((-F.col("size") * F.col("n")).alias("less"), F.xxhash64(F.lit(seed), "doc_id").alias("h"), "doc_id", "size")))
     none = F.array().cast(edge.select("doc_id", "size").schema.simpleString().join(("array<", ">")))

@@ -29,7 +29,7 @@ LOOK = (r"(?i:passw|secret|token|api_?key)", r"AKIA", r"[0-9a-f]{32}")
 TOKEN, MIN_RATIO, KIND = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", 0.9, "random"
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 #: Labelled samples: so many random strings, made by hash, of so many characters.
-RANDOM_SAMPLES, RANDOM_CHARS, SMOOTHING = 2000, 40, 0.5
+RANDOM_SAMPLES, RANDOM_CHARS, SMOOTHING, LEAN = 2000, 40, 0.5, 10.0
 IDENTIFIERS = """
     account_balance activeConnections addEventListener allocation_size application-name argument_parser background_color
     base_directory batch_normalization boundary_condition browserHistory build_configuration cacheControlHeader calculate_total
@@ -89,14 +89,16 @@ def random_samples(n: int = RANDOM_SAMPLES, chars: int = RANDOM_CHARS) -> list[s
 
 
 def train(samples: list[str]) -> list[list[float]]:
-    """A Markov model: log probabilities of the next character, by character."""
+    """A Markov model: log probabilities of the next character, by character; rare pairs lean on how common the next is."""
     n = len(ALPHABET) + 1
-    counts = [[SMOOTHING] * n for _ in range(n)]
+    counts, single = [[0.0] * n for _ in range(n)], [SMOOTHING] * n
     for sample in samples:
         codes = _codes(sample)
         for a, b in zip(codes, codes[1:], strict=False):
             counts[a][b] += 1
-    return [[math.log(x / sum(row)) for x in row] for row in counts]
+            single[b] += 1
+    common = [x / sum(single) for x in single]
+    return [[math.log((x + LEAN * common[b]) / (sum(row) + LEAN)) for b, x in enumerate(row)] for row in counts]
 
 
 def log_ratios(positive: list[str] | None = None, negative: list[str] | None = None) -> list[float]:
