@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import data
@@ -22,138 +22,172 @@ COLUMNS = ["doc_id", "rule_id", "word", "start_index", "end_index", "paragraph_i
 PRONOUNS = {"мен": "ман", "сен": "сан", "биз": "миз", "сиз": "сиз"}
 LATIN_PRONOUNS = {"men": "ман", "sen": "сан", "biz": "миз", "siz": "сиз"}
 COPULAS, ENDINGS = ("эмас", "emas"), ("ман", "сан", "миз", "сиз", "man", "san", "miz", "siz")
-SENTENCE_END = "[.!?]"
 BRACKETS = {"(": ")", "[": "]", "{": "}", "«": "»"}
 QUOTE = '"'
+ERRORS = "array<struct<rule_id:string,word:string,start_index:int,end_index:int,paragraph_index:int,suggestion:string,distance:int>>"
 
 
-def _found(rows: DataFrame, rule: str, suggestion: Column | None = None, distance: Column | int = 1) -> DataFrame:
-    word = F.col("match") if "match" in rows.columns else F.col("original")
-    return rows.select("doc_id", F.lit(rule).alias("rule_id"), word.alias("word"), "start_index", "end_index", "paragraph_index",
-                       (F.lit(None).cast("string") if suggestion is None else suggestion).alias("suggestion"), (F.lit(distance) if isinstance(distance, int) else distance).alias("distance"))
+def error(rule: str, word: Column, start: Column, end: Column, paragraph: Column, suggestion: Column | None = None, distance: Column | int = 1) -> Column:
+    """An error as a struct."""
+    return F.struct(
+        F.lit(rule).alias("rule_id"), word.alias("word"), start.alias("start_index"), end.alias("end_index"), paragraph.alias("paragraph_index"),
+        (F.lit(None).cast("string") if suggestion is None else suggestion).alias("suggestion"), (F.lit(distance) if isinstance(distance, int) else distance).alias("distance"),
+    )
+
+
+def token_error(rule: str, suggestion: Column | None = None, word: Column | None = None, end: Column | None = None) -> Column:
+    return error(rule, F.col("original") if word is None else word, F.col("start_index"), F.col("end_index") if end is None else end, F.col("paragraph_index"), suggestion)
+
+
+def rows_of(df: DataFrame, *arrays: Column) -> DataFrame:
+    """The errors of all arrays, a row each: rules that look at the same rows share one pass over them."""
+    return df.select("doc_id", F.explode(F.concat(*arrays)).alias("e")).select("doc_id", "e.*")
+
+
+def if_so(condition: Column, e: Column) -> Column:
+    """An array of one error, or none."""
+    return F.filter(F.array(F.when(condition, e)), lambda x: x.isNotNull())
 
 
 def capitalized(word: Column) -> Column:
     return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.char_length(word)))
 
 
-# Punctuation and style, from the text alone
+# Punctuation and style, from the text alone: arrays of errors of a text
 
 
-def double_space(docs: DataFrame) -> DataFrame:
-    return _found(K.matches(docs, " {2,}"), "DOUBLE_SPACE", F.lit(" "), F.char_length("match") - 1)
+def _of_spans(pattern: str, rule: str, paragraph: str, suggestion, distance=None) -> Column:
+    made = K.spans(F.col("text"), pattern, paragraph)
+    return F.transform(made, lambda x: error(rule, x["match"], x["start_index"], x["end_index"], x["paragraph_index"], suggestion(x["match"]), 1 if distance is None else distance(x["match"])))
 
 
-def comma_space(docs: DataFrame) -> DataFrame:
+def double_space_errors(paragraph: str = K.PARAGRAPH) -> Column:
+    return _of_spans(" {2,}", "DOUBLE_SPACE", paragraph, lambda m: F.lit(" "), lambda m: F.char_length(m) - 1)
+
+
+def comma_space_errors(paragraph: str = K.PARAGRAPH) -> Column:
     """A space before a comma; a comma that neither a space nor a digit follows, but at the text's end."""
-    before = _found(K.matches(docs, " ,"), "COMMA_SPACE", F.lit(","))
-    after = _found(K.matches(docs, r",(?=[^ \d])"), "COMMA_SPACE", F.lit(", "))
-    return before.unionByName(after)
+    return F.concat(_of_spans(" ,", "COMMA_SPACE", paragraph, lambda m: F.lit(",")), _of_spans(r",(?=[^ \d])", "COMMA_SPACE", paragraph, lambda m: F.lit(", ")))
 
 
-def period_space(docs: DataFrame) -> DataFrame:
-    return _found(K.matches(docs, r"\.\p{Ll}"), "PERIOD_SPACE", F.concat(F.lit(". "), F.upper(F.right("match", F.lit(1)))))
+def period_space_errors(paragraph: str = K.PARAGRAPH) -> Column:
+    return _of_spans(r"\.\p{Ll}", "PERIOD_SPACE", paragraph, lambda m: F.concat(F.lit(". "), F.upper(F.right(m, F.lit(1)))))
 
 
-def brackets(docs: DataFrame) -> DataFrame:
+def bracket_errors(paragraph: str = K.PARAGRAPH) -> Column:
     """Brackets without a partner: a stack machine over the bracket characters alone, folded where the text lies.
 
     A quote closes if one is on top, else opens. A closing bracket that doesn't fit what is on top is an error and leaves
-    the stack; what is left on the stack at the end is an error too.
+    the stack; what is left on the stack at the end is an error too, the last first.
     """
     opening, closing = "".join(BRACKETS), "".join(BRACKETS.values())
-    found = K.matches(docs, r"[(\[{«)\]}»" + QUOTE + "]")
-    by = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_index", F.col("match").alias("c"), "paragraph_index"))).alias("all"))
-    none = F.array().cast("array<struct<start_index:int,c:string,paragraph_index:int>>")
+    none = F.array().cast("array<struct<match:string,start_index:int,end_index:int,paragraph_index:int>>")
 
     def step(s: Column, x: Column) -> Column:
-        top = F.get(s["stack"], F.size(s["stack"]) - 1)["c"]
-        partner = F.when(x["c"] == QUOTE, F.lit(QUOTE)).otherwise(F.translate(x["c"], closing, opening))
-        closes = ~x["c"].isin(*opening) & F.coalesce(top == partner, F.lit(False))
-        odd = x["c"].isin(*closing) & ~closes
+        c, top = x["match"], F.get(s["stack"], F.size(s["stack"]) - 1)["match"]
+        partner = F.when(c == QUOTE, F.lit(QUOTE)).otherwise(F.translate(c, closing, opening))
+        closes = ~c.isin(*opening) & F.coalesce(top == partner, F.lit(False))
+        odd = c.isin(*closing) & ~closes
         stack = F.when(closes, F.slice(s["stack"], F.lit(1), F.greatest(F.size(s["stack"]) - 1, F.lit(0)))).when(odd, s["stack"]).otherwise(F.array_append(s["stack"], x))
         return F.struct(stack.alias("stack"), F.when(odd, F.array_append(s["odd"], x)).otherwise(s["odd"]).alias("odd"))
 
-    left = F.aggregate("all", F.struct(none.alias("stack"), none.alias("odd")), step)
-    rows = by.select("doc_id", F.explode(T.let(left, lambda s: F.concat(s["odd"], s["stack"]))).alias("x"))
-    rows = rows.select("doc_id", F.col("x.c").alias("match"), F.col("x.start_index").alias("start_index"), (F.col("x.start_index") + 1).alias("end_index"), F.col("x.paragraph_index").alias("paragraph_index"))
-    return _found(rows, "BRACKET_MATCH")
+    left = F.aggregate(K.spans(F.col("text"), r"[(\[{«)\]}»" + QUOTE + "]", paragraph), F.struct(none.alias("stack"), none.alias("odd")), step)
+    bad = T.let(left, lambda s: F.concat(s["odd"], F.reverse(s["stack"])))
+    return F.transform(bad, lambda x: error("BRACKET_MATCH", x["match"], x["start_index"], x["end_index"], x["paragraph_index"]))
 
 
-# Rules on tokens and their neighbours. A token row has what stands between it and the one before, so that
-# sentence starts need no neighbour; the others look back by a window per document.
+def double_space(docs: DataFrame) -> DataFrame:
+    return rows_of(docs, double_space_errors())
 
 
-def _by_place() -> Window:
-    return Window.partitionBy("doc_id").orderBy("pos")
+def comma_space(docs: DataFrame) -> DataFrame:
+    return rows_of(docs, comma_space_errors())
 
 
-def sentence_caps(tokens: DataFrame) -> DataFrame:
+def period_space(docs: DataFrame) -> DataFrame:
+    return rows_of(docs, period_space_errors())
+
+
+def brackets(docs: DataFrame) -> DataFrame:
+    return rows_of(docs, bracket_errors())
+
+
+# Rules on tokens and their neighbours (``tokens.tokenize`` with gaps): arrays of errors of a token
+
+
+def sentence_caps_errors() -> Column:
     """The text's first token, or one after a gap with an end of sentence, that starts in lower case."""
-    starts = (F.col("pos") == 0) | F.col("gap_before").rlike(SENTENCE_END)
-    return _found(tokens.where(starts & F.col("original").rlike(r"^\p{Ll}")), "SENT_CAPITALIZATION", capitalized(F.col("original")))
+    starts = (F.col("pos") == 0) | F.col("gap_before").rlike(K.SENTENCE_END)
+    return if_so(starts & F.col("original").rlike(r"^\p{Ll}"), token_error("SENT_CAPITALIZATION", capitalized(F.col("original"))))
 
 
-def repeated_word(tokens: DataFrame) -> DataFrame:
+def repeated_word_errors() -> Column:
     """A word that is the one before, whatever stands between."""
-    again = tokens.withColumn("_p", F.lag("normalized").over(_by_place())).where((F.col("_p") == F.col("normalized")) & ~T.skip_word(F.col("normalized")))
-    return _found(again, "REPEATED_WORD")
+    same = F.coalesce(T.normalize_token(F.col("previous")) == F.col("normalized"), F.lit(False))
+    return if_so(same & ~T.skip_word(F.col("normalized")), token_error("REPEATED_WORD"))
 
 
-def with_sentences(tokens: DataFrame) -> DataFrame:
-    """Tokens with ``sentence_id``: a sentence ends where its mark stands right after a token."""
-    ends = F.col("next_char").rlike(SENTENCE_END).cast("int")
-    return tokens.withColumn("sentence_id", F.coalesce(F.sum(ends).over(_by_place().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+def _ahead(j: int) -> tuple[Column, Column, Column]:
+    """The j-th next token: the gap before it, as it is written, and where it ends."""
+    f = F.col("following")
+    length = F.aggregate(F.slice(f, F.lit(1), F.lit(2 * j)), F.lit(0), lambda s, x: s + F.char_length(x))
+    return F.get(f, 2 * j - 2), F.get(f, 2 * j - 1), F.col("end_index") + length
 
 
-def copula_spacing(tokens: DataFrame) -> DataFrame:
-    """The copula and its ending written apart within a sentence."""
-    w = Window.partitionBy("doc_id", "sentence_id").orderBy("pos")
-    nxt = with_sentences(tokens).withColumn("_n", F.lead(F.struct("normalized", "original", "end_index", "gap_before")).over(w))
-    hit = nxt.where(F.col("normalized").isin(*COPULAS) & F.col("_n.normalized").isin(*ENDINGS) & F.col("_n.gap_before").rlike(r"^\s+$"))
-    both = hit.withColumn("match", F.concat("original", F.col("_n.gap_before"), F.col("_n.original"))).withColumn("end_index", F.col("_n.end_index"))
-    return _found(both, "COPULA_SPACING", F.concat("original", F.col("_n.original")))
+def copula_spacing_errors() -> Column:
+    """The copula and its ending written apart; only blanks between, so that no sentence ends there."""
+    gap, word, end = _ahead(1)
+    apart = F.col("normalized").isin(*COPULAS) & T.normalize_token(word).isin(*ENDINGS) & gap.rlike(r"^\s+$")
+    return if_so(F.coalesce(apart, F.lit(False)), token_error("COPULA_SPACING", F.concat("original", word), F.concat("original", gap, word), end))
 
 
 def proper_nouns(nouns: list[str] | None = None) -> tuple[list[str], list[tuple[str, list[str]]]]:
     """Single names as they are written, and names of several words with their normalised words."""
     nouns = nouns or data.PROPER_NOUNS
     split = [(n, n.split()) for n in nouns]
-    clean = lambda w: w.lower().translate(str.maketrans(T.APOSTROPHES, "''''"))
+    clean = lambda w: w.lower().translate(str.maketrans(T.APOSTROPHES, "'" * 4))
     return [n for n, parts in split if len(parts) == 1], [(n, [clean(p) for p in parts]) for n, parts in split if len(parts) > 1]
 
 
-def proper_noun_caps(tokens: DataFrame, nouns: list[str] | None = None) -> DataFrame:
-    """Proper nouns in lower case: single words by a look-up, phrases by a window over the next words."""
+def proper_noun_errors(nouns: list[str] | None = None) -> Column:
+    """Proper nouns in lower case: single words by a look-up, phrases by the next words; one error a span."""
     single, phrases = proper_nouns(nouns)
-    names = sorted({n.lower() for n in single})
     o = F.col("original")
-    low = tokens.where((F.char_length(o) >= 2) & ~o.rlike(r"^\p{Lu}") & F.lower(o).isin(names))
-    out = _found(low, "PROPER_NOUN_CAPS", capitalized(o))
-    longest = max((len(p) for _, p in phrases), default=0)
-    if not longest:
-        return out
-    ahead = {f"_{j}": F.lead(F.struct("normalized", "original", "end_index", "gap_before"), j).over(_by_place()) for j in range(1, longest)}
-    near = tokens.withColumns(ahead).where(F.col("normalized").isin(sorted({p[0] for _, p in phrases})))
+    low = (F.char_length(o) >= 2) & ~o.rlike(r"^\p{Lu}") & F.lower(o).isin(sorted({n.lower() for n in single}))
+    alone = if_so(low, token_error("PROPER_NOUN_CAPS", capitalized(o)))
     found = []
     for display, parts in phrases:
-        own = [F.struct("normalized", "original", "end_index", "gap_before")] + [F.col(f"_{j}") for j in range(1, len(parts))]
-        same = reduce(lambda a, b: a & b, (x["normalized"] == p for x, p in zip(own, parts, strict=True)))
-        close = reduce(lambda a, b: a & b, (x["gap_before"].rlike(r"^\s*$") for x in own[1:]))
-        lower = reduce(lambda a, b: a | b, (x["original"].rlike(r"^\p{Ll}") for x in own))
-        text = F.array_join(F.array(*(x["original"] for x in own)), " ")
-        found.append(F.when(same & close & lower, F.struct(F.lit(display).alias("display"), text.alias("match"), own[-1]["end_index"].alias("end"))))
-    hits = near.select("doc_id", "start_index", "paragraph_index", F.explode(F.array_compact(F.array(*found))).alias("x"))
-    hits = hits.select("doc_id", "start_index", "paragraph_index", F.col("x.match").alias("match"), F.col("x.end").alias("end_index"), F.col("x.display").alias("display"))
-    return out.unionByName(_found(hits.dropDuplicates(["doc_id", "start_index", "end_index"]), "PROPER_NOUN_CAPS", F.col("display")))
+        rest = [_ahead(j) for j in range(1, len(parts))]
+        same = reduce(lambda a, b: a & b, (T.normalize_token(w) == p for (_, w, _), p in zip(rest, parts[1:], strict=True)), F.col("normalized") == parts[0])
+        close = reduce(lambda a, b: a & b, (g.rlike(r"^\s*$") for g, _, _ in rest))
+        lower = reduce(lambda a, b: a | b, (w.rlike(r"^\p{Ll}") for w in [o, *(w for _, w, _ in rest)]))
+        text = F.array_join(F.array(o, *(w for _, w, _ in rest)), " ")
+        found.append(F.when(same & close & lower, token_error("PROPER_NOUN_CAPS", F.lit(display), text, rest[-1][2])))
+    if not found:
+        return alone
+    firsts = sorted({p[0] for _, p in phrases})
+    hits = F.when(F.col("normalized").isin(firsts), F.filter(F.array(*found), lambda x: x.isNotNull())).otherwise(F.array().cast(ERRORS))
+    once = T.let(hits, lambda h: F.filter(h, lambda x, i: ~F.exists(F.slice(h, F.lit(1), i), lambda y: y["end_index"] == x["end_index"])))
+    return F.concat(alone, once)
 
 
-# Rules on analysed tokens: tokens joined with ``morph.analyze`` of their distinct words
+def sentence_caps(tokens: DataFrame) -> DataFrame:
+    return rows_of(tokens, sentence_caps_errors())
+
+
+def repeated_word(tokens: DataFrame) -> DataFrame:
+    return rows_of(tokens, repeated_word_errors())
+
+
+def copula_spacing(tokens: DataFrame) -> DataFrame:
+    return rows_of(tokens, copula_spacing_errors())
 
 
-def analysed(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    checked = tokens.where(~T.skip_word(F.col("normalized")))
-    return checked.join(M.analyze(checked.select("normalized"), lexicon), "normalized")
+def proper_noun_caps(tokens: DataFrame, nouns: list[str] | None = None) -> DataFrame:
+    return rows_of(tokens, proper_noun_errors(nouns))
+
+
+# Rules on analysed tokens: tokens joined with ``morph.analyze`` of their distinct words
 
 
 def _shown(word: Column) -> Column:
@@ -161,49 +195,52 @@ def _shown(word: Column) -> Column:
     return F.when(F.col("script") == "Latin", translit.to_latin(word)).otherwise(word)
 
 
-def allomorph(analysed: DataFrame, rule: str, ids: tuple[str, ...], expected: Column) -> DataFrame:
-    """A case ending of a known root that isn't the one the root asks for; what follows it is kept."""
-    at = F.transform("suffix_ids", lambda x, i: F.when(x.isin(*ids) & (F.get("suffixes", i) != expected), i))
-    rows = analysed.where("is_known_root").withColumn("_i", F.explode(F.array_compact(at)))
-    rest = F.array_join(F.slice("suffixes", F.col("_i") + 2, F.size("suffixes")), "")
-    return _found(rows, rule, _shown(F.concat("root", expected, rest)))
+def allomorph_errors(rule: str, ids: tuple[str, ...], expected: Column) -> Column:
+    """Case endings of a known root that aren't the one the root asks for; what follows is kept."""
 
+    def wrong(x: Column, i: Column) -> Column:
+        rest = F.array_join(F.slice("suffixes", i + 2, F.greatest(F.size("suffixes"), F.lit(1))), "")
+        return F.when(F.col("is_known_root") & x.isin(*ids) & (F.get("suffixes", i) != expected), token_error(rule, _shown(F.concat("root", expected, rest))))
 
-def dative(analysed: DataFrame) -> DataFrame:
-    return allomorph(analysed, "DAT_ALLOMORPH", ("DAT_GA", "DAT_KA", "DAT_QA"), M.expected_dative(F.col("root")))
+    return F.filter(F.transform("suffix_ids", wrong), lambda x: x.isNotNull())
 
 
-def locative(analysed: DataFrame) -> DataFrame:
-    return allomorph(analysed, "LOC_VOICING", ("LOC_DA", "LOC_TA"), M.expected_locative(F.col("root")))
+def dative_errors() -> Column:
+    return allomorph_errors("DAT_ALLOMORPH", ("DAT_GA", "DAT_KA", "DAT_QA"), M.expected_dative(F.col("root")))
 
 
-def ablative(analysed: DataFrame) -> DataFrame:
-    return allomorph(analysed, "ABL_VOICING", ("ABL_DAN", "ABL_TAN"), M.expected_ablative(F.col("root")))
+def locative_errors() -> Column:
+    return allomorph_errors("LOC_VOICING", ("LOC_DA", "LOC_TA"), M.expected_locative(F.col("root")))
 
 
-def double_plural(analysed: DataFrame) -> DataFrame:
-    return _found(analysed.where(F.size(F.filter("suffix_ids", lambda x: x.isin(*M.PLURALS))) >= 2), "DOUBLE_PLURAL")
+def ablative_errors() -> Column:
+    return allomorph_errors("ABL_VOICING", ("ABL_DAN", "ABL_TAN"), M.expected_ablative(F.col("root")))
 
 
-def possessive_mutation(analysed: DataFrame) -> DataFrame:
+def double_plural_errors() -> Column:
+    return if_so(F.size(F.filter("suffix_ids", lambda x: x.isin(*M.PLURALS))) >= 2, token_error("DOUBLE_PLURAL"))
+
+
+def possessive_errors() -> Column:
     """A root in the lexicon that ends hard before a possessive."""
     last = F.right("root", F.lit(1))
-    hard = analysed.where("is_known_root and root_in_lexicon").where(F.exists("suffix_ids", lambda x: x.startswith("POSS_")) & last.isin(*M.SOFTENED))
+    hard = F.col("is_known_root") & F.col("root_in_lexicon") & F.exists("suffix_ids", lambda x: x.startswith("POSS_")) & last.isin(*M.SOFTENED)
     soft = F.concat(F.left(F.col("root"), F.char_length("root") - 1), F.translate(last, "".join(M.SOFTENED), "".join(M.SOFTENED.values())))
-    return _found(hard, "POSS_MUTATION", _shown(F.concat(soft, F.array_join("suffixes", ""))))
+    return if_so(hard, token_error("POSS_MUTATION", _shown(F.concat(soft, F.array_join("suffixes", "")))))
 
 
 def verb_agreement(analysed_sentences: DataFrame) -> DataFrame:
     """Of a sentence with a subject pronoun, the last verb if it has an ending, but not the pronoun's.
 
-    Takes all tokens with ``sentence_id``, and analyses where they have one. Pronoun and verb come from one aggregation.
+    Takes all tokens with ``sentence_id``, and analyses where they have one. Pronoun and verb come from one aggregation,
+    combined before its shuffle.
     """
     endings = F.create_map(*(F.lit(x) for kv in (PRONOUNS | LATIN_PRONOUNS).items() for x in kv))
     known = F.when(F.col("normalized").isin(*PRONOUNS, *LATIN_PRONOUNS), F.struct("pos", "normalized"))
     verb = F.when(F.col("part_of_speech") == "verb", F.struct("pos", "original", "cyrillic", "suffix_ids", "start_index", "end_index", "paragraph_index"))
     by = analysed_sentences.groupBy("doc_id", "sentence_id").agg(F.min(known).alias("p"), F.max(verb).alias("v"), F.count(F.lit(1)).alias("n")).where("n >= 2 and p is not null and v is not null")
     wrong = by.where(~F.col("v.cyrillic").endswith(F.element_at(endings, F.col("p.normalized"))) & F.exists("v.suffix_ids", lambda x: x.startswith("AGR_")))
-    return _found(wrong.select("doc_id", "v.*"), "VERB_AGREEMENT")
+    return rows_of(wrong.select("doc_id", "v.*"), F.array(token_error("VERB_AGREEMENT")))
 
 
 # All rules
@@ -217,20 +254,30 @@ def enabled_rules(rules: list[tuple] | None = None, disabled: tuple[str, ...] =
     return {r[0] for r in rules or data.RULES if r[3] and r[0] not in disabled}
 
 
+TEXT_RULES = {"DOUBLE_SPACE": double_space_errors, "COMMA_SPACE": comma_space_errors, "PERIOD_SPACE": period_space_errors, "BRACKET_MATCH": bracket_errors}
+TOKEN_RULES = {"SENT_CAPITALIZATION": sentence_caps_errors, "REPEATED_WORD": repeated_word_errors, "COPULA_SPACING": copula_spacing_errors, "PROPER_NOUN_CAPS": proper_noun_errors}
+WORD_RULES = {"DAT_ALLOMORPH": dative_errors, "LOC_VOICING": locative_errors, "ABL_VOICING": ablative_errors, "DOUBLE_PLURAL": double_plural_errors, "POSS_MUTATION": possessive_errors}
+
+
 def check(docs: DataFrame, lexicon: DataFrame, disabled: tuple[str, ...] = (), paragraph: str = K.PARAGRAPH) -> DataFrame:
-    """Errors of all rules that are enabled."""
-    tokens = K.tokenize(docs, paragraph=paragraph, gaps=True)
-    words = analysed(tokens, lexicon)
-    keep = ["doc_id", "pos", "normalized", "original", "start_index", "end_index", "paragraph_index", "sentence_id"]
-    sentences = with_sentences(tokens).select(*keep).join(words.select("doc_id", "pos", "cyrillic", "suffix_ids", "part_of_speech"), ["doc_id", "pos"], "left")
-    detectors = {
-        "DAT_ALLOMORPH": lambda: dative(words), "LOC_VOICING": lambda: locative(words), "ABL_VOICING": lambda: ablative(words), "DOUBLE_PLURAL": lambda: double_plural(words),
-        "POSS_MUTATION": lambda: possessive_mutation(words), "VERB_AGREEMENT": lambda: verb_agreement(sentences), "COPULA_SPACING": lambda: copula_spacing(tokens),
-        "SENT_CAPITALIZATION": lambda: sentence_caps(tokens), "COMMA_SPACE": lambda: comma_space(docs), "PERIOD_SPACE": lambda: period_space(docs),
-        "DOUBLE_SPACE": lambda: double_space(docs), "REPEATED_WORD": lambda: repeated_word(tokens), "PROPER_NOUN_CAPS": lambda: proper_noun_caps(tokens), "BRACKET_MATCH": lambda: brackets(docs),
-    }
+    """Errors of all rules that are enabled: one pass for the rules on texts, one for those on tokens, one for those on words.
+
+    Only words with a suffix are of interest to the last, and words are analysed once each.
+    """
     on = enabled_rules(disabled=disabled)
-    return reduce(DataFrame.unionByName, [make().select(*COLUMNS) for rule, make in detectors.items() if rule in on])
+    tokens = K.tokenize(docs, paragraph=paragraph, gaps=True)
+    parts = []
+    if chosen := [f(paragraph) for rule, f in TEXT_RULES.items() if rule in on]:
+        parts.append(rows_of(docs, *chosen))
+    if chosen := [f() for rule, f in TOKEN_RULES.items() if rule in on]:
+        parts.append(rows_of(tokens, *chosen))
+    plain = tokens.select("doc_id", "pos", "normalized", "original", "start_index", "end_index", "paragraph_index", "sentence_id")
+    words = M.analyze(plain.select("normalized").where(~T.skip_word(F.col("normalized"))), lexicon).where(F.size("suffix_ids") > 0)
+    if chosen := [f() for rule, f in WORD_RULES.items() if rule in on]:
+        parts.append(rows_of(plain.join(words, "normalized"), *chosen))
+    if "VERB_AGREEMENT" in on:
+        parts.append(verb_agreement(plain.join(words.select("normalized", "cyrillic", "suffix_ids", "part_of_speech"), "normalized", "left")))
+    return reduce(DataFrame.unionByName, [p.select(*COLUMNS) for p in parts])
 
 
 def enrich(errors: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 PARAGRAPH = "\n"
+SENTENCE_END = "[.!?]"
 
 
 def measure(segment: Column, paragraph: str) -> Column:
@@ -23,27 +24,35 @@ def upper_half(x: Column) -> Column:
     return F.shiftright(x, 32).cast("int")
 
 
-def tokenize(docs: DataFrame, key: str = "doc_id", paragraph: str = PARAGRAPH, gaps: bool = False) -> DataFrame:
-    """``(key, pos, original, normalized, start_index, end_index, paragraph_index)``, and if asked ``gap_before, next_char``.
+def tokenize(docs: DataFrame, key: str = "doc_id", paragraph: str = PARAGRAPH, gaps: bool = False, ahead: int = 3) -> DataFrame:
+    """``(key, pos, original, normalized, start_index, end_index, paragraph_index)``, and if asked what stands around a token.
 
-    Places are code points, the end exclusive; ``pos`` counts from 0, ``paragraph_index`` from 1. ``gap_before`` is what
-    stands between the previous token (or the text's start) and this one, ``next_char`` the character right after it.
-    Words and what is between them alternate, so that every other segment is a token.
+    Places are code points, the end exclusive; ``pos`` counts from 0, ``paragraph_index`` from 1. With ``gaps``: ``gap_before``
+    is what stands between the previous token (or the text's start) and this one, ``next_char`` the character right after
+    it, ``previous`` the token before (null for the first), ``following`` the next gap, token, gap, ... up to ``ahead`` tokens, and
+    ``sentence_id`` counts the tokens before it that an end of sentence follows at once.
+    Words and what is between them alternate, so that every other segment is a token and neighbours need no window.
     """
     segments = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(T.SEGMENT), F.lit(0))
     docs = docs.select(key, segments.alias("_s")).withColumn("_first", F.when(F.get("_s", 0).rlike("^" + T.TOKEN), 0).otherwise(1))
     parts = [F.col("_s").alias("s"), T.running_starts(F.transform("_s", lambda s: measure(s, paragraph)), "long").alias("at")]
     if gaps:
-        before = F.concat(F.array(F.lit("")), F.slice("_s", F.lit(1), F.greatest(F.size("_s") - 1, F.lit(0))))
-        after = F.concat(F.slice(F.transform("_s", lambda s: F.left(s, F.lit(1))), F.lit(2), F.greatest(F.size("_s"), F.lit(1))), F.array(F.lit("")))
-        parts += [before.alias("before"), after.alias("after")]
+        ends = F.transform("_s", lambda s, i: F.when((i % 2 != F.col("_first")) & (i > 0) & s.rlike(f"^{SENTENCE_END}"), 1).otherwise(0))
+        around = F.transform("_s", lambda _, i: F.struct(F.when(i > 0, F.get("_s", i - 1)).alias("gap"), F.when(i > 1, F.get("_s", i - 2)).alias("previous"), F.slice("_s", i + 2, F.lit(2 * ahead)).alias("following")))
+        parts += [T.running_starts(ends).alias("sentence"), around.alias("around")]
     rows = docs.select(key, F.posexplode(F.filter(F.arrays_zip(*parts), lambda _, i: i % 2 == F.col("_first"))).alias("pos", "x"))
     start = lower_half(F.col("x.at"))
     columns = [
         key, "pos", F.col("x.s").alias("original"), T.normalize_token(F.col("x.s")).alias("normalized"), start.alias("start_index"),
         (start + F.char_length("x.s")).alias("end_index"), (upper_half(F.col("x.at")) + 1).alias("paragraph_index"),
     ]
-    return rows.select(*columns, *([F.col("x.before").alias("gap_before"), F.col("x.after").alias("next_char")] if gaps else []))
+    if gaps:
+        around = F.col("x.around")
+        columns += [
+            F.coalesce(around["gap"], F.lit("")).alias("gap_before"), F.coalesce(F.left(F.get(around["following"], 0), F.lit(1)), F.lit("")).alias("next_char"),
+            around["previous"].alias("previous"), around["following"].alias("following"), F.col("x.sentence").cast("long").alias("sentence_id"),
+        ]
+    return rows.select(*columns)
 
 
 def words(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -52,19 +61,29 @@ def words(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.explode(found).alias("_w")).select(key, T.normalize_token(F.col("_w")).alias("normalized"))
 
 
-def matches(docs: DataFrame, pattern: str, key: str = "doc_id", paragraph: str = PARAGRAPH) -> DataFrame:
-    """``(key, match, start_index, end_index, paragraph_index)`` of all matches of a pattern that matches no empty text.
+def spans(text: Column, pattern: str, paragraph: str = PARAGRAPH) -> Column:
+    """``array<struct<match, start_index, end_index, paragraph_index>>`` of all matches of a pattern that matches no empty text.
 
-    Texts without a match are passed over by one look. Else a text is split at the matches.
+    Texts without a match are passed over by one look. Else a text is split at the matches, and lengths summed up.
     """
-    docs = docs.where(F.col("text").rlike(pattern)).select(key, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("_m"), F.split("text", pattern, -1).alias("_b"))
+    none = F.array().cast("array<struct<match:string,start_index:int,end_index:int,paragraph_index:int>>")
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    all_parts = F.flatten(F.zip_with("_b", F.concat("_m", F.array(F.lit(""))), lambda b, m: F.array(measure(b, paragraph), measure(m, paragraph))))
-    docs = docs.select(key, "_m", T.running_starts(all_parts, "long").alias("_at"))
-    places = F.transform("_m", lambda _, i: F.get("_at", 2 * i + 1))
-    rows = docs.select(key, F.explode(F.arrays_zip(F.col("_m").alias("m"), places.alias("at"))).alias("x"))
-    start = lower_half(F.col("x.at"))
-    return rows.select(key, F.col("x.m").alias("match"), start.alias("start_index"), (start + F.char_length("x.m")).alias("end_index"), (upper_half(F.col("x.at")) + 1).alias("paragraph_index"))
+    def placed(m: Column) -> Column:
+        parts = F.flatten(F.zip_with(F.split(text, pattern, -1), F.concat(m, F.array(F.lit(""))), lambda b, x: F.array(measure(b, paragraph), measure(x, paragraph))))
+
+        def span(x: Column, at: Column) -> Column:
+            start = lower_half(at)
+            return F.struct(x.alias("match"), start.alias("start_index"), (start + F.char_length(x)).alias("end_index"), (upper_half(at) + 1).alias("paragraph_index"))
+
+        return T.let(T.running_starts(parts, "long"), lambda at: F.transform(m, lambda x, i: span(x, F.get(at, 2 * i + 1))))
+
+    return F.when(text.rlike(pattern), T.let(found, placed)).otherwise(none)
+
+
+def matches(docs: DataFrame, pattern: str, key: str = "doc_id", paragraph: str = PARAGRAPH) -> DataFrame:
+    """``(key, match, start_index, end_index, paragraph_index)``: the pattern's ``spans``, a row each."""
+    return docs.where(F.col("text").rlike(pattern)).select(key, F.explode(spans(F.col("text"), pattern, paragraph)).alias("x")).select(key, "x.*")
 
 
 def with_text(rows: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -59,7 +59,7 @@ def gr_sentence_caps(spark, sf_dir):
 
 
 def gr_repeated_word(spark, sf_dir):
-    return G.repeated_word(K.tokenize(docs_of(spark, sf_dir)))
+    return G.repeated_word(K.tokenize(docs_of(spark, sf_dir), gaps=True))
 
 
 def gr_brackets(spark, sf_dir):
@@ -67,7 +67,7 @@ def gr_brackets(spark, sf_dir):
 
 
 def sentences(spark, sf_dir):
-    tokens = G.with_sentences(K.tokenize(docs_of(spark, sf_dir), gaps=True))
+    tokens = K.tokenize(docs_of(spark, sf_dir), gaps=True)
     return tokens.groupBy("doc_id", "sentence_id").agg(F.count(F.lit(1)).alias("words"), F.min("start_index").alias("start_index"), F.max("end_index").alias("end_index"))
 
 
