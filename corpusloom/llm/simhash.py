@@ -277,9 +277,10 @@ def near_deduplicated(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     ids = prints.select("doc_id", "fp")
     of = components(ids, budget).withColumnRenamed("fp", "_fp")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp"))
-    stay = ids.distinct().join(of, F.col("fp") == F.col("_fp")).groupBy("component").agg(first.alias("x")).select(F.col("x.doc_id").alias("_doc"), F.col("x.fp").alias("_fp"))
-    kept = prints.join(stay, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("fp") == F.col("_fp")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "fp"]).select(*plain.columns).toDF(*docs.columns)
+    stay = ids.distinct().join(of, F.col("fp") == F.col("_fp")).groupBy("component").agg(first.alias("x"))
+    # one key of both, so that the join has dealt the texts as the last step needs them, and they move once
+    kept = prints.withColumn("_key", F.struct("doc_id", "fp")).join(stay.select(F.struct("x.doc_id", "x.fp").alias("_stay")), F.col("_key") == F.col("_stay"), "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*plain.columns).toDF(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
