@@ -240,3 +240,12 @@ def spelling_context(text: Column, start: Column, end: Column, radius: int = 30,
     right = F.least(F.char_length(rest), F.lit(radius))
     middle = F.substring(text, start - left + 1, (end - start) + left + right)
     return F.trim(F.concat(F.when(first > left, F.lit("...")).otherwise(F.lit("")), middle, F.when(F.char_length(rest) > right, F.lit("...")).otherwise(F.lit(""))))
+
+
+def word_context(paragraph: Column, word: Column, radius: int = 30, fallback: int = 80) -> Column:
+    """``radius`` characters around a word's first place in a paragraph, or the paragraph's start if it isn't there."""
+    at = F.position(word, paragraph) - 1
+    low, high = F.greatest(F.lit(0), at - radius), F.least(F.char_length(paragraph), at + F.char_length(word) + radius)
+    cut = F.concat(F.when(low > 0, F.lit("...")).otherwise(F.lit("")), F.substring(paragraph, low + 1, high - low), F.when(high < F.char_length(paragraph), F.lit("...")).otherwise(F.lit("")))
+    start = F.when(F.char_length(paragraph) > fallback, F.concat(F.left(paragraph, F.lit(fallback)), F.lit("..."))).otherwise(paragraph)
+    return F.when(at < 0, start).otherwise(F.trim(cut))

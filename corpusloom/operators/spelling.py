@@ -31,14 +31,14 @@ def checked(tokens: DataFrame) -> DataFrame:
     return tokens.where((F.char_length("normalized") > 1) & ~T.skip_word(F.col("normalized")))
 
 
-def misspelled(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+def misspelled(tokens: DataFrame, lexicon: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Checked tokens whose word isn't in ``lexicon`` (``word``): an anti-join.
 
-    A lexicon below the broadcast threshold is broadcast, and tokens stay where they are. Beyond it, words are made
-    distinct first and the few that are unknown meet the tokens again.
+    Words are made distinct before they meet the lexicon, and the unknown ones meet the tokens. ``words`` (``normalized``)
+    may give the tokens' words in a cheaper way than tokens with places.
     """
     tokens = checked(tokens)
-    unknown = tokens.select("normalized").distinct().join(lexicon, F.col("normalized") == F.col("word"), "left_anti")
+    unknown = checked(words if words is not None else tokens).select("normalized").distinct().join(lexicon, F.col("normalized") == F.col("word"), "left_anti")
     return tokens.join(unknown, "normalized", "left_semi")
 
 
@@ -49,7 +49,7 @@ def is_member(word: Column, lexicon_words: Column) -> Column:
 
 def errors(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", paragraph: str = K.PARAGRAPH) -> DataFrame:
     """Spelling errors: ``(key, word, original_text, start_index, end_index, paragraph_index)``."""
-    found = misspelled(K.tokenize(docs, key, paragraph), lexicon)
+    found = misspelled(K.tokenize(docs, key, paragraph), lexicon, K.words(docs, key))
     return found.select(key, F.col("normalized").alias("word"), F.col("original").alias("original_text"), "start_index", "end_index", "paragraph_index")
 
 

@@ -235,3 +235,18 @@ def test_running_starts(spark, n):
     lengths = [i % 7 for i in range(n)]
     df = spark.createDataFrame([(lengths,)], "x array<int>")
     assert df.select(T.running_starts(F.col("x")).alias("y")).first().y == [sum(lengths[:i]) for i in range(n)]
+
+
+def test_word_context(spark):
+    rows = [("abc " * 20 + "word" + " xyz" * 20, "word"), ("short word here", "word"), ("x" * 100, "word"), ("short", "word")]
+    got = pairs(spark, rows, lambda a, b: T.word_context(a, b))
+    assert got[0].startswith("...") and got[0].endswith("...") and "word" in got[0] and got[1] == "short word here"
+    assert got[2] == "x" * 80 + "..." and got[3] == "short"
+
+
+def test_settings():
+    from corpusloom import settings
+
+    s = settings.loads("MaxPredictions=99\nPreferredScript=Greek\nAutoLearn=False\nPredictionSensitivity=x\nnonsense\n")
+    assert (s.MaxPredictions, s.PreferredScript, s.AutoLearn, s.PredictionSensitivity) == (10, "Auto", False, 0.5)
+    assert settings.loads(settings.dumps(s)) == s
