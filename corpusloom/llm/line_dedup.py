@@ -52,12 +52,14 @@ class LineStore:
         self.spark, self.buckets, self.fanout = spark, buckets or partitions(spark), fanout
         self.levels: list[list[DataFrame]] = [[]]
         self.repeats: list[DataFrame] = []
+        self.names: list[str] = []
 
     def _write(self, df: DataFrame) -> DataFrame:
         """A sorted run: one file a bucket, as the rows are dealt out by the buckets' own hash."""
         name = f"line_run_{uuid.uuid4().hex}"
         (df.select("h1", "h2", "n", "last").repartition(self.buckets, "h1").write.bucketBy(self.buckets, "h1").sortBy("h1")
          .option("path", new_path(self.spark, name)).saveAsTable(name))
+        self.names.append(name)
         return self.spark.table(name)
 
     @property
@@ -95,6 +97,11 @@ class LineStore:
         joined = [run.join(log.hint("merge"), ["h1", "h2"], "left") for run in self.runs]
         return reduce(DataFrame.unionByName, joined).select("h1", "h2", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.greatest("last", "later").alias("last"))
 
+    def close(self) -> None:
+        """Takes the runs' names out of the session's catalog; their files stay."""
+        for run in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(h1, h2, doc_id)``: one row per document and distinct key of at least ``min_chars`` code points."""
@@ -133,6 +140,7 @@ def line_dedup(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHA
     for k in range(batches):
         store.add(staged.where(F.col("batch") == k))
     found = materialize(store.totals().where(F.col("n") >= min_docs).select("h1", "h2", "last"), "line_found")
+    store.close()
     return drop_lines(docs, found, min_chars)
 
 
