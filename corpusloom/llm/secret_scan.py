@@ -56,14 +56,6 @@ IDENTIFIERS = """
     security_group selection_criteria semantic-versioning sequence_number serialization_format server_certificate session_timeout
     setAttributeNode shared_memory shipping_address shutdown_hook significant_digits simulation_parameters software-architecture
     sorting_algorithm source_directory spatial_index specification stack_overflow standard_deviation startTransaction static_method
-    statistical_significance storage_location stream_processing string_representation structure_definition subscription_service
-    successful_response synchronization_point syntax_highlighting system_administrator table_of_contents target_variable
-    task_dependency temporary_file test_environment text_classification thread_pool_executor throughput_measurement timeout_seconds
-    timestamp_column token_bucket topological_sort training_examples transaction_isolation translation_unit transport_layer
-    tree_traversal type_annotation uniform_distribution unit_of_measurement universal_identifier update_statement upload_progress
-    user_interface_element utility_function validation_error variable_length_encoding vector_space_model verification_code
-    version_control_system video_transcoding virtual_machine visibility_timeout warning_message web_application_firewall
-    weighted_average widget_container window_function workflow_orchestration write_ahead_log yesterday zero_based_index
     anotherthing beziehungsweise considerations développement Entwicklungsumgebung establecimiento fundamentalement
     Geschwindigkeitsbegrenzung gouvernementales internacionalmente Rechtsschutzversicherungen responsabilidades telecommunications
     understanding Wahrscheinlichkeit zusammengehörigkeit thereforethewater andthenthereare withoutreservation
