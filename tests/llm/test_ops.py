@@ -275,6 +275,18 @@ def test_weak_supervision_keeps_clean_texts(spark):
     assert quality.quality(empty(spark)).count() == 0
 
 
+def test_a_misfiring_rule_drops_no_clean_texts():
+    n = len(quality.RULES)
+    junk = np.ones((24, n), int)
+    junk[:12, 0] = junk[12:, 2] = 2
+    for rule in set(range(n)) - {0, 2}:
+        votes = np.concatenate([np.ones((300, n), int), junk])
+        votes[:100, rule] = 2
+        p, table = quality.expectation_maximisation(votes, np.ones(len(votes)))
+        assert (p[:300] >= quality.KEEP).all() and (p[300:] < quality.KEEP).all()
+        assert table[0, rule, 1] > 0.2 and np.delete(table[0, :, 1], rule).max() < 0.05 and np.allclose(table.sum(axis=2), 1)
+
+
 # 6
 
 
