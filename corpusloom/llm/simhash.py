@@ -267,6 +267,15 @@ def simhash_components(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     return prints.join(of, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(rows: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of one row of ``rows`` (``doc_id``, ``fp`` and others) for each component that ``of`` (``_fp``, ``component``) puts its ``fp`` in."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp"))
+    stay = rows.select("doc_id", "fp").distinct().join(of, F.col("fp") == F.col("_fp")).groupBy("component").agg(first.alias("x"))
+    # one key of both, so that the join has dealt the texts as the last step needs them, and they move once
+    kept = rows.withColumn("_key", F.struct("doc_id", "fp")).join(stay.select(F.struct("x.doc_id", "x.fp").alias("_stay")), F.col("_key") == F.col("_stay"), "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*columns)
+
+
 def near_deduplicated(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """One row of ``docs`` for each component, with its columns as they were: that of the smallest doc_id (null last).
 
@@ -274,13 +283,8 @@ def near_deduplicated(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """
     plain = docs.toDF(*(f"_{i}" if c not in ("doc_id", "text") else c for i, c in enumerate(docs.columns)))
     prints = materialize(fingerprints(plain, tuple(plain.columns)), "simhash_rows")
-    ids = prints.select("doc_id", "fp")
-    of = components(ids, budget).withColumnRenamed("fp", "_fp")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp"))
-    stay = ids.distinct().join(of, F.col("fp") == F.col("_fp")).groupBy("component").agg(first.alias("x"))
-    # one key of both, so that the join has dealt the texts as the last step needs them, and they move once
-    kept = prints.withColumn("_key", F.struct("doc_id", "fp")).join(stay.select(F.struct("x.doc_id", "x.fp").alias("_stay")), F.col("_key") == F.col("_stay"), "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*plain.columns).toDF(*docs.columns)
+    of = components(prints.select("doc_id", "fp"), budget).withColumnRenamed("fp", "_fp")
+    return one_of_each(prints, of, plain.columns).toDF(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

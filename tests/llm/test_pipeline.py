@@ -1,10 +1,11 @@
 """The pipeline's stages on a small table, each against brute force on what the stage before kept."""
 
 import collections
+import itertools
 import random
 
 import corpus_pipeline
-from corpusloom.llm import langid
+from corpusloom.llm import langid, near_copies
 from corpusloom.llm.common import materialize
 from test_ops import LONG, SCHEMA, brute_components, brute_fingerprint, brute_lines, brute_targets, words
 
@@ -49,3 +50,36 @@ def test_stages(spark, tmp_path):
     assert collections.Counter((r[0], r[1]) for r in packed if r[2] == 0) == {(r[0], i): 1 for r, n in taken.items() for i in range(n)}
     again = sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect()))
     assert again == sorted(map(str, docs.collect()))
+
+
+def brute_kept(rows):
+    """The smallest doc_id of each group that five-word shingles of Jaccard similarity 0.8 link."""
+    sets = []
+    for _, text, *_ in rows:
+        w = [x.lower() for x in words(text)]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    ids = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and ids[i] != ids[j]:
+            a, b = sorted((ids[i], ids[j]))
+            ids = [a if x == b else x for x in ids]
+    return sorted(min(r[0] for r, x in zip(rows, ids, strict=True) if x == c) for c in set(ids))
+
+
+def test_near_dedup_is_brute_force_at_its_similarity(spark, monkeypatch):
+    r, rows = random.Random(4), []
+    for _ in range(12):
+        base = [r.choice("abcdefghijklmnopqrst") + str(r.randint(0, 99)) for _ in range(r.choice([3, 60, 100, 300]))]
+        rows.append(base)
+        for _ in range(6):
+            copy = list(r.choice(rows[-3:]) if r.random() < 0.3 else base)
+            for _ in range(r.randint(0, 5)):
+                copy[r.randrange(len(copy))] = f"new{r.random()}"
+            rows.append(copy)
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate(rows)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = brute_kept(rows)
+    assert 12 < len(want) < len(rows) - 20
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == want
+    monkeypatch.setattr(near_copies, "ORDERS", 1)
+    assert sorted(x.doc_id for x in near_copies.near_deduplicated(docs).collect()) == want
