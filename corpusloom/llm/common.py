@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -15,8 +16,6 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: A word, for regular expressions of Java.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Where intermediate tables go if the session names no folder (tests only).
-DEFAULT_SHARED = "/tmp/checkpoints"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,8 +23,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; DEFAULT_SHARED only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{DEFAULT_SHARED}/{spark.sparkContext.applicationId}"
+    """The folder that driver and executors share. Only a local session, with no executors elsewhere, may go without and gets one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or f"{tempfile.gettempdir()}/corpusloom/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -40,6 +42,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, *own: str) -> DataFrame:
+    """``docs`` with its columns but ``own`` under names that no operator uses; ``toDF(*docs.columns)`` gives theirs back."""
+    return docs.toDF(*(c if c in own else f"_c{i}" for i, c in enumerate(docs.columns)))
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z lower-cased, nothing else. lower() has a fast path for plain ASCII; other text takes translate()."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, string.ascii_uppercase, string.ascii_lowercase))

@@ -47,7 +47,7 @@ def docs(spark, rows):
 @pytest.fixture(scope="module")
 def odd(docs):
     """With extra columns whose names the operators use themselves."""
-    return docs.withColumns({c: F.lit("x") for c in ("size", "h1", "fp", "key", "rank", "copies", "score", "lang_pred", "kept_", "component", "_0")})
+    return docs.withColumns({c: F.lit("x") for c in ("size", "h1", "fp", "key", "rank", "copies", "score", "lang_pred", "kept_", "component", "_0", "_doc", "_c0", "kept", "base", "found", "n", "last", "text_", "node", "bucket")})
 
 
 def empty(spark):
@@ -57,20 +57,20 @@ def empty(spark):
 # 1
 
 
-def brute_lines(rows, least=5):
+def brute_lines(rows, least=5, by=lambda r: r[0]):
     key = lambda line: line.strip(SPACE).translate({c: c + 32 for c in range(65, 91)})
     holders = collections.defaultdict(list)
-    for doc, text, *_ in rows:
-        for k in {key(x) for x in (text or "").split("\n")}:
+    for row in rows:
+        for k in {key(x) for x in (row[1] or "").split("\n")}:
             if len(k) >= 40:
-                holders[k].append(doc)
-    gone = {k: max(v) for k, v in holders.items() if len(v) >= least}
+                holders[k].append(row)
+    gone = {k: max(v, key=by)[0] for k, v in holders.items() if len(v) >= least}
     out = []
     for doc, text, *_ in rows:
         lines = (text or "").split("\n")
         kept = [x for x in lines if gone.get(key(x), doc) == doc]
         out.append((doc, len(lines), len(lines) - len(kept), "\n".join(kept)))
-    return sorted(out)
+    return sorted(out, key=lambda r: (r[0] is not None, r[0], r))
 
 
 def test_line_dedup_is_brute_force(odd, rows):
@@ -79,6 +79,28 @@ def test_line_dedup_is_brute_force(odd, rows):
     assert sum(r.n_dropped for r in got) > 5
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    """Each row loses its own lines only, wherever those of its namesakes stand."""
+    rows = [(1, LONG + "\nfirst unique"), (1, "other text entirely\nsecond row"), (None, "null\n" + LONG), (None, LONG)] + [(i, "x\n" + LONG) for i in range(2, 6)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").withColumn("_doc", F.lit(1))).select("doc_id", "n_lines", "n_dropped", "kept").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_lines(rows, by=lambda r: (r[0] is not None, r[0])), key=str)
+
+
+def test_line_store_joins_move_no_run(spark):
+    """Runs are neither shuffled nor sorted, by joins or compaction, and no name stays in the catalog."""
+    store = line_dedup.LineStore(spark)
+    for k in range(4):
+        store.add(spark.range(k * 50, k * 50 + 100).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"), F.col("id").alias("doc_id")))
+    with line_dedup.sorted_buckets(spark):
+        a, b = store.runs[0], store.runs[-1]
+        for how in ("left", "full", "left_anti"):
+            plan = store.joined(a, b, how)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert {(x.n, x["last"]) for x in store.totals().collect()} == {(1, i) for i in [*range(50), *range(200, 250)]} | {(2, i) for i in range(50, 200)}
+    store.close()
+    assert not spark.sql("SHOW TABLES LIKE 'line_run_*'").count()
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
