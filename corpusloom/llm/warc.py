@@ -1,13 +1,16 @@
 """WARC archives: a writer with revisit records, and a splittable reader.
 
-Writing: rows are dealt into archives of about ARCHIVE bytes by hash, and each record is a gzip member of its
-own. Which record is the response and which revisit it is found from payload digests alone; only digests and
-page ids are shuffled, and the largest page_id of a digest is a partial aggregate, so a payload that a third
-of all pages share is no hot group.
-
-Reading: archives are cut into byte ranges, and a task scans its range for the gzip magic. A candidate is
-valid if it decompresses and its first bytes are a WARC version; the records that start inside a range are
-the task's, and it reads past the range's end to finish the last. No task depends on another or on an index.
+Writing: a task writes its rows into archives of about ARCHIVE bytes, and each record is a gzip member of its
+own. Which record is the response and which revisit it is found from payload digests and page ids; the largest
+page_id of a digest is a partial aggregate, so a payload that a third of all pages share is no hot group. Payloads
+meet the table of revisits by broadcast while that is below Spark's threshold; beyond it they are shuffled once,
+by page and digest, which no group of copies makes hot.
+
+Reading: archives are cut into byte ranges, dealt out by a number of tasks that grows with the ranges, and a task
+scans its range for the gzip magic. A candidate is valid if it decompresses, its first bytes are a WARC version, and
+it names the archive it stands in (WARC-Warcinfo-ID), so that an archive stored as a payload is no record of the
+one that holds it. The records that start inside a range are the task's, and it reads past the range's end to finish
+the last. No task depends on another or on an index.
 
 Archives are files in the folder that driver and executors share; ``pyarrow.fs`` reaches it on a local or
 shared mount, HDFS or an object store. They are written under a temporary name and moved, so that a task that
@@ -33,6 +36,8 @@ from .common import materialize, new_path, read
 MIN_PAYLOAD = 1000
 #: Bytes: payload an archive, range a task scans, and what a read fetches at once.
 ARCHIVE, RANGE, CHUNK = 32 << 20, 4 << 20, 1 << 18
+#: Ranges that a reading task takes, where there are more than tasks at once.
+RANGES_PER_TASK = 4
 LEVEL, MAGIC, VERSION = 6, b"\x1f\x8b\x08", b"WARC/1."
 EPOCH = "1970-01-01T00:00:00Z"
 
@@ -44,13 +49,14 @@ def filesystem(path: str):
     return (fs.LocalFileSystem(), path) if not urlparse(path).scheme else fs.FileSystem.from_uri(path)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, archive_id: str = "") -> bytes:
     """A response, or a revisit of ``refers_to`` without the payload. HTTP's Content-Length is the full payload's either way."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     url = "".join(c if c.isprintable() else "%%%02X" % ord(c) for c in url or "")
     head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"]
     head += [f"WARC-Date: {EPOCH}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}"]
+    head += [f"WARC-Warcinfo-ID: <urn:uuid:{archive_id}>"] if archive_id else []
     head += [] if page_id is None else [f"X-Page-Id: {page_id}"]
     if refers_to is not None:
         head += [f"X-Refers-To-Page-Id: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
@@ -77,59 +83,67 @@ def with_types(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
     Of payloads of ``min_payload`` bytes or more that are equal, the largest page_id has the response.
     """
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    meta = pages.select("page_id", F.sha1(html.cast("binary")).alias("_digest"), F.octet_length(html).alias("bytes")).where(F.col("bytes") >= min_payload)
-    copies = meta.groupBy("_digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    rows = rows.join(materialize(copies.select("_digest", "first"), "warc_copies"), F.col("digest") == F.col("_digest"), "left")
-    return rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("_digest", "first")
+    digest = F.sha1(html.cast("binary"))
+    rows = pages.select("page_id", "url", html.alias("html"), digest.alias("digest"))
+    meta = pages.select("page_id", digest.alias("digest"), F.octet_length(html).alias("bytes")).where(F.col("bytes") >= min_payload).select("page_id", "digest")
+    copies = meta.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("digest", "first")
+    revisits = meta.join(materialize(copies, "warc_copies"), "digest").where(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    revisits = materialize(revisits.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("first").alias("refers_to")).distinct(), "warc_revisits")
+    return rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").drop("_page", "_digest")
 
 
 def write_archives(pages: DataFrame, path: str, archive: int = ARCHIVE, min_payload: int = MIN_PAYLOAD) -> DataFrame:
-    """Writes ``pages`` (``page_id``, ``url``, ``html``) to ``path`` and returns the manifest ``(path, bytes, records)``.
+    """Writes ``pages`` (``page_id``, ``url``, ``html``) to ``path`` and returns the manifest ``(path, archive_id, bytes, records)``.
 
     One archive a task; tasks are the input's own splits but for large ones, so that payloads aren't shuffled
-    for the archives' sake.
+    for the archives' sake. An archive's id follows from this call and the archive's name, so a task that is run again
+    writes the same bytes.
     """
 
-    manifest = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
+    manifest = pa.schema([("path", pa.string()), ("archive_id", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
+    run_id = uuid.uuid4()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = filesystem(path)
         where.create_dir(base, recursive=True)
         context, k, done = TaskContext.get(), 0, []
-        out, size, records, name, temp = None, 0, 0, "", ""
+        out, size, records, name, temp, archive_id = None, 0, 0, "", "", ""
 
         def close() -> None:
             nonlocal out
             out.close()
             where.move(temp, name)
-            done.append((name, size, records))
+            done.append((name, archive_id, size, records))
             out = None
 
         for b in batches:
             for row in b.to_pylist():
                 if out is None:
                     name, size, records = f"{base}/part-{context.partitionId():06d}-{k:04d}.warc.gz", 0, 0
-                    temp, k = f"{base}/.{uuid.uuid4().hex}", k + 1
+                    temp, k, archive_id = f"{base}/.{uuid.uuid4().hex}", k + 1, str(uuid.uuid5(run_id, name.rpartition("/")[2]))
                     out = where.open_output_stream(temp, compression=None)
-                data = member(record(row["page_id"], row["url"], row["html"].encode("utf-8", "surrogatepass"), row["digest"], row["refers_to"]))
+                data = member(record(row["page_id"], row["url"], row["html"].encode("utf-8", "surrogatepass"), row["digest"], row["refers_to"], archive_id))
                 out.write(data)
                 size, records = size + len(data), records + 1
                 if size >= archive:
                     close()
         if out is not None:
             close()
-        yield pa.RecordBatch.from_pylist([dict(zip(("path", "bytes", "records"), x, strict=True)) for x in done], schema=manifest)
+        yield pa.RecordBatch.from_pylist([dict(zip(manifest.names, x, strict=True)) for x in done], schema=manifest)
 
     scheme = urlparse(path)
     rows = with_types(pages, min_payload)
-    made = materialize(rows.mapInArrow(run, "path string, bytes long, records long"), "warc_manifest")
+    made = materialize(rows.mapInArrow(run, "path string, archive_id string, bytes long, records long"), "warc_manifest")
     prefix = f"{scheme.scheme}://{scheme.netloc}" if scheme.scheme else ""
     return made.withColumn("path", F.concat(F.lit(prefix), "path"))
 
 
-def scan_range(file, size: int, start: int, end: int) -> Iterator[bytes]:
-    """The records whose members start in ``start:end`` of an open archive. False magic inside a member fails to decode."""
+def scan_range(file, size: int, start: int, end: int, archive_id: str = "") -> Iterator[bytes]:
+    """The records whose members start in ``start:end`` of an open archive. False magic inside a member fails to decode.
+
+    With ``archive_id``, only records that name it count.
+    """
+    mark = f"\r\nWARC-Warcinfo-ID: <urn:uuid:{archive_id}>\r\n".encode() if archive_id else b""
     window, base = b"", start
 
     def more(upto: int) -> None:
@@ -150,7 +164,7 @@ def scan_range(file, size: int, start: int, end: int) -> Iterator[bytes]:
             if at >= end:
                 return
             data, after = decode(lambda i, n: (more(i + n), window[i - base : i - base + n])[1], at, size)
-            if data is None:
+            if data is None or mark and mark not in data.partition(b"\r\n\r\n")[0] + b"\r\n":
                 at += 1
             else:
                 yield data
@@ -181,8 +195,13 @@ def decode(get, at: int, size: int) -> tuple[bytes | None, int]:
 
 
 def read_archives(manifest: DataFrame, span: int = RANGE) -> DataFrame:
-    """One row a record of the archives in ``manifest`` (``path``, ``bytes``), by byte ranges of ``span``."""
-    ranges = manifest.where("bytes > 0").select("path", F.col("bytes").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(span).cast("long"))).alias("start"))
+    """One row a record of the archives in ``manifest`` (``path``, ``bytes``, ``archive_id`` if known), by byte ranges of ``span``."""
+    archive_id = F.col("archive_id") if "archive_id" in manifest.columns else F.lit("")
+    starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(span).cast("long"))
+    ranges = manifest.where("bytes > 0").select("path", archive_id.alias("archive_id"), F.col("bytes").alias("size"), F.explode(starts).alias("start"))
+    cores = manifest.sparkSession.sparkContext.defaultParallelism
+    n = ranges.count()  # a number of tasks that is asked for isn't taken for too many by the size of the ranges' rows
+    tasks = max(1, min(n, cores), -(-n // RANGES_PER_TASK))
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
@@ -200,11 +219,11 @@ def read_archives(manifest: DataFrame, span: int = RANGE) -> DataFrame:
             for r in b.to_pylist():
                 where, name = filesystem(r["path"])
                 with where.open_input_file(name) as file:
-                    found = scan_range(file, r["size"], r["start"], min(r["size"], r["start"] + span))
+                    found = scan_range(file, r["size"], r["start"], min(r["size"], r["start"] + span), r["archive_id"])
                     while rows := [row(data) for data in itertools.islice(found, 256)]:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return ranges.repartition(tasks).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def archive_and_read(pages: DataFrame, path: str | None = None) -> DataFrame:

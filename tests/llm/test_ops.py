@@ -332,6 +332,25 @@ def test_warc_round_trip(spark, monkeypatch):
         assert {r.payload_digest for r in got if r.page_id in (1, 5)} == {hashlib.sha1(big.encode()).hexdigest()}
 
 
+def test_warc_ranges_are_dealt_over_tasks(spark):
+    rows = [(i, "u", random.Random(i).randbytes(3000).decode("latin1")) for i in range(60)]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), warc.new_path(spark, "warc"))
+    got = warc.read_archives(manifest, 10_000).withColumn("task", F.spark_partition_id())
+    per_task = {r.task: r["count"] for r in got.groupBy("task").count().collect()}
+    assert sum(per_task.values()) == 60 and len(per_task) >= 4 and max(per_task.values()) <= 30
+
+
+def test_an_archive_as_a_payload_is_no_record(spark, tmp_path):
+    """Stored bytes of records, even at a range's very start, are told from the archive's own by its id."""
+    inner = warc.member(warc.record(7, "http://inner", b"inner", "d", None, "other"))
+    own = warc.member(warc.record(1, "http://a", b"x", "d", None, "mine"))
+    import io
+
+    data = own + inner + own
+    assert len(list(warc.scan_range(io.BytesIO(data), len(data), len(own), len(data), "mine"))) == 1
+    assert len(list(warc.scan_range(io.BytesIO(data), len(data), len(own), len(data)))) == 2
+
+
 def test_warc_of_nothing(spark):
     assert warc.archive_and_read(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
