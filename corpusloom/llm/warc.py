@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, read
+from .common import filesystem, materialize, new_path, read
 
 MIN_PAYLOAD = 1000
 #: Bytes: payload an archive, range a task scans, and what a read fetches at once.
@@ -42,13 +42,6 @@ LEVEL, MAGIC, VERSION = 6, b"\x1f\x8b\x08", b"WARC/1."
 EPOCH = "1970-01-01T00:00:00Z"
 
 
-def filesystem(path: str):
-    """The file system of a path or URI, and the path on it."""
-    from pyarrow import fs
-
-    return (fs.LocalFileSystem(), path) if not urlparse(path).scheme else fs.FileSystem.from_uri(path)
-
-
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, archive_id: str = "") -> bytes:
     """A response, or a revisit of ``refers_to`` without the payload. HTTP's Content-Length is the full payload's either way."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)

@@ -192,8 +192,8 @@ def test_splitting_tree_deals_all_blocks(spark):
 def test_pieces_count_alike():
     import tiktoken
 
-    pattern, ranks = token_counts.load_ranks()
-    e = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    _, ranks = token_counts.load_ranks()
+    e = tiktoken.Encoding("t", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
     r = random.Random(5)
     text = "".join(r.choice(["word", " ", "  ", "\n", "é1", "'s", ", ", "x y z ", "　"]) for _ in range(3000))
     for size in (7, 50, 501):
@@ -202,20 +202,60 @@ def test_pieces_count_alike():
         assert sum(len(e.encode_ordinary(p)) for p in parts) == len(e.encode_ordinary(text))
 
 
+TOTALS = ["source", "lang", "tokenizer", "n_docs", "n_tokens", "n_bytes"]
+
+
+def recount(counts):
+    """Totals from all counts at once."""
+    want = counts.groupBy("source", "lang", "tokenizer").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_bytes").alias("n_bytes"))
+    return sorted(map(str, want.select(TOTALS).collect()))
+
+
+def totals(rollup):
+    return sorted(map(str, rollup.totals().select(TOTALS).collect()))
+
+
 def test_rollup_by_deltas(spark, docs):
-    """Inserts, revisions, deletes and a batch delivered twice: the totals are those of what is left."""
-    counts = token_counts.count_tokens(docs.dropDuplicates(["doc_id"])).cache()
+    """Inserts, revisions, deletes and a batch delivered twice: the totals are those of what is left, compacted or not."""
+    counts = token_counts.count_tokens(docs).cache()
+    for fanout in (2, 9):
+        rollup = token_counts.Rollup(spark, fanout=fanout)
+        low, high = counts.where("doc_id < 20"), counts.where("doc_id >= 20 or doc_id is null")
+        assert rollup.commit("a", token_counts.changes_of(low))
+        assert rollup.commit("b", token_counts.changes_of(high))
+        assert not rollup.commit("b", token_counts.changes_of(high))
+        assert totals(rollup) == recount(counts)
+        revised = counts.where("doc_id in (3, 25)").withColumns({"n_tokens": F.col("n_tokens") + 5, "source": F.lit("z")})
+        assert rollup.commit("c", token_counts.changes_of(revised, "revise").unionByName(token_counts.changes_of(counts.where("doc_id in (4, 100)"), "delete")))
+        left = counts.where("doc_id not in (3, 25, 4, 100)").unionByName(revised)
+        assert totals(rollup) == recount(left)
+        assert rollup.commit("d", token_counts.changes_of(counts.where("doc_id = 4"), "insert")) and totals(rollup) == recount(left.unionByName(counts.where("doc_id = 4")))
+        assert sum(map(len, rollup._tables())) == (1 if fanout == 2 else 4)
+
+
+def test_rollup_takes_the_last_change_of_a_batch(spark):
+    """By sequence: a smaller revised count, and a delete after an insert, in one batch."""
+    rows = [(1, "insert", 0, 10), (1, "revise", 1, 4), (2, "insert", 0, 7), (2, "delete", 1, 7), (3, "delete", 0, 0), (3, "insert", 1, 6), (4, "delete", 0, 1), (None, "insert", 0, 5)]
+    changes = spark.createDataFrame([(d, 0, o, q, "s", None, "t", 1, n, n) for d, o, q, n in rows], "doc_id long, part long, op string, seq long, source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long")
+    rollup = token_counts.Rollup(spark)
+    rollup.commit("a", changes.withColumn("live", F.lit("an extra column")))
+    assert [(r.n_docs, r.n_tokens) for r in rollup.totals().collect()] == [(3, 15)]
+    rollup.commit("b", changes.where("op = 'insert'").withColumn("op", F.lit("delete")))
+    assert rollup.totals().count() == 0
+
+
+def test_rollup_counts_rows_that_share_an_id(spark):
+    rows = [(1, "one two", "en", "a", 1)] * 3 + [(1, "three", "en", "a", 1), (None, "x", None, None, 1), (None, "y y", None, None, 1), (None, None, None, None, None)]
+    counts = token_counts.count_tokens(spark.createDataFrame(rows, SCHEMA))
+    rollup = token_counts.Rollup(spark)
+    rollup.commit("a", token_counts.changes_of(counts))
+    assert totals(rollup) == recount(counts) and sum(r.n_docs for r in rollup.totals().collect()) == 7
+
+
+def test_rollup_of_nothing(spark):
+    counts = token_counts.count_tokens(empty(spark))
     rollup = token_counts.Rollup(spark)
-    low, high = counts.where("doc_id < 20"), counts.where("doc_id >= 20")
-    assert rollup.commit("a", token_counts.changes_of(low))
-    assert rollup.commit("b", token_counts.changes_of(high))
-    assert not rollup.commit("b", token_counts.changes_of(high))
-    revised = counts.where("doc_id in (3, 25)").withColumns({"n_tokens": F.col("n_tokens") + 5, "source": F.lit("z")})
-    assert rollup.commit("c", token_counts.changes_of(revised, "revise").unionByName(token_counts.changes_of(counts.where("doc_id in (4, 100)"), "delete")))
-    expected = counts.where("doc_id not in (3, 25, 4, 100)").unionByName(revised)
-    want = expected.groupBy("source", "lang", "tokenizer").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_bytes").alias("n_bytes"))
-    columns = ["source", "lang", "tokenizer", "n_docs", "n_tokens", "n_bytes"]
-    assert sorted(map(str, rollup.totals().select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert rollup.commit("a", token_counts.changes_of(counts)) and rollup.totals().count() == 0
 
 
 def test_rollup_ignores_what_was_not_committed(spark, docs):
@@ -226,6 +266,16 @@ def test_rollup_ignores_what_was_not_committed(spark, docs):
     assert rollup.totals().count() == 0
 
 
+def test_tokenizer_version_is_of_its_file(tmp_path):
+    import shutil
+
+    shutil.copy(f"{token_counts.TOKENIZERS}/{token_counts.TOKENIZER}.tiktoken", tmp_path / "own.tiktoken")
+    version, ranks = token_counts.load_ranks(str(tmp_path), "own")
+    with open(tmp_path / "own.tiktoken", "ab") as f:
+        f.write(b"enp6eg== 60000\n")
+    assert version.startswith("own@") and token_counts.load_ranks(str(tmp_path), "own")[0] != version and len(ranks) > 50_000
+
+
 # 4
 
 
