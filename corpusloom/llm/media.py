@@ -1,7 +1,8 @@
 """Media columns: Netpbm and BMP decoded to arrays, area-resized by integral images, written as NPY tiles.
 
 An integral image has at each place the sum of all samples above and left of it, so the mean of any box,
-whole or in part, is four look-ups whatever the box's size. A tile is an image's area-resized thumbnail as
+whole or in part, is four look-ups whatever the box's size; long images go through it by bands of rows, of which only those are
+kept that box edges lie between. A tile is an image's area-resized thumbnail as
 the bytes of an NPY file; a difference hash says of each sample of an (h, w+1) thumbnail whether the next
 is brighter. Images are handled one at a time where they lie; nothing is shuffled.
 """
@@ -25,34 +26,46 @@ from .common import map_texts, read
 SIDE, PAD = 24, 255
 UNIT = SIDE * SIDE
 TILE, HASH = (16, 16), (8, 8)
+#: Samples of a band whose integral image is held at once.
+BAND = 1 << 20
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 to (rows, columns) or (rows, columns, 3); samples of up to 16 bits, bitmaps as 0 (black) and 1."""
+def decode_netpbm(data: bytes) -> tuple[np.ndarray, int]:
+    """P1 to P6 to (rows, columns) or (rows, columns, 3), and the largest sample that the header allows.
+
+    Samples have up to 16 bits; bitmaps are 0 (black) and 1.
+    """
     kind, at = data[:2], 2
+    if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
+        raise ValueError("not Netpbm")
     values = []
     for _ in range(2 if kind in (b"P1", b"P4") else 3):
         got = _TOKEN.match(data, at)
-        if not got:
+        if not got or not got[1].isdigit():
             raise ValueError("not a Netpbm header")
         values.append(int(got[1]))
         at = got.end()
     width, height, top = (*values, 1)[:3]
+    if not 0 < top < 1 << 16:
+        raise ValueError(f"Netpbm with samples up to {top}")
     depth = 3 if kind in (b"P3", b"P6") else 1
     shape = (height, width, 3) if depth == 3 else (height, width)
     if kind == b"P4":
         stride = (width + 7) // 8
         rows = np.frombuffer(data, np.uint8, height * stride, at + 1).reshape(height, stride)
-        return 1 - np.unpackbits(rows, axis=1)[:, :width]
+        return 1 - np.unpackbits(rows, axis=1)[:, :width], top
+    wide = np.dtype(">u2") if top > 255 else np.dtype(np.uint8)
     if kind in (b"P5", b"P6"):
-        wide = np.dtype(">u2") if top > 255 else np.dtype(np.uint8)
-        return np.frombuffer(data, wide, height * width * depth, at + 1).reshape(shape).astype(wide.newbyteorder("="))
-    if kind == b"P1":
-        return 1 - np.frombuffer(re.sub(rb"#[^\n]*\n|\s", b"", data[at:]), np.uint8, height * width).reshape(shape) % 48
-    if kind in (b"P2", b"P3"):
-        return np.array(data[at:].split()[: height * width * depth], int).reshape(shape).astype(np.uint16 if top > 255 else np.uint8)
-    raise ValueError("not Netpbm")
+        samples = np.frombuffer(data, wide, height * width * depth, at + 1)
+    elif kind == b"P1":
+        samples = 49 - np.frombuffer(re.sub(rb"#[^\n]*\n|\s", b"", data[at:]), np.uint8, height * width)
+    else:
+        samples = np.array(data[at:].split(None, height * width * depth)[: height * width * depth], int)
+    samples = samples.reshape(shape)
+    if samples.size and not 0 <= samples.min() <= samples.max() <= top:
+        raise ValueError(f"Netpbm with a sample outside 0 to {top}")
+    return samples.astype(wide.newbyteorder("="), copy=False), top
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -65,14 +78,16 @@ def decode_bmp(data: bytes) -> np.ndarray:
         raise ValueError("not BMP")
     (at,) = struct.unpack_from("<I", data, 10)
     head, width, height, _, bits, packed, _, _, _, used, _ = struct.unpack_from("<IiiHHIIiiII", data, 14)
-    if packed or bits not in (8, 24):
-        raise ValueError(f"BMP of {bits} bits, compression {packed}")
+    if packed or bits not in (8, 24) or width < 0 or used < 0:
+        raise ValueError(f"BMP of {bits} bits, compression {packed}, width {width}")
     stride = (width * bits // 8 + 3) // 4 * 4
     rows = np.frombuffer(data, np.uint8, abs(height) * stride, at).reshape(abs(height), stride)[:, : width * bits // 8]
     rows = rows[::-1] if height > 0 else rows
     if bits == 24:
         return rows.reshape(abs(height), width, 3)[:, :, ::-1]
     palette = np.frombuffer(data, np.uint8, 4 * (used or 256), 14 + head).reshape(-1, 4)[:, 2::-1]
+    if rows.size and rows.max() >= len(palette):
+        raise ValueError(f"BMP with a sample beyond its {len(palette)} colours")
     grey = (palette == palette[:, :1]).all()
     return palette[:, 0][rows] if grey else palette[rows]
 
@@ -86,36 +101,52 @@ def encode_bmp(samples: np.ndarray) -> bytes:
     return b"BM" + struct.pack("<IHHI", at + len(rows), 0, 0, at) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 8, 0, len(rows), 2835, 2835, 256, 0) + palette + rows
 
 
-def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+def decode(data: bytes) -> tuple[np.ndarray, int]:
+    """The samples, and the largest that their format allows."""
+    return (decode_bmp(data), 255) if data[:2] == b"BM" else decode_netpbm(data)
 
 
 def area_resize(image: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     """Each output sample is the mean of its box of the image, parts of samples included; float64."""
     if not image.size:
         return np.zeros((*shape, *image.shape[2:]))
-    integral = np.zeros((image.shape[0] + 1, image.shape[1] + 1, *image.shape[2:]))
-    integral[1:, 1:] = image.cumsum(axis=0, dtype=np.float64).cumsum(axis=1)
-
-    def between(sums: np.ndarray, n: int, axis: int) -> np.ndarray:
-        """Sums up to the edges of n equal boxes along an axis, linear between samples."""
-        edges = np.linspace(0, sums.shape[axis] - 1, n + 1)
-        low = np.minimum(edges.astype(int), sums.shape[axis] - 2)
-        part = (edges - low).reshape([-1 if k == axis else 1 for k in range(sums.ndim)])
-        return np.take(sums, low, axis) * (1 - part) + np.take(sums, low + 1, axis) * part
-
-    boxes = between(between(integral, shape[0], 0), shape[1], 1)
-    return np.diff(np.diff(boxes, axis=0), axis=1) * (shape[0] * shape[1] / (image.shape[0] * image.shape[1]))
+    height, width = image.shape[:2]
+
+    def edges(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The edges of n equal boxes: the sample each lies in, and how far in."""
+        at = np.linspace(0, size, n + 1)
+        low = np.minimum(at.astype(int), size - 1)
+        return low, at - low
+
+    low, part = edges(shape[0], height)
+    wanted = np.unique(np.concatenate([low, low + 1]))
+    rows = np.zeros((len(wanted), width + 1, *image.shape[2:]))  # of the integral image, those that are asked for
+    carry, step = np.zeros(image.shape[1:]), max(1, BAND // max(1, width))
+    for start in range(0, height, step):
+        sums = image[start : start + step].cumsum(axis=0, dtype=np.float64) + carry
+        mine = np.flatnonzero((wanted > start) & (wanted <= start + len(sums)))
+        rows[mine, 1:] = sums[wanted[mine] - start - 1].cumsum(axis=1)
+        carry = sums[-1]
+
+    def between(sums: np.ndarray, low: np.ndarray, high: np.ndarray, part: np.ndarray, axis: int) -> np.ndarray:
+        """Sums at the edges, linear between samples."""
+        part = part.reshape([-1 if k == axis else 1 for k in range(sums.ndim)])
+        return np.take(sums, low, axis) * (1 - part) + np.take(sums, high, axis) * part
+
+    boxes = between(rows, np.searchsorted(wanted, low), np.searchsorted(wanted, low + 1), part, 0)
+    low, part = edges(shape[1], width)
+    boxes = between(boxes, low, low + 1, part, 1)
+    return np.diff(np.diff(boxes, axis=0), axis=1) * (shape[0] * shape[1] / (height * width))
 
 
 def grey(image: np.ndarray) -> np.ndarray:
     return image if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
 
 
-def tile(image: np.ndarray, shape: tuple[int, int] = TILE) -> bytes:
-    """The thumbnail as the bytes of an NPY file of 8-bit samples."""
+def tile(image: np.ndarray, shape: tuple[int, int] = TILE, top: int = 255) -> bytes:
+    """The thumbnail as the bytes of an NPY file of 8-bit samples, whatever the largest sample ``top`` of the image's format."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(image, shape)), 0, 255).astype(np.uint8))
+    np.save(out, np.clip(np.rint(area_resize(image, shape) * (255 / top)), 0, 255).astype(np.uint8))
     return out.getvalue()
 
 
@@ -140,8 +171,8 @@ def media_columns(media: DataFrame, shape: tuple[int, int] = TILE) -> DataFrame:
 
     def one(data: bytes | None) -> dict:
         try:
-            image = decode(data or b"")
-            return {"height": image.shape[0], "width": image.shape[1], "channels": image.shape[2] if image.ndim == 3 else 1, "tile": tile(image, shape), "dhash": difference_hash(image), "error": None}
+            image, top = decode(data or b"")
+            return {"height": image.shape[0], "width": image.shape[1], "channels": image.shape[2] if image.ndim == 3 else 1, "tile": tile(image, shape, top), "dhash": difference_hash(image), "error": None}
         except (ValueError, struct.error, OverflowError) as e:
             return dict.fromkeys(("height", "width", "channels", "tile", "dhash")) | {"error": str(e) or type(e).__name__}
 
@@ -158,13 +189,13 @@ def text_media(docs: DataFrame) -> DataFrame:
     """Texts stored as images and read back: sizes, digests and a feature per row of ``docs`` (``doc_id``, ``text``).
 
     Null text is empty, and an empty payload is one unit of padding. The feature is the difference hash and the
-    tile's digest. Repeated rows and equal texts get equal values. Other columns are left out.
+    tile's digest. Repeated rows and equal texts get equal values. Other columns are left out. Empty table: empty result.
     """
 
     def one(text: str | None) -> tuple:
         raw = (text or "").encode("utf-8", "surrogatepass")
         stored = store(raw + bytes([PAD]) * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw)))
-        image = decode(stored)
+        image, _ = decode(stored)
         back = np.ascontiguousarray(image).tobytes()
         feature = f"{difference_hash(image)}:{hashlib.md5(tile(image)).hexdigest()[:16]}"
         return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature

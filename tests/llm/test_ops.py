@@ -299,25 +299,47 @@ def test_area_resize_is_the_mean_of_boxes():
         assert np.allclose(media.area_resize(image, (oh, ow)), want)
 
 
+def test_area_resize_by_bands(monkeypatch):
+    image = np.random.default_rng(3).integers(0, 256, (103, 24, 3))
+    whole = media.area_resize(image, (9, 7))
+    for band in (1, 50, 24 * 7, 1 << 20):
+        monkeypatch.setattr(media, "BAND", band)
+        assert np.allclose(media.area_resize(image, (9, 7)), whole)
+
+
 def test_netpbm_and_bmp():
     r = np.random.default_rng(1)
     grey = r.integers(0, 256, (5, 7), dtype=np.uint8)
-    assert (media.decode(media.encode_pgm(grey)) == grey).all() and (media.decode(media.encode_bmp(grey)) == grey).all()
+    samples = lambda data: media.decode(data)[0]
+    assert (samples(media.encode_pgm(grey)) == grey).all() and (samples(media.encode_bmp(grey)) == grey).all()
     rgb = r.integers(0, 256, (3, 4, 3), dtype=np.uint8)
-    assert (media.decode(b"P6 # c\n4 3\n255\n" + rgb.tobytes()) == rgb).all()
-    assert (media.decode(b"P3\n4 3 255\n" + " ".join(map(str, rgb.ravel())).encode()) == rgb).all()
-    assert media.decode(b"P1\n3 2\n1 0 1\n0 1 1\n").tolist() == [[0, 1, 0], [1, 0, 0]]
-    assert media.decode(b"P4\n3 2\n" + bytes([0b10100000, 0b01100000])).tolist() == [[0, 1, 0], [1, 0, 0]]
-    assert media.decode(b"P5\n1 1\n65535\n\x01\x02").tolist() == [[258]]
+    assert (samples(b"P6 # c\n4 3\n255\n" + rgb.tobytes()) == rgb).all()
+    assert (samples(b"P3\n4 3 255\n" + " ".join(map(str, rgb.ravel())).encode()) == rgb).all()
+    assert samples(b"P1\n3 2\n1 0 1\n0 1 1\n").tolist() == [[0, 1, 0], [1, 0, 0]]
+    assert samples(b"P4\n3 2\n" + bytes([0b10100000, 0b01100000])).tolist() == [[0, 1, 0], [1, 0, 0]]
+    assert media.decode(b"P5\n1 1\n65535\n\x01\x02")[0].tolist() == [[258]] and media.decode(b"P5\n1 1\n15\n\x07")[1] == 15
+
+
+def test_tiles_are_scaled_by_the_largest_sample():
+    load = lambda data: np.load(__import__("io").BytesIO(data))
+    ramp = np.linspace(0, 65535, 64 * 64).reshape(64, 64).astype(">u2")
+    image, top = media.decode(b"P5\n64 64\n65535\n" + ramp.tobytes())
+    assert top == 65535 and abs(load(media.tile(image, top=top)).astype(float) - media.area_resize(ramp.astype(float) * 255 / 65535, media.TILE)).max() <= 0.5
+    dark, top = media.decode(b"P2\n2 1\n3\n0 3\n")
+    assert load(media.tile(dark, (1, 2), top)).tolist() == [[0, 255]]
 
 
 def test_media_columns_with_errors(spark):
     image = np.arange(64, dtype=np.uint8).reshape(8, 8)
     rows = [(1, media.encode_pgm(image)), (2, media.encode_bmp(image)), (3, None), (4, b""), (5, b"P5\n9 9\n255\n"), (6, b"BMx")]
+    two = bytearray(media.encode_bmp(image))
+    two[46:50] = (2).to_bytes(4, "little")  # a palette of two colours, and samples beyond
+    rows += [(7, bytes(two)), (8, b"P2\n1 1\n5\n9\n"), (9, b"P5\n-1 4\n255\n"), (10, b"P5\n1 1\n0\n\0")]
     got = {r.media_id: r for r in media.media_columns(spark.createDataFrame(rows, "media_id long, bytes binary")).collect()}
     assert got[1].dhash == got[2].dhash == "ff" * 8 and got[1].tile == got[2].tile and got[1].error is None
     assert np.load(__import__("io").BytesIO(bytes(got[1].tile))).shape == media.TILE
-    assert all(got[i].error and got[i].tile is None for i in (3, 4, 5, 6))
+    assert all(got[i].error and got[i].tile is None for i in range(3, 11))
+    assert media.text_media(empty(spark)).count() == media.media_columns(spark.createDataFrame([], "media_id long, bytes binary")).count() == 0
 
 
 # 5
