@@ -5,10 +5,10 @@ source is permuted by an affine map. A source's target in words becomes an exact
 passes over the source, then blocks from the front, then part of one block). The tree splits the vector of
 quotas among the output shards: each node's left half draws as many blocks as its shards hold, one exact
 hypergeometric draw a source, given the draws before. Shards then own disjoint ranges of each source's
-permuted blocks and order their documents by a local hash.
+permuted blocks and order their documents by a local hash. The number of shards grows with the input.
 
 Only word counts move; texts are read once. Running sums go over blocks of blocks, so that the hottest
-source is summed by many tasks; the per-source table is the one thing a single task holds.
+source is summed by many tasks; the tables of one row a source are what a single task holds.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, read, unit_interval
+from .common import WORD, materialize, read, shielded, unit_interval
 
 DOCS_PER_BLOCK, SUPER = 256, 1024
-SHARDS, MAX_REPEATS, SEED = 16, 3, 20
+#: Shards are as many as give each about so many blocks, but at least the first number.
+SHARDS, BLOCKS_PER_SHARD = 16, 256
+MAX_REPEATS, SEED = 3, 20
 #: A prime above any number of blocks, so that it has no factor in common with it.
 PRIME = 2147483647
 
@@ -66,7 +68,7 @@ def hypergeometric(pool: Column, good: Column, draws: Column, u: Column) -> Colu
     mode = F.least(high, F.greatest(low, F.floor((m + 1) * (k + 1) / (n + 2)).cast("double")))
     spread = F.sqrt(F.greatest(F.lit(0.0), m * k / n * (1 - k / n) * (n - m) / F.greatest(F.lit(1.0), n - 1)))
 
-    def steps(at: Column, width: Column, total: Column, up: bool, state: Column) -> Column:
+    def steps(at: Column, width: Column, up: bool, state: Column) -> Column:
         """Folds over the outcomes on one side; state: odds, what is left of ``u``, the outcome, the sum of odds."""
         count = F.least((high - at) if up else (at - low), width).cast("int")
 
@@ -84,11 +86,11 @@ def hypergeometric(pool: Column, good: Column, draws: Column, u: Column) -> Colu
 
     def drawn(at: Column, width: Column) -> Column:
         none = F.lit(-1.0)
-        total = 1 + steps(at, width, none, True, start(none, at, F.lit(0.0)))["sum"] + steps(at, width, none, False, start(none, at, F.lit(0.0)))["sum"]
+        total = 1 + steps(at, width, True, start(none, at, F.lit(0.0)))["sum"] + steps(at, width, False, start(none, at, F.lit(0.0)))["sum"]
 
         def search(t: Column) -> Column:
-            above = steps(at, width, none, True, start(t - 1, at, F.lit(0.0)))
-            return let(above, lambda a: F.when((t < 1) | (a["left"] < 0), a["found"]).otherwise(steps(at, width, none, False, start(a["left"], at, F.lit(0.0)))["found"]))
+            above = steps(at, width, True, start(t - 1, at, F.lit(0.0)))
+            return let(above, lambda a: F.when((t < 1) | (a["left"] < 0), a["found"]).otherwise(steps(at, width, False, start(a["left"], at, F.lit(0.0)))["found"]))
 
         return let(total * u, search)
 
@@ -109,13 +111,16 @@ def split(quotas: Column, draws: Column, key: Column, seed: int) -> Column:
 
 
 def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``(shard, quotas)``: the one row of ``quotas`` (an array, in blocks) dealt to ``shards`` shards of equal numbers of blocks."""
+    """``(shard, quotas)``: the one row of ``quotas`` (an array, in blocks) dealt to ``shards`` shards of equal numbers of blocks.
+
+    A level's nodes are a table of their own, as both children use what their node's left half drew.
+    """
     total = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, q: a + q)
     nodes = quotas.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "quotas", total.alias("total"))
     upto = lambda shard: F.floor(shard * F.col("total") / shards)  # noqa: E731  blocks of all shards below
     for _ in range((shards - 1).bit_length()):
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        left = split(F.col("quotas"), upto(mid) - upto(F.col("lo")), F.col("lo") * (shards + 1) + F.col("hi"), seed)
+        left = split(F.col("quotas"), upto(mid) - upto(F.col("lo")), F.col("lo").cast("long") * (shards + 1) + F.col("hi"), seed)
         nodes = nodes.withColumns({"mid": mid, "left": F.when(F.col("hi") - F.col("lo") > 1, left)})
         nodes = materialize(nodes, "mix_node")
         halves = F.array(F.struct(F.col("lo"), F.col("mid").alias("hi"), F.col("left").alias("quotas")), F.struct(F.col("mid").alias("lo"), F.col("hi"), F.zip_with("quotas", "left", lambda q, x: q - x).alias("quotas")))
@@ -124,10 +129,22 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
     return nodes.select(F.col("lo").alias("shard"), "quotas")
 
 
-def plan(meta: DataFrame, shards: int = SHARDS, seed: int = SEED, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
-    """``meta`` with its source's figures, ``copies`` (how often the mix takes it) and ``shards`` (where each copy goes)."""
+def homes(tree: DataFrame, by: DataFrame) -> DataFrame:
+    """``(rank, at, homes)``: for each block of a source that the mix takes, the shard of each time it does.
+
+    The shards own a source's draws in order: draw ``e * blocks + at`` is block ``at``'s in pass ``e``.
+    """
+    each = tree.select("shard", F.posexplode("quotas").alias("rank", "q"))
+    end = F.sum("q").over(Window.partitionBy("rank").orderBy("shard"))
+    each = each.withColumn("end", end).where("q > 0").select("rank", "shard", F.explode(F.sequence(F.col("end") - F.col("q"), F.col("end") - 1)).alias("draw"))
+    each = each.join(by.select("rank", "blocks"), "rank").withColumns({"at": F.col("draw") % F.col("blocks"), "pass": F.floor(F.col("draw") / F.col("blocks"))})
+    return each.groupBy("rank", "at").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("homes"))
+
+
+def plan(meta: DataFrame, shards: int | None = None, seed: int = SEED, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
+    """``meta`` (``doc_id``, ``source``, ``size``) with its source's figures, ``copies`` (how often the mix takes it), ``shards`` (where each copy goes) and ``orders`` (its place's key there)."""
+    by = materialize(targets(meta), "mix_targets").withColumn("blocks", F.ceil(F.col("n_docs") / docs_per_block))
     meta = meta.withColumnsRenamed({"source": "_source"})
-    by = materialize(targets(meta.withColumnRenamed("_source", "source")), "mix_targets").withColumn("blocks", F.ceil(F.col("n_docs") / docs_per_block))
     whole = F.least(F.lit(MAX_REPEATS), F.floor(F.col("target") / F.col("words")))
     by = by.withColumn("passes", F.when(F.col("words") > 0, whole).otherwise(F.lit(0)).cast("long"))
     by = by.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("words")))
@@ -150,14 +167,14 @@ def plan(meta: DataFrame, shards: int = SHARDS, seed: int = SEED, docs_per_block
     # quotas in blocks, dealt to shards
     front = F.coalesce("front", F.lit(0))
     quota = F.col("passes") * F.col("blocks") + front + F.when((front < F.col("blocks")) & (F.col("passes") < MAX_REPEATS), 1).otherwise(0)
-    row = by.join(fronts, "rank", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", quota.cast("long").alias("q")))), lambda x: x["q"]).alias("quotas"))
-    tree = splitting_tree(row, shards, seed).select("shard", F.posexplode("quotas").alias("rank", "q"))
-    ends = F.array_sort(F.collect_list(F.struct("shard", "q")))
-    running = lambda a: F.aggregate(a, F.array().cast("array<long>"), lambda s, x: F.array_append(s, F.coalesce(F.element_at(F.when(F.size(s) > 0, s), -1), F.lit(0)) + x["q"]))
-    ends = materialize(tree.groupBy("rank").agg(running(ends).alias("ends")), "mix_shards")
+    quotas = by.join(fronts, "rank", "left").select("rank", quota.cast("long").alias("q"))
+    if shards is None:
+        shards = max(SHARDS, (quotas.agg(F.sum("q")).first()[0] or 0) // BLOCKS_PER_SHARD)
+    row = quotas.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "q"))), lambda x: x["q"]).alias("quotas"))
+    own = materialize(homes(splitting_tree(row, shards, seed), by), "mix_homes")
 
     # of the block at the front, the largest documents that still fit
-    placed = placed.join(fronts, "rank", "left").join(ends, "rank")
+    placed = placed.join(fronts, "rank", "left").join(own, ["rank", "at"], "left")
     edge = placed.where(F.col("at") == F.col("front")).groupBy("rank", "doc_id", "size", "rest", "front_words").agg(F.count(F.lit(1)).alias("n"))
     best = F.array_sort(F.collect_list(F.struct((-F.col("size") * F.col("n")).alias("less"), F.xxhash64(F.lit(seed), "doc_id").alias("h"), "doc_id", "size")))
     none = F.array().cast(edge.select("doc_id", "size").schema.simpleString().join(("array<", ">")))
@@ -173,23 +190,31 @@ def plan(meta: DataFrame, shards: int = SHARDS, seed: int = SEED, docs_per_block
     placed = placed.join(picked, same, "left")
     more = F.when((F.col("at") < F.col("front")) | F.col("_rank").isNotNull(), 1).otherwise(0)
     placed = placed.withColumn("copies", (F.col("passes") + more).cast("long"))
-    draws = F.transform(F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<long>")), lambda e: e * F.col("blocks") + F.col("at"))
-    return placed.withColumn("shards", F.transform(draws, lambda j: F.size(F.filter("ends", lambda x: x <= j))))
+    each = F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies").cast("int"))).otherwise(F.array().cast("array<int>"))
+    orders = F.transform(each, lambda e: F.xxhash64(F.lit(seed), F.lit("order"), "doc_id", "size", e))
+    taken = F.when(F.col("copies") > 0, F.slice("homes", F.lit(1), F.col("copies").cast("int"))).otherwise(F.array().cast("array<int>"))
+    return placed.withColumns({"shards": taken, "orders": orders})
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """One row per copy that the mix takes, with ``docs``' columns, ``shard`` and ``shard_order``.
 
-    Null text has no words; null source is a source, the last. A document of no words weighs nothing and is
-    taken as often as its source is gone through. Rows that share doc_id, source and size are taken alike.
-    Ties are broken by hash of doc_id, so reruns agree. Empty table: empty result.
+    A shard's rows in order of ``shard_order`` are its local shuffle. Null text has no words; null source is a source,
+    the last. A document of no words weighs nothing and is taken as often as its source is gone through. Rows that share
+    doc_id, source and size are taken alike. Ties are broken by hash of doc_id, so reruns agree. Columns of any name pass
+    through; ``shard`` and ``shard_order`` replace columns of the same names. Empty table: empty result.
     """
-    drawn = plan(materialize(sizes(docs), "mix_sizes"), shards, seed).select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.posexplode("shards").alias("_copy", "shard")).distinct()
+    docs = docs.drop("shard", "shard_order")
+    plain = shielded(docs, "doc_id", "text", "source")
+    drawn = plan(materialize(sizes(plain), "mix_sizes"), shards, seed)
+    drawn = drawn.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.explode(F.arrays_zip("shards", "orders")).alias("_x"))
+    drawn = drawn.select("_doc", "_source", "_size", "_x.shards", "_x.orders").distinct()
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (size == F.col("_size"))
-    return docs.join(drawn, same).withColumn("shard_order", F.xxhash64(F.lit(seed), F.lit("order"), "doc_id", "_copy")).drop("_doc", "_source", "_size", "_copy")
+    return plain.join(drawn, same).select(*plain.columns, "shards", "orders").toDF(*docs.columns, "shard", "shard_order")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = materialize(sizes(read(spark, sf_dir, "documents")), "mix_sizes")
-    return plan(meta).select("doc_id", "size", F.col("words").alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"), F.array_join("shards", ",").alias("shards"))
+    where = F.array_join(F.transform(F.arrays_zip("shards", "orders"), lambda x: F.concat_ws(":", x["shards"], x["orders"])), ",")
+    return plan(meta).select("doc_id", "size", F.col("words").alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"), where.alias("shard_orders"))

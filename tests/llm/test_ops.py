@@ -159,12 +159,26 @@ def test_mixing(spark, odd, rows):
     assert mixing.plan(mixing.sizes(empty(spark))).count() == 0
 
 
-def test_mix_repeats_rows(docs, rows):
-    plan = mixing.plan(mixing.sizes(docs)).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()
-    got = collections.Counter(r.doc_id for r in mixing.mix(docs).collect())
+def test_mix_repeats_rows(odd, rows):
+    plan = mixing.plan(mixing.sizes(odd)).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()
+    mixed = mixing.mix(odd)
+    assert mixed.columns == [*odd.columns, "shard", "shard_order"]
+    got = collections.Counter(r.doc_id for r in mixed.collect())
     assert {r.doc_id: r.n for r in plan if r.n} == dict(got)
 
 
+def test_shards_own_disjoint_draws(spark):
+    """Each draw of a block has one home, and a shard holds of each source what the tree dealt it; the number of shards grows."""
+    meta = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"), (F.col("id") % 50 + 1).alias("size"))
+    got = mixing.plan(meta, docs_per_block=1).collect()
+    assert all(len(r.shards) == r.copies == len(set(r.orders)) for r in got)
+    shards = collections.Counter(x for r in got for x in r.shards)
+    n = max(mixing.SHARDS, sum(r.copies for r in got) // mixing.BLOCKS_PER_SHARD)
+    assert len(shards) >= n >= mixing.SHARDS and max(shards.values()) < 2 * len(got) * 3 // n
+    few = mixing.plan(meta, docs_per_block=40).collect()
+    assert {x for r in few for x in r.shards} <= set(range(mixing.SHARDS)) and all(len(r.shards) == r.copies for r in few)
+
+
 @pytest.mark.parametrize(("pool", "good", "draws"), [(10, 4, 5), (30, 29, 7), (50, 20, 49), (6, 0, 3), (6, 6, 3), (1, 1, 0)])
 def test_hypergeometric_is_exact(spark, pool, good, draws):
     """Quantiles of the inversion at evenly spread u have the exact probabilities."""
