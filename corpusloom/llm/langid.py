@@ -6,7 +6,10 @@ kernels with a set of landmark texts, whitened by the landmarks' own kernel matr
 regression is fitted for each language against the rest. Scoring is by batches: a presence matrix times the
 landmarks' presence matrix gives a batch's kernels, and these times the folded weights its scores.
 
-The model is trained on a bounded sample: at most PER_LANG documents a language, the first by hash of doc_id.
+The model is trained on a bounded sample, the first documents of each language by hash: PER_LANG a language, SAMPLE in
+all, LANDMARKS and MARKS of them landmarks, of the MARKS most frequent languages. What the driver holds is bounded by
+these: landmarks as bitmaps of BUCKETS bits, and a row of kernels for each document of the sample, which tasks compute.
+The model that is broadcast has a bit for each landmark and bucket at most, BUCKETS * MARKS / 8 bytes or 16 MB.
 """
 
 from __future__ import annotations
@@ -17,16 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, read, unit_interval
+from .common import map_texts, materialize, read, shielded, unit_interval
 
-#: Documents a language in the training sample, and of those the landmarks.
-PER_LANG, LANDMARKS, SURPLUS = 400, 32, 8
+#: Documents a language in the training sample, and of those the landmarks; and how many of each there are in all at most.
+PER_LANG, LANDMARKS = 400, 32
+SAMPLE, MARKS, SURPLUS = 4096, 512, 8
 #: N-grams fall in so many buckets; each length has its own.
 BUCKETS, LENGTHS = 1 << 18, (1, 2, 3)
 RIDGE, BATCH, PIECE = 1e-3, 64, 1 << 20
+#: Landmarks' bits that are held as numbers at once.
+UNPACKED = 1 << 22
 #: Two scores' difference counts so much in the softmax that gives the reported score.
 SHARPNESS = 6.0
 #: Documents below this score are rejected by ``identified``; four equal odds would be 0.25.
@@ -58,69 +64,120 @@ def has_letter(text: str | None) -> bool:
 @dataclass
 class Model:
     langs: list[str]
-    vocabulary: np.ndarray  # the buckets that landmarks hold
-    landmarks: np.ndarray  # presence by vocabulary, over the root of the landmark's size; float32, (vocabulary, landmark)
-    weights: np.ndarray  # (landmark + 1, language): whitening and ridge regression in one
+    vocabulary: np.ndarray  # the buckets that landmarks hold, in order
+    marks: np.ndarray  # which landmarks hold each: packed bits, (vocabulary, landmark / 8)
+    sizes: np.ndarray  # of the landmarks, in n-grams
+    weights: np.ndarray | None = None  # (landmark + 1, language): whitening and ridge regression in one
+
+    def __post_init__(self):
+        self._held: list[np.ndarray] = []
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_held": []}  # bits alone are sent to tasks
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Parts of the vocabulary with the landmarks' presence as numbers; kept if it is one part."""
+        step = max(1, UNPACKED // len(self.sizes))
+        for k in range(0, len(self.vocabulary), step):
+            dense = self._held[0] if self._held else np.unpackbits(self.marks[k : k + step], axis=1, count=len(self.sizes)).astype(np.float32)
+            if step >= len(self.vocabulary):
+                self._held = [dense]
+            yield self.vocabulary[k : k + step], dense
 
     def kernels(self, sets: list[np.ndarray]) -> np.ndarray:
-        batch = np.zeros((len(sets), len(self.vocabulary)), np.float32)
-        for row, found in zip(batch, sets, strict=True):
-            at = np.searchsorted(self.vocabulary, found)
-            at[at == len(self.vocabulary)] = 0
-            row[at[self.vocabulary[at] == found]] = 1 / np.sqrt(max(1, len(found)))
-        return batch @ self.landmarks
+        """A batch's kernels with all landmarks: a product of presence matrices."""
+        both = np.zeros((len(sets), len(self.sizes)), np.float32)
+        for words, dense in self.blocks():
+            batch = np.zeros((len(sets), len(words)), np.float32)
+            for row, found in zip(batch, sets, strict=True):
+                part = found[np.searchsorted(found, words[0]) : np.searchsorted(found, words[-1], "right")]
+                at = np.searchsorted(words, part)
+                row[at[words[at] == part]] = 1
+            both += batch @ dense
+        n = np.array([max(1, len(found)) for found in sets], np.float32)
+        return both / np.sqrt(n[:, None] * np.maximum(1, self.sizes))
+
+    def raw(self, kernels: np.ndarray) -> np.ndarray:
+        return np.hstack([kernels, np.ones((len(kernels), 1), np.float32)]) @ self.weights
 
     def scores(self, sets: list[np.ndarray]) -> np.ndarray:
-        k = self.kernels(sets)
-        raw = np.hstack([k, np.ones((len(k), 1), np.float32)]) @ self.weights
+        raw = self.raw(self.kernels(sets))
         odds = np.exp(SHARPNESS * (raw - raw.max(axis=1, keepdims=True)))
         return odds / odds.sum(axis=1, keepdims=True)
 
 
-def fit(sets: list[np.ndarray], langs: list[str], per_lang: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """``sets`` are texts' buckets, ``langs`` their languages. The first ``per_lang`` texts of each are landmarks."""
-    names = sorted(set(langs))
-    if not names:
-        return None
-    chosen = [i for name in names for i in [j for j, x in enumerate(langs) if x == name][:per_lang]]
-    vocabulary = np.unique(np.concatenate([sets[i] for i in chosen]))
-    marks = np.zeros((len(vocabulary), len(chosen)), np.float32)
-    for column, i in enumerate(chosen):
-        marks[np.searchsorted(vocabulary, sets[i]), column] = 1 / np.sqrt(max(1, len(sets[i])))
-    model = Model(names, vocabulary, marks, np.zeros((len(chosen) + 1, len(names)), np.float32))
-    own, vectors = np.linalg.eigh((marks.T @ marks).astype(np.float64))
+def pack(found: np.ndarray) -> bytes:
+    """A set of buckets as a bitmap."""
+    seen = np.zeros(BUCKETS, bool)
+    seen[found] = True
+    return np.packbits(seen).tobytes()
+
+
+def model_of(langs: list[str], bitmaps: list[bytes]) -> Model:
+    """A model of landmarks, not fitted yet. Bitmaps are looked through a part at a time."""
+    rows = np.stack([np.frombuffer(b, np.uint8) for b in bitmaps])
+    sizes = np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+    any_of = np.unpackbits(np.bitwise_or.reduce(rows, axis=0)).astype(bool)
+    marks = np.concatenate([np.packbits(np.unpackbits(rows[:, k : k + 512], axis=1).T, axis=1)[any_of[8 * k : 8 * (k + 512)]] for k in range(0, rows.shape[1], 512)])
+    return Model(langs, np.flatnonzero(any_of), marks, sizes)
+
+
+def fitted(model: Model, kernels: np.ndarray, langs: list[str], ridge: float = RIDGE) -> Model:
+    """The model with its weights, by the ``kernels`` of texts in ``langs``: whitened, then a ridge regression a language. Languages count alike."""
+    own, vectors = np.linalg.eigh(landmark_kernels(model))
     good = own > 1e-6 * own.max()
     whiten = vectors[:, good] / np.sqrt(own[good])
-    k = np.vstack([model.kernels(sets[i : i + BATCH]) for i in range(0, len(sets), BATCH)]).astype(np.float64)
-    x = np.hstack([k @ whiten, np.ones((len(sets), 1))])
-    y = np.array([[1.0 if a == b else -1.0 for b in names] for a in langs])
-    balance = np.array([1 / langs.count(a) for a in langs])[:, None]  # languages count alike
-    fitted = np.linalg.solve(x.T @ (balance * x) + ridge * np.eye(x.shape[1]), x.T @ (balance * y))
-    model.weights = np.vstack([whiten @ fitted[:-1], fitted[-1:]]).astype(np.float32)
+    x = np.hstack([kernels.astype(np.float64) @ whiten, np.ones((len(kernels), 1))])
+    y = np.array([[1.0 if a == b else -1.0 for b in model.langs] for a in langs])
+    balance = np.array([1 / langs.count(a) for a in langs])[:, None]
+    solved = np.linalg.solve(x.T @ (balance * x) + ridge * np.eye(x.shape[1]), x.T @ (balance * y))
+    model.weights = np.vstack([whiten @ solved[:-1], solved[-1:]]).astype(np.float32)
     return model
 
 
+def landmark_kernels(model: Model) -> np.ndarray:
+    both = sum((dense.T @ dense).astype(np.float64) for _, dense in model.blocks())
+    return both / np.sqrt(np.outer(np.maximum(1, model.sizes), np.maximum(1, model.sizes)))
+
+
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """Learns from rows of ``docs`` with a language, text and letters; None if there are none.
 
-    The sample is found by doc_id and lang alone. A language's share of rows by hash is cut to SURPLUS times the
-    sample before rows are ranked, so that no task ranks more. It is bounded by ``per_lang`` times the number of
-    languages; as a written table its size is known, and Spark broadcasts it only below its threshold.
+    The sample is found by hash of doc_id and text, so that rows that share a doc_id are rows of their own, and equal rows
+    one. A language's share of rows by hash is cut to SURPLUS times the sample before rows are ranked, so that no task ranks
+    more. The table of the sample has SAMPLE rows of hashes at most, so it may be broadcast.
     """
-    ids = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang")
-    rate = SURPLUS * per_lang / F.col("count")
-    ids = ids.join(materialize(ids.groupBy("lang").count(), "langid_counts"), "lang").where(unit_interval(F.col("doc_id").cast("string")) < rate)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(materialize(ids.select("doc_id", "lang").distinct(), "langid_sample"), ["doc_id", "lang"])
+    spark = docs.sparkSession
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MARKS).collect()
+    if not counts:
+        return None
+    per_lang, marks = (max(1, min(most, total // len(counts))) for most, total in ((per_lang, SAMPLE), (LANDMARKS, MARKS)))
+    rates = spark.createDataFrame([(r.lang, SURPLUS * per_lang / r.n) for r in counts], "lang string, rate double")
+    near = rows.select("lang", "key").join(F.broadcast(rates), "lang").where(unit_interval(F.col("key")) < F.col("rate")).select("lang", "key").distinct()
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
+    chosen = near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_lang)
+    chosen = rows.join(F.broadcast(materialize(chosen, "langid_sample")), ["lang", "key"]).dropDuplicates(["lang", "key"])
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b[[has_letter(t) for t in b["text"]]]
-            yield pd.DataFrame({"id": b["doc_id"].astype(str), "lang": b["lang"], "found": [presence(t).astype(np.int32) for t in b["text"]]})
+            found = [presence(t) for t in b["text"]]
+            packed = [pack(f) if p <= marks else None for f, p in zip(found, b["place"], strict=True)]
+            yield pd.DataFrame({"lang": b["lang"], "place": b["place"], "found": [f.astype(np.int32) for f in found], "bitmap": packed})
+
+    sample = materialize(chosen.mapInPandas(sets, "lang string, place int, found array<int>, bitmap binary"), "langid_sets")
+    landmarks = sample.where("bitmap is not null").select("lang", "place", "bitmap").orderBy("lang", "place").toPandas()
+    model = model_of(sorted(landmarks["lang"].unique()), landmarks["bitmap"].tolist())
+    kept = spark.sparkContext.broadcast(model)
+
+    def kernels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(0, len(b), BATCH):
+                part = b[k : k + BATCH]
+                yield pd.DataFrame({"lang": part["lang"], "place": part["place"], "k": list(kept.value.kernels([np.asarray(f, np.int64) for f in part["found"]]))})
 
-    got = rows.mapInPandas(sets, "id string, lang string, found array<int>").orderBy("lang", F.xxhash64("id"), "id", F.xxhash64("found")).toPandas()
-    return fit([np.asarray(x, np.int64) for x in got["found"]], got["lang"].tolist())
+    got = sample.select("lang", "place", "found").mapInPandas(kernels, "lang string, place int, k array<float>").orderBy("lang", "place").toPandas()
+    return fitted(model, np.stack(got["k"].tolist()), got["lang"].tolist())
 
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -139,29 +196,31 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
     return map_texts(docs, make, "lang_pred string, score double", keep)
 
 
-def held_out():
+def held_out() -> Column:
     """Documents that the model never learns from: crc32 of doc_id as text is a multiple of five."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
+def learnable(docs: DataFrame) -> DataFrame:
+    """The other rows; a null doc_id has no crc32, so it is never learned from either."""
+    return docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+
+
 def language_id(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` for each row of ``docs`` (``doc_id``, ``text``, ``lang``).
 
     ``und`` with score 0 if the text is null or has no letter, or if no row could be learned from. Otherwise a
-    learned language, even for the shortest text. A null doc_id is not held out. Repeated rows are predicted
-    alike. Other columns are left out. Empty table: empty result.
+    learned language, even for the shortest text. A null doc_id is not held out, and not learned from. Repeated rows
+    are predicted alike. Other columns are left out. Empty table: empty result.
     """
-    model = train(docs.where(~held_out()), per_lang)
+    model = train(learnable(docs), per_lang)
     return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def identified(docs: DataFrame, min_score: float = MIN_SCORE, per_lang: int = PER_LANG) -> DataFrame:
-    """The rows of ``docs`` whose language is determined with ``min_score`` at least; their columns are as they were.
-
-    With a clash of names (``lang_pred``, ``score``) the rows' own columns hold.
-    """
-    plain = docs.toDF(*(f"_{i}" if c not in ("text",) else c for i, c in enumerate(docs.columns)))
-    found = predict(plain, train(docs.where(~held_out()), per_lang), tuple(plain.columns))
+    """The rows of ``docs`` whose language is determined with ``min_score`` at least; their columns are as they were, whatever their names."""
+    plain = shielded(docs, "text")
+    found = predict(plain, train(learnable(docs), per_lang), tuple(plain.columns))
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*plain.columns).toDF(*docs.columns)
 
 

@@ -8,9 +8,10 @@ pair of nodes once the budget is exceeded. To deal the walk out, the 64 bits are
 fingerprints within the budget of ``k`` bits agree on all but ``k`` blocks, so for each choice of the other
 blocks the fingerprints are permuted to put those first, and the trie's subtrees below that prefix are
 joined, each with itself. The number of blocks grows with the number of fingerprints, so that subtrees stay
-small; the answer is the same for any number. A subtree that many near copies share is cut into chunks,
-and pairs of chunks are walked by tasks of their own. Every task reports only a spanning forest of the links it finds, never all pairs of a
-group, and components are found by distributed star contraction.
+small; the answer is the same for any number. A subtree that many near copies share is walked further before it is
+dealt out: its next bits, in the order that splits it most evenly, tell nodes, and each pair of nodes whose bits differ
+within the budget is a task's work, while all other pairs are pruned. Every task reports only a spanning forest of the
+links it finds, never all pairs of a group, and components are found by distributed star contraction.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .components import connected_components
 SHINGLE, SEED, BUDGET = 4, 42, 4
 #: Fingerprints that a subtree holds on average before more blocks are used, and before it is split by nodes.
 SUBTREE, SPLIT = 64, 4096
+#: Bits at most by which a large subtree is told into nodes.
+NODE_BITS = 16
 #: Fingerprints that a task of the join takes, over all of its subtrees.
 TASK = 100_000
 #: Pairs of nodes walked at once, and the largest product of two nodes' sizes that is compared outright.
@@ -179,8 +182,8 @@ def compare(keys: np.ndarray, budget: int, forest: Forest, a0: np.ndarray, a1: n
 def forest_of(fp: np.ndarray, prefix: int, key: np.ndarray, chunk: np.ndarray, pair: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of one task's rows: ``fp`` permuted, subtrees told apart by ``key``, by their first ``prefix`` bits.
 
-    Of a subtree that is split, the rows of ``pair`` (chunks ``i`` and ``j`` as ``i << 32 | j``) are one joint: chunk
-    ``i`` with ``j``, or with itself. Subtrees that aren't split have one chunk, 0.
+    Of a subtree that is split, the rows of ``pair`` (nodes ``i`` and ``j`` as ``i << 32 | j``) are one joint: those of
+    node ``i`` (``chunk``) with those of ``j``, or with themselves. Subtrees that aren't split have one node, 0.
     """
     order = np.lexsort((fp, chunk, pair, key))
     fp, key, chunk, pair = fp[order], key[order], chunk[order], pair[order]
@@ -201,7 +204,9 @@ def forest_of(fp: np.ndarray, prefix: int, key: np.ndarray, chunk: np.ndarray, p
 def links(classes: DataFrame, n: int, budget: int = BUDGET, split: int = SPLIT) -> DataFrame:
     """``(a, b)``: links between fingerprints within ``budget`` bits, enough of them to connect all that are linked.
 
-    Subtrees of more than ``split`` fingerprints are cut into chunks, and each pair of chunks is a task's work.
+    Subtrees of more than ``split`` fingerprints are told into nodes, and each pair of nodes that isn't pruned is a task's
+    work. With w bits a fingerprint goes to as many pairs as there are nodes within the budget of its own: all of them for
+    few bits, but for many a small part.
     """
     tables = choices(n, budget)
 
@@ -223,15 +228,48 @@ def links(classes: DataFrame, n: int, budget: int = BUDGET, split: int = SPLIT)
             a, b = forest_of(moved, sum(spans[i][1] for i in keep), mine["prefix"].to_numpy(), mine["chunk"].to_numpy(), mine["pair"].to_numpy(), budget)
             yield pd.DataFrame({"a": restore(moved[a], spans, keep).view(np.int64), "b": restore(moved[b], spans, keep).view(np.int64)})
 
+    def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of large subtrees, once for each pair of nodes that they are in."""
+        for b in batches:
+            for order, mine in b.groupby(b["bits"].map(tuple)):
+                moved = mine["moved"].to_numpy().view(np.uint64)
+                node = node_of(moved, order)
+                for flips in within(len(order), budget):
+                    other = node ^ flips
+                    pair = (np.minimum(node, other) << 32) | np.maximum(node, other)
+                    yield pd.DataFrame({"t": mine["t"], "prefix": mine["prefix"], "moved": mine["moved"], "chunk": node, "pair": pair})
+
     dealt = materialize(classes.select("fp").mapInPandas(spread, "t int, prefix long, moved long"), "simhash_tables")
-    large = dealt.groupBy("t", "prefix").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > split)
-    large = materialize(large.select("t", "prefix", F.ceil(F.col("size") / split).alias("chunks")), "simhash_large")
-    dealt = dealt.join(large, ["t", "prefix"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("moved"), "chunks"))
-    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.shiftleft(F.least(j, "chunk"), 32).bitwiseOR(F.greatest(j, "chunk")))
-    dealt = dealt.select("t", "prefix", "moved", "chunk", F.explode(each).alias("pair"))
+    large = dealt.groupBy("t", "prefix").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > split).select("t", "prefix", "size")
+    large = materialize(large, "simhash_large")
+    if large.isEmpty():
+        each = dealt.withColumns({"chunk": F.lit(0).cast("long"), "pair": F.lit(0).cast("long")})
+    else:
+        ones = [F.sum(F.shiftrightunsigned("moved", 63 - i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
+        told = dealt.join(large, ["t", "prefix"]).groupBy("t", "prefix", "size").agg(*ones)
+        even = F.array(*(F.struct(F.abs(F.col(f"b{i}") * 2 - F.col("size")).alias("odd"), F.lit(i).alias("bit")) for i in range(64)))
+        many = F.least(F.lit(NODE_BITS), F.ceil(F.log2(F.col("size") / split)).cast("int"))
+        told = materialize(told.select("t", "prefix", F.transform(F.slice(F.array_sort(even), F.lit(1), many), lambda x: x["bit"]).alias("bits")), "simhash_nodes")
+        dealt = dealt.join(told, ["t", "prefix"], "left")
+        small = dealt.where("bits is null").select("t", "prefix", "moved", F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("pair"))
+        each = small.unionByName(dealt.where("bits is not null").mapInPandas(nodes, "t int, prefix long, moved long, chunk long, pair long"))
     parts = max(partitions(classes.sparkSession), n * len(tables) // TASK)
-    return dealt.repartition(parts, "t", "prefix", "pair").mapInPandas(join, "a long, b long")
+    return each.repartition(parts, "t", "prefix", "pair").mapInPandas(join, "a long, b long")
+
+
+def node_of(moved: np.ndarray, order: tuple[int, ...]) -> np.ndarray:
+    """The node that each fingerprint is in: its bits at the places in ``order``."""
+    node = np.zeros(len(moved), np.int64)
+    for bit in order:
+        node = (node << 1) | ((moved >> np.uint64(63 - bit)) & np.uint64(1)).astype(np.int64)
+    return node
+
+
+def within(bits: int, budget: int) -> Iterator[int]:
+    """All patterns of ``bits`` bits with ``budget`` ones at most."""
+    for k in range(min(bits, budget) + 1):
+        for places in itertools.combinations(range(bits), k):
+            yield sum(1 << p for p in places)
 
 
 def restore(moved: np.ndarray, spans: list[tuple[int, int]], keep: tuple[int, ...]) -> np.ndarray:

@@ -545,6 +545,53 @@ def test_language_id_learns(spark):
     assert kept.columns == SCHEMA.replace(",", "").split()[::2] and kept.count() == len(rows) - 3
 
 
+def test_a_model_of_all_texts_is_dense_kernel_ridge():
+    """With every text a landmark, scores are those of kernel ridge regression solved with the whole kernel matrix."""
+    r = random.Random(11)
+    texts = [" ".join("".join(r.choice(letters) for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 25))) for letters in ["abcde", "cdefg", "xyzab"] * 15]
+    langs, new = ["p", "q", "r"] * 15, ["abc dd", "gfe c", "zzz y x", "a"]
+
+    def grams(text):
+        padded = " " + text + " "
+        return {padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)}
+
+    kernel = lambda a, b: np.array([[len(grams(x) & grams(y)) / np.sqrt(len(grams(x)) * len(grams(y))) for y in b] for x in a])
+    y = np.array([[1.0 if a == b else -1.0 for b in "pqr"] for a in langs])
+    dense = np.linalg.solve(kernel(texts, texts) + 1 + langid.RIDGE * 15 * np.eye(45), y)
+    want = (kernel(new, texts) + 1) @ dense
+    sets = [langid.presence(t) for t in texts]
+    model = langid.model_of(["p", "q", "r"], [langid.pack(s) for s in sets])
+    langid.fitted(model, model.kernels(sets), langs)
+    assert np.allclose(model.raw(model.kernels([langid.presence(t) for t in new])), want, atol=2e-3)
+
+
+def test_kernels_by_blocks(monkeypatch):
+    r = random.Random(12)
+    sets = [langid.presence("".join(r.choice("abcdefgh ") for _ in range(80))) for _ in range(9)]
+    want = np.array([[len(set(a) & set(b)) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    for size in (1 << 22, 64):
+        monkeypatch.setattr(langid, "UNPACKED", size)
+        model = langid.model_of(["x"], [langid.pack(s) for s in sets])
+        for _ in range(2):
+            assert np.allclose(model.kernels(sets), want, atol=1e-6)
+        assert np.allclose(langid.landmark_kernels(model), want, atol=1e-6)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """By rows in all and landmarks in all, however many languages there are and however many rows share an id."""
+    monkeypatch.setattr(langid, "SAMPLE", 60)
+    monkeypatch.setattr(langid, "MARKS", 20)
+    r = random.Random(13)
+    text = lambda lang: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz"[lang % 20 :][:4]) for _ in range(5)) for _ in range(12))
+    rows = [(1, text(i % 30), f"l{i % 30:02}", "s", 1) for i in range(900)] + [(1, "same words", "l00", "s", 1)] * 50
+    seen = []
+    whole = langid.fitted
+    monkeypatch.setattr(langid, "fitted", lambda model, kernels, langs, **k: seen.append((model, kernels, langs)) or whole(model, kernels, langs, **k))
+    langid.train(spark.createDataFrame(rows, SCHEMA))
+    (model, kernels, langs), = seen
+    assert len(model.langs) == 20 == len(model.sizes) and len(kernels) == len(langs) == 60 and max(collections.Counter(langs).values()) == 3
+
+
 def test_language_id_without_labels(spark):
     got = langid.language_id(spark.createDataFrame([(1, "some text", None, "s", 1)], SCHEMA)).collect()
     assert got[0].lang_pred == "und" and got[0].score == 0
@@ -586,7 +633,20 @@ def test_simhash_is_brute_force(odd, rows):
     assert sorted(map(tuple, simhash.simhash_components(odd).collect())) == want
 
 
-@pytest.mark.parametrize("split", [4096, 5])
+def test_nodes_within_the_budget():
+    """Each pair of nodes that could hold a link is walked once, and far ones never."""
+    r = random.Random(5)
+    prints = np.array([r.getrandbits(64) for _ in range(300)], np.uint64)
+    for order in [(63, 0, 7), tuple(range(10, 19))]:
+        node = simhash.node_of(prints, order)
+        flips = set(simhash.within(len(order), 4))
+        for i, j in itertools.combinations(range(len(prints)), 2):
+            bits = sum((int(prints[i]) ^ int(prints[j])) >> (63 - b) & 1 for b in order)
+            assert (int(node[i] ^ node[j]) in flips) == (bits <= 4)
+    assert len(list(simhash.within(16, 4))) == 2517
+
+
+@pytest.mark.parametrize("split", [4096, 5, 1])
 def test_trie_join_finds_all_links(spark, split):
     r = random.Random(8)
     base = [r.getrandbits(64) for _ in range(40)]
@@ -617,6 +677,10 @@ def test_every_choice_of_blocks_is_exact(n):
         assert (simhash.restore(moved, spans, keep) == fp).all()
 
 
+def test_simhash_of_nothing(spark):
+    assert simhash.simhash_components(empty(spark)).count() == 0
+
+
 def test_near_deduplicated_keeps_one(odd, rows):
     kept = simhash.near_deduplicated(odd)
     assert kept.columns == odd.columns
