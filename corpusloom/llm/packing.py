@@ -7,7 +7,8 @@ sources have taken. The search starts at the successor of the piece's size and g
 one is compatible; that is the tightest compatible bin.
 
 Bins are filled within *groups* of about GROUP pieces, dealt by hash, so that the number of groups grows with
-the input and no group with any source or cluster. Only ids, sizes, sources and clusters are shuffled.
+the input and no group with any source or cluster. Only ids, sizes, sources and clusters are shuffled. Duplicate clusters
+are given, or texts equal but for case and white space, or, as in the query, components of near copies by SimHash.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import SPACES, WORD, ascii_lower, materialize, partitions, read
 
 CAPACITY, GROUP, SOURCE_LIMIT = 2048, 4096, 6
@@ -62,17 +64,38 @@ def near_text_key(text: Column) -> Column:
     return F.xxhash64(F.btrim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " "), F.lit(SPACES)))
 
 
+def sizes(docs: DataFrame, cluster: Column | None = None) -> DataFrame:
+    """``(doc_id, source, size, cluster)`` of each row; a text's size is its number of words."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), (near_text_key(F.col("text")) if cluster is None else cluster).alias("cluster"))
+
+
+def sizes_by_near_copies(docs: DataFrame) -> DataFrame:
+    """As ``sizes``, with the components of near copies as clusters."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.select("doc_id", "source", "text", size.alias("size"))
+    prints = materialize(simhash.fingerprints(rows, ("doc_id", "source", "size")), "pack_prints")
+    of = simhash.components(prints.select("doc_id", "fp")).select(F.col("fp").alias("_fp"), F.col("component").alias("cluster"))
+    return prints.join(of, F.col("fp") == F.col("_fp")).select("doc_id", "source", "size", "cluster")
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: Column | None = None, group: int = GROUP, source_limit: int = SOURCE_LIMIT) -> DataFrame:
+    """``pack_sizes`` of ``docs`` (``doc_id``, ``text``, ``source``; other columns are left out).
+
+    ``cluster`` (by default ``near_text_key``) tells duplicates. Null, empty or blank text is one piece of no words.
+    """
+    return pack_sizes(sizes(docs, cluster), capacity, group, source_limit)
+
+
+def pack_sizes(meta: DataFrame, capacity: int = CAPACITY, group: int = GROUP, source_limit: int = SOURCE_LIMIT) -> DataFrame:
     """``(doc_id, copy, piece, first_word, n_words, source, cluster, bin_id, bin_words)``: each row's pieces and their bins.
 
-    ``docs`` has ``doc_id``, ``text`` and ``source``. A text's size is its number of words; null, empty or blank text is one
-    piece of no words, which fits any bin. Texts longer than ``capacity`` are cut into full pieces and the rest; pieces of a
-    document are of one cluster, so they lie in different bins, in order of their numbers nowhere promised. ``cluster``
-    (by default ``near_text_key``) tells duplicates: no bin holds two of one cluster, nor more than ``source_limit`` of a
-    source (null is a source). Rows that share a doc_id are told apart by ``copy``. Reruns agree. Other columns are left out.
+    ``meta`` has ``(doc_id, source, size, cluster)``. Sizes above ``capacity`` are cut into full pieces and the rest; pieces of a
+    document are of one cluster, so they lie in different bins, in order of their numbers nowhere promised. No bin holds two
+    of one cluster, nor more than ``source_limit`` of a source (null is a source, and a cluster). A piece of no words fits
+    any bin that has room left and no conflict; pieces of one cluster without words open a bin each where they must. Rows
+    that share a doc_id are told apart by ``copy``. Reruns agree. Empty table: empty result.
     """
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    meta = docs.select("doc_id", "source", size.alias("size"), (near_text_key(F.col("text")) if cluster is None else cluster).alias("cluster"))
     meta = meta.groupBy("doc_id", "source", "size", "cluster").agg(F.count(F.lit(1)).alias("n"))
     meta = meta.select("doc_id", "source", "size", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(capacity).cast("long"))
@@ -109,10 +132,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: Column | None = Non
 
     order = ["bin_group", F.col("n_words").desc(), F.xxhash64("doc_id", "copy", "piece"), "doc_id", "copy", "piece"]
     out = ["doc_id", "copy", "piece", "first_word", "n_words", "source", "cluster", "bin_group"]
-    dealt = pieces.select(*out).repartition(max(partitions(docs.sparkSession), groups // 8), "bin_group").sortWithinPartitions(*order)
+    dealt = pieces.select(*out).repartition(max(partitions(meta.sparkSession), groups // 8), "bin_group").sortWithinPartitions(*order)
     kinds = {f.name: f.dataType.simpleString() for f in dealt.schema if f.name != "bin_group"}
     return dealt.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", bin_id string, bin_words long")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read(spark, sf_dir, "documents"))
+    """All documents; no bin holds two near copies."""
+    return pack_sizes(sizes_by_near_copies(read(spark, sf_dir, "documents")))

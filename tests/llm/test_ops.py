@@ -503,8 +503,24 @@ def test_packing_fits_and_conflicts(odd, rows):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_packing_keeps_near_copies_apart(spark):
+    """By SimHash components: texts that differ by a word in many lie in different bins."""
+    r = random.Random(14)
+    base = [f"w{r.randint(0, 9999)}" for _ in range(300)]
+    rows = [(i, " ".join(base[:k] + [f"new{i}"] + base[k + 1 :]), "en", f"s{i}", 1) for i in range(12) for k in [r.randrange(300)]]
+    rows += [(100 + i, " ".join(f"w{r.randint(0, 9999)}" for _ in range(40)), "en", f"t{i}", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    ids = {x.doc_id: x.component_id for x in simhash.simhash_components(docs).collect()}
+    assert max(collections.Counter(ids.values()).values()) > 2
+    bins = collections.defaultdict(list)
+    for x in packing.pack_sizes(packing.sizes_by_near_copies(docs)).collect():
+        bins[x.bin_id].append(ids[x.doc_id])
+    assert all(len(set(held)) == len(held) for held in bins.values()) and len(bins) < len(rows)
+    assert sum(map(len, bins.values())) == len(rows)
+
+
 def test_packing_of_nothing(spark):
-    assert packing.pack(empty(spark)).count() == 0
+    assert packing.pack(empty(spark)).count() == packing.pack_sizes(packing.sizes_by_near_copies(empty(spark))).count() == 0
 
 
 def test_best_fit_is_the_tightest_compatible():
