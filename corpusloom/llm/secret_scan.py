@@ -1,10 +1,14 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 The patterns' matches are found natively: a text is split at the matches, and running lengths of the pieces
-give the places. To these the method adds tokens that look random: two first-order Markov models over
-characters, one of random strings and one of ordinary identifiers, are trained by counting character pairs
-in labelled samples, and a token whose mean log-likelihood ratio is high enough is a span of kind ``random``.
-All is DataFrame expressions; the models are one array literal of log ratios by character pair.
+give the places. To these the method adds tokens that look random, whether or not a pattern's match holds them: two
+first-order Markov models over characters, one of random strings and one of ordinary identifiers, are trained by
+counting character pairs in labelled samples, and a token whose mean log-likelihood ratio is high enough is a span of
+kind ``random``. All is DataFrame expressions; the models are one array literal of log ratios by character pair.
+
+Labelled samples are a table ``(token, random)``. By default they are made by rule: strings in the alphabets of keys and
+digests, and identifiers put together from ordinary words in the usual styles, with numbers. A part of both, the
+identifiers of words that no other sample has, is held out to measure precision and recall.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, shielded
 
 #: Kind, pattern, the group that is measured, and its least length. The order of kinds at equal starts.
 PATTERNS = (
@@ -25,86 +29,100 @@ PATTERNS = (
 )
 #: A match is at least so long, which lets most texts be passed over by one cheap look.
 LOOK = (r"(?i:passw|secret|token|api_?key)", r"AKIA", r"[0-9a-f]{32}")
-#: Tokens that the models judge, and the least mean log ratio a character pair of a random one.
-TOKEN, MIN_RATIO, KIND = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", 0.9, "random"
+#: Tokens that the models judge, and the least mean log ratio a character pair of a random one: each pair twice as likely.
+TOKEN, MIN_RATIO, KIND = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", math.log(2), "random"
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
-#: Labelled samples: so many random strings, made by hash, of so many characters.
-RANDOM_SAMPLES, RANDOM_CHARS, SMOOTHING, LEAN = 2000, 40, 0.5, 10.0
-IDENTIFIERS = """
-    account_balance activeConnections addEventListener allocation_size application-name argument_parser background_color
-    base_directory batch_normalization boundary_condition browserHistory build_configuration cacheControlHeader calculate_total
-    callback_function capacityPlanning category_identifier channel_description checkpoint_interval collectionName column_definition
-    command_line_arguments compression_level connection_timeout containerRegistry content-encoding context_manager createTemporaryView
-    customer_reference data_frame_writer DatabaseConnection default_value dependency_injection destination_folder development-server
-    dictionary_encoding display_name document_identifier DownloadManager encryption_enabled environment_variable error_handler
-    estimated_delivery_date event_listener exception_message execution_context expected_result ExternalResource feature_extraction
-    file_system_permission filter_expression firstName foreign_key_constraint formatted_output function_signature garbage_collection
-    generator_expression getElementById global_configuration hash_partitioning header_information HttpRequestHandler identity_provider
-    implementation_details include_directories index_of_maximum initial_condition inputStreamReader installation-instructions
-    integration_testing internal_server_error iterator_protocol javascript_enabled keyboardInterrupt language_preference last_modified
-    learning_rate_schedule library_path linear_regression local_storage logging_configuration machine-learning-pipeline
-    maximum_likelihood_estimate memory_allocation message_queue metadata_repository middleware_component modification_time
-    monitoring_interval multiplication_table navigation_controller nested_transaction network_interface notification-service
-    number_of_partitions object_relational_mapping onBeforeUnload operating_system optimization_level OrderConfirmation
-    organization_unit output_directory package_manager page_number parameter_validation parentElement partition_boundary
-    payment_processor performance_counter permission_denied persistent_storage pipeline_stage point_of_interest polynomial_features
-    port_forwarding presentation-layer primary_key processing_instruction product_catalogue profile_picture progressIndicator
-    project_management property_accessor protocol_version public_interface query_optimizer queue_consumer random_access_memory
-    read_only_property recommendation_engine reference_counting regular_expression relationship_type remote_procedure_call
-    replication_factor repository_pattern request_identifier resource_allocation response_headers retention_policy return_statement
-    rollback_segment routing_table runtime_environment sample_weight scheduler_interval schema_evolution search_engine_results
-    security_group selection_criteria semantic-versioning sequence_number serialization_format server_certificate session_timeout
-    setAttributeNode shared_memory shipping_address shutdown_hook significant_digits simulation_parameters software-architecture
-    sorting_algorithm source_directory spatial_index specification stack_overflow standard_deviation startTransaction static_method
-    anotherthing beziehungsweise considerations développement Entwicklungsumgebung establecimiento fundamentalement
-    Geschwindigkeitsbegrenzung gouvernementales internacionalmente Rechtsschutzversicherungen responsabilidades telecommunications
-    understanding Wahrscheinlichkeit zusammengehörigkeit thereforethewater andthenthereare withoutreservation
+#: Labelled samples of each kind, of which every HELD_OUT-th is held out.
+SAMPLES, HELD_OUT, SMOOTHING, LEAN = 4000, 5, 0.5, 10.0
+#: Words that identifiers are made of.
+WORDS = """
+    access account active address allocation and argument array background balance batch boundary browser buffer build cache
+    callback check client collection column command compression condition configuration connection container content context
+    control create customer database default delete delivery description developer display document domain download driver
+    element enable encoding environment error estimate event exception execution expression feature file filter folder format
+    frame function global group handler history identifier image index input install interface keyboard language last latest
+    learning length level library limit local logging machine management memory message method model module network number
+    object operation option order package page partition path payment permission pipeline process product project property
+    public query queue record reference request resource response result route schedule schema search section sequence server
+    service session setting shared signature source storage stream string system table thread token total transaction update
+    user validation value view window worker alle andere arbeit bericht entwicklung gesellschaft geschwindigkeit möglichkeit
+    versicherung wahrscheinlich zusammen ambiente ciudad considerar desarrollo establecimiento gobierno información nacional
+    responsabilidad siempre ainsi beaucoup connaissance développement entreprise fondamentalement gouvernement naturellement
+    quelque toujours although another between because everything however nevertheless something therefore thought through
+    together understanding without yesterday
 """.split()
 
 
-def _codes(token: str) -> list[int]:
-    """Places in ALPHABET; other characters share the place after it."""
-    return [ALPHABET.find(c) if c in ALPHABET else len(ALPHABET) for c in token]
-
-
-def random_samples(n: int = RANDOM_SAMPLES, chars: int = RANDOM_CHARS) -> list[str]:
-    """Random strings: a third each base64, letters and digits, and hex; by a linear congruential generator, so always the same."""
-    state, out = 20240229, []
-    kinds = (string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits, "0123456789abcdef")
-    for i in range(n):
-        token = []
-        for _ in range(chars):
-            state = (state * 6364136223846793005 + 1442695040888963407) % (1 << 64)
-            token.append(kinds[i % 3][(state >> 33) % len(kinds[i % 3])])
-        out.append("".join(token))
-    return out
-
-
-def train(samples: list[str]) -> list[list[float]]:
-    """A Markov model: log probabilities of the next character, by character; rare pairs lean on how common the next is."""
+def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
+    """``(token, random, held_out)``: ``n`` random strings and as many identifiers, always the same."""
+    h = lambda *x: F.xxhash64(*(F.lit(y) if isinstance(y, int | str) else y for y in x))
+    rows = spark.range(n).withColumn("held_out", F.col("id") % HELD_OUT == 0)
+    bits = F.sha2(F.concat(F.lit("random"), F.col("id").cast("string")), 512)
+    base64 = F.base64(F.unhex(bits))
+    plain = F.regexp_replace(base64, "[+/=\r\n]", "")
+    kinds = [bits, F.upper(bits), F.regexp_replace(base64, "[=\r\n]", ""), plain, F.translate(F.regexp_replace(base64, "[=\r\n]", ""), "+/", "-_"), F.upper(plain)]
+    secret = F.left(F.get(F.array(*kinds), F.col("id") % len(kinds)), F.pmod(h("length", F.col("id")), F.lit(29)) + 20)
+    seen, unseen = (F.array(*map(F.lit, w)) for w in ([w for i, w in enumerate(WORDS) if i % HELD_OUT], WORDS[::HELD_OUT]))
+    word = lambda k: F.when(F.col("held_out"), F.get(unseen, F.pmod(h("word", F.col("id"), k), F.size(unseen)))).otherwise(F.get(seen, F.pmod(h("word", F.col("id"), k), F.size(seen))))
+    parts = F.transform(F.sequence(F.lit(1), F.pmod(h("parts", F.col("id")), F.lit(3)) + 2), word)
+    titles = F.array_join(F.transform(parts, F.initcap), "")
+    number = F.pmod(h("number", F.col("id")), F.lit(2100)).cast("string")
+    digits = F.lpad(F.pmod(h("digits", F.col("id")), F.lit(10**16)).cast("string"), 16, "0")
+    styles = [
+        F.array_join(parts, "_"), F.array_join(parts, "-"), titles, F.concat(F.lower(F.left(titles, F.lit(1))), F.substring(titles, F.lit(2), F.char_length(titles))),
+        F.upper(F.array_join(parts, "_")), F.array_join(parts, ""), F.array_join(parts, "/"), F.concat_ws("_", F.array_join(parts, "_"), number),
+        F.concat(F.array_join(parts, "/"), F.lit("/"), number), F.concat_ws("-", number, number, F.array_join(parts, "-")), digits, F.upper(F.array_join(parts, "")),
+    ]
+    name = F.get(F.array(*styles), F.pmod(h("style", F.col("id")), F.lit(len(styles))))
+    return rows.select(F.explode(F.array(F.struct(secret.alias("token"), F.lit(True).alias("random")), F.struct(name.alias("token"), F.lit(False).alias("random")))).alias("x"), "held_out").select("x.*", "held_out")
+
+
+def codes(token: Column) -> Column:
+    """Places of a token's characters in ALPHABET; other characters share the place after it."""
+    return F.transform(F.split(token, ""), lambda c: F.coalesce(F.nullif(F.position(c, F.lit(ALPHABET)), F.lit(0)), F.lit(len(ALPHABET) + 1)) - 1)
+
+
+def neighbours(token: Column, body) -> Column:
+    """``body`` of each character's code and the next one's."""
+    n = F.greatest(F.char_length(token) - 1, F.lit(0))
+    return F.zip_with(F.slice(codes(token), F.lit(1), n), F.slice(codes(token), F.lit(2), n), body)
+
+
+def pair_counts(labelled: DataFrame) -> DataFrame:
+    """``(random, pair, n)``: how often one character (times the alphabet's size) is followed by another, by label."""
+    pairs = F.explode(neighbours(F.col("token"), lambda a, b: a * (len(ALPHABET) + 1) + b))
+    return labelled.where("token is not null and random is not null").select("random", pairs.alias("pair")).groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n"))
+
+
+def log_probabilities(counts: dict[int, int]) -> list[float]:
+    """A Markov model by pairs: log probabilities of the next character; rare pairs lean on how common the next is."""
     n = len(ALPHABET) + 1
-    counts, single = [[0.0] * n for _ in range(n)], [SMOOTHING] * n
-    for sample in samples:
-        codes = _codes(sample)
-        for a, b in zip(codes, codes[1:], strict=False):
-            counts[a][b] += 1
-            single[b] += 1
+    table = [[float(counts.get(a * n + b, 0)) for b in range(n)] for a in range(n)]
+    single = [SMOOTHING + sum(row[b] for row in table) for b in range(n)]
     common = [x / sum(single) for x in single]
-    return [[math.log((x + LEAN * common[b]) / (sum(row) + LEAN)) for b, x in enumerate(row)] for row in counts]
+    return [math.log((x + LEAN * common[b]) / (sum(row) + LEAN)) for row in table for b, x in enumerate(row)]
 
 
-def log_ratios(positive: list[str] | None = None, negative: list[str] | None = None) -> list[float]:
-    """Random's log-likelihood less identifiers', by character pair (first times the alphabet's size plus second)."""
-    a, b = train(positive or random_samples()), train(negative or IDENTIFIERS)
-    return [x - y for p, q in zip(a, b, strict=True) for x, y in zip(p, q, strict=True)]
+def log_ratios(labelled: DataFrame) -> list[float]:
+    """Random's log-likelihood less identifiers', by character pair. What is collected has a row a label and pair of characters at most."""
+    counts: dict[bool, dict[int, int]] = {True: {}, False: {}}
+    for r in pair_counts(labelled).collect():
+        counts[r.random][r.pair] = r.n
+    return [p - q for p, q in zip(log_probabilities(counts[True]), log_probabilities(counts[False]), strict=True)]
 
 
 def ratio(token: Column, ratios: Column) -> Column:
     """The mean log ratio of a token's character pairs."""
     n = len(ALPHABET) + 1
-    codes = F.transform(F.split(token, ""), lambda c: F.coalesce(F.nullif(F.position(c, F.lit(ALPHABET)), F.lit(0)), F.lit(n)) - 1)
-    pairs = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: F.get(ratios, a * n + b))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / (F.char_length(token) - 1)
+    return F.aggregate(neighbours(token, lambda a, b: F.get(ratios, a * n + b)), F.lit(0.0), lambda s, x: s + x) / (F.char_length(token) - 1)
+
+
+def evaluate(labelled: DataFrame, ratios: list[float], min_ratio: float = MIN_RATIO) -> tuple[float, float]:
+    """Precision and recall over labelled tokens that are long enough to be judged."""
+    judged = labelled.where(F.col("token").rlike(TOKEN)).withColumn("_r", F.array(*map(F.lit, ratios)))
+    said = judged.select("random", (ratio(F.col("token"), F.col("_r")) >= min_ratio).alias("said"))
+    r = said.agg(F.count_if(F.col("said") & F.col("random")).alias("both"), F.count_if("said").alias("said"), F.count_if("random").alias("random")).first()
+    return r.both / max(1, r.said), r.both / max(1, r.random)
 
 
 def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 1) -> Column:
@@ -122,25 +140,28 @@ def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 1)
     return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
 
 
-def scan(docs: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
+def scan(docs: DataFrame, min_ratio: float = MIN_RATIO, labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``base`` and ``found``: ``array<struct<start, kind, end>>`` of the patterns' spans and of the models' more.
 
-    ``kind`` is the place in PATTERNS, or after them for the models'. Null or empty text has no spans. A token that
-    overlaps a pattern's span isn't judged again. Repeated rows get equal spans; other columns pass through.
+    ``kind`` is the place in PATTERNS, or after them for the models'. Null or empty text has no spans. Repeated rows get
+    equal spans. Other columns pass through, whatever their names; ``base`` and ``found`` replace columns of the same names.
+    The models learn from ``labelled`` (``token``, ``random``), by default ``labelled_samples`` but those held out. Empty table:
+    empty result.
     """
+    docs = docs.drop("base", "found")
+    plain, spark = shielded(docs, "text"), docs.sparkSession
+    ratios = log_ratios(labelled_samples(spark).where("not held_out") if labelled is None else labelled)
     text, empty = F.coalesce("text", F.lit("")), F.array().cast("array<struct<start:int,kind:int,end:int>>")
     each = []
     for k, ((_, pattern, group, least), look) in enumerate(zip(PATTERNS, LOOK, strict=True)):
         # a maximal run is the match whatever its least length, so short runs of the last two kinds needn't be split off
         exact = {1: r"AKIA[A-Z0-9]{12,}+", 2: r"(?<![0-9a-f])[0-9a-f]{32,}+"}.get(k, pattern)
         each.append(F.when(text.rlike(look), spans(text, exact, k, group, least)).otherwise(empty))
-    docs = docs.withColumn("_base", F.array_sort(F.concat(*each)))
-    ratios = F.array(*map(F.lit, log_ratios()))  # one row's worth of literals, folded into the plan once
     tokens = F.when(text.rlike(TOKEN), spans(text, TOKEN, len(PATTERNS))).otherwise(empty)
-    docs = docs.withColumn("_tokens", tokens)
-    judged = F.filter("_tokens", lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])) & (ratio(F.substring(text, t["start"] + 1, t["end"] - t["start"]), F.col("_ratios")) >= min_ratio))
+    found = plain.withColumns({"_base": F.array_sort(F.concat(*each)), "_tokens": tokens, "_ratios": F.array(*map(F.lit, ratios))})
+    judged = F.filter("_tokens", lambda t: ratio(F.substring(text, t["start"] + 1, t["end"] - t["start"]), F.col("_ratios")) >= min_ratio)
     more = F.when(F.size("_tokens") > 0, judged).otherwise(empty)
-    return docs.withColumn("_ratios", ratios).withColumn("found", more).drop("_ratios", "_tokens").withColumnRenamed("_base", "base")
+    return found.select(*plain.columns, "_base", more.alias("_found")).toDF(*docs.columns, "base", "found")
 
 
 def listed(found: Column) -> Column:

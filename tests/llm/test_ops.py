@@ -468,16 +468,49 @@ def test_secret_scan_is_brute_force(spark):
     for r in secret_scan.scan(df).collect():
         want = sorted((m.start(), k, m.end()) for k, p, g, n in kinds for m in p.finditer(r.text or "") if len(m[g]) >= n)
         assert [(s.start, s.kind, s.end) for s in r.base] == want
-        found = [r.text[s.start : s.end] for s in r.found]
-        assert found == (["zQ8vX2kLr9TnB4wYc7HsJ1fGpD5mA3eU"] if r.doc_id == 8 else [])
-
-
-def test_markov_models_tell_random_strings(spark):
-    strings = secret_scan.random_samples(300, 30)[-90:] + [w for w in secret_scan.IDENTIFIERS if len(w) >= 10]
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(strings)], "i long, s string")
-    ratios = F.array(*map(F.lit, secret_scan.log_ratios()))
-    got = {r.i: r.x for r in df.select("i", secret_scan.ratio(F.col("s"), ratios).alias("x")).collect()}
-    assert all(got[i] > secret_scan.MIN_RATIO for i in range(90)) and all(got[i] < secret_scan.MIN_RATIO for i in range(90, len(strings)))
+        assert all(re.fullmatch(secret_scan.TOKEN.partition(")")[2].replace("}+", "}"), r.text[s.start : s.end]) for s in r.found)
+
+
+def test_models_find_what_no_pattern_does(spark):
+    """Planted keys without a pattern's match, in prose and beside ordinary names; a pattern's own key is judged as well."""
+    keys = ["zQ8vX2kLr9TnB4wYc7HsJ1fGpD5mA3eU", "9c1f0b7ad3e84b56a0d2", "QK7Z2M9XW4B8N1V6C3T5", "b64-Zk9_dQ4xT7pLm2Rw8sVb"]
+    plain = ["getElementByIdentifierName", "andthenthereareotherthings", "src/main/resources/application/settings", "Rechtsschutzversicherungen", "4000123412341234", "customer_order_history_2024", "MAXIMUM_CONNECTION_COUNT"]
+    rows = [(i, f"some words {k}, and {p} too.") for i, k in enumerate(keys) for p in plain] + [(50, "clean text of " + " ".join(plain)), (51, "token=" + keys[0])]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"base": F.lit(1), "found": F.lit(2)}))
+    assert got.columns == ["doc_id", "text", "base", "found"]
+    for r in got.collect():
+        assert [r.text[s.start : s.end] for s in r.found] == ([] if r.doc_id == 50 else [keys[r.doc_id % 51]])
+        assert [(s.start, s.kind, s.end) for s in r.base] == ([(0, 0, 38)] if r.doc_id == 51 else [])
+    assert secret_scan.scan(empty(spark)).count() == 0
+
+
+def test_models_on_held_out_samples(spark):
+    """Held-out strings, and identifiers of words that no sample for training has; the score is that of plain counting."""
+    labelled = secret_scan.labelled_samples(spark).cache()
+    assert not {w for w in secret_scan.WORDS[::5]} & {w for i, w in enumerate(secret_scan.WORDS) if i % 5} and len(secret_scan.WORDS) < 200
+    ratios = secret_scan.log_ratios(labelled.where("not held_out"))
+    held = labelled.where("held_out")
+    precision, recall = secret_scan.evaluate(held, ratios)
+    assert precision >= 0.99 and recall >= 0.99 and held.where("random").count() == held.where("not random").count() == 800
+
+    n = len(secret_scan.ALPHABET) + 1
+    code = lambda c: secret_scan.ALPHABET.find(c) if c in secret_scan.ALPHABET else n - 1
+    counts = {True: collections.Counter(), False: collections.Counter()}
+    for r in labelled.where("not held_out").collect():
+        counts[r.random].update(code(a) * n + code(b) for a, b in itertools.pairwise(r.token))
+    want = [a - b for a, b in zip(*(secret_scan.log_probabilities(counts[x]) for x in (True, False)), strict=True)]
+    assert np.allclose(ratios, want)
+    token = "zQ8vX2kLr9Tn_B4wYc7é"
+    got = spark.range(1).select(secret_scan.ratio(F.lit(token), F.array(*map(F.lit, ratios))).alias("x")).first().x
+    assert abs(got - np.mean([want[code(a) * n + code(b)] for a, b in itertools.pairwise(token)])) < 1e-9
+
+
+def test_models_learn_from_a_given_table(spark):
+    """Labels turned round turn the verdict round."""
+    labelled = secret_scan.labelled_samples(spark).select("token", (~F.col("random")).alias("random"))
+    docs = spark.createDataFrame([(1, "zQ8vX2kLr9TnB4wYc7HsJ1fGpD5mA3eU andthenthereareotherthings")], "doc_id long, text string")
+    (r,) = secret_scan.scan(docs, labelled=labelled).collect()
+    assert [r.text[s.start : s.end] for s in r.found] == ["andthenthereareotherthings"]
 
 
 # 8
