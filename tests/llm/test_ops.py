@@ -373,26 +373,62 @@ def test_quality_figures(odd, rows):
     assert got == sorted(want)
 
 
-def test_weak_supervision_keeps_clean_texts(spark):
-    r = random.Random(2)
-    prose = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(60))
-    rows = [(i, prose()) for i in range(300)]
-    rows += [(1000 + i, prose().replace(" ", "%%% ")) for i in range(12)] + [(2000 + i, prose().upper().replace(" ", "!! ")) for i in range(12)] + [(3000 + i, prose().replace(" ", " | ")) for i in range(12)]
-    got = {x.doc_id: x for x in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(x.kept == (i < 1000) for i, x in got.items())
+def test_quality_of_nothing(spark):
     assert quality.quality(empty(spark)).count() == 0
+    (one,) = quality.quality(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()
+    assert one.base_failed and not one.kept and one.p_good is None
+
 
+def votes_for(kind, n, but=()):
+    """``n`` texts that all rules of a kind but some object to."""
+    return np.tile([2 if r.kind == kind and r.name not in but else 1 for r in quality.RULES], (n, 1))
 
-def test_a_misfiring_rule_drops_no_clean_texts():
+
+def test_a_misfiring_rule_is_outvoted():
+    """Whichever rule it is, however often it misfires alone, and whatever junk there is, also of its own kind."""
     n = len(quality.RULES)
-    junk = np.ones((24, n), int)
-    junk[:12, 0] = junk[12:, 2] = 2
-    for rule in set(range(n)) - {0, 2}:
-        votes = np.concatenate([np.ones((300, n), int), junk])
-        votes[:100, rule] = 2
-        p, table = quality.expectation_maximisation(votes, np.ones(len(votes)))
-        assert (p[:300] >= quality.KEEP).all() and (p[300:] < quality.KEEP).all()
-        assert table[0, rule, 1] > 0.2 and np.delete(table[0, :, 1], rule).max() < 0.05 and np.allclose(table.sum(axis=2), 1)
+    junk = np.concatenate([votes_for("symbols", 12), votes_for("tables", 12), votes_for("repetition", 3, ("repeated_lines",))])
+    for rule in range(n):
+        for times in (1, 10, 100):
+            votes = np.concatenate([np.ones((300, n), int), junk])
+            votes[:times, rule] = 2
+            p, table = quality.expectation_maximisation(votes, np.ones(len(votes)))
+            assert (p[:300] >= quality.KEEP).all() and (p[300:] < quality.KEEP).all(), (rule, times)
+            assert np.allclose(table.sum(axis=2), 1)
+
+
+def test_two_rules_of_a_kind_are_believed_and_abstaining_says_nothing():
+    n = len(quality.RULES)
+    votes = np.concatenate([np.ones((1000, n), int), votes_for("symbols", 40), votes_for("symbols", 1, ("characters_not_letters",))])
+    lone = np.ones((2, n), int)
+    lone[:, 0] = 2
+    lone[1, 1:3] = 0  # the kind's other rules abstain
+    p, _ = quality.expectation_maximisation(np.concatenate([votes, lone]), np.ones(1043))
+    assert p[1040] < 0.5 <= p[1041] and p[1042] < p[1041]
+
+
+def test_the_posterior_is_not_all_must_pass(spark):
+    """Clean texts that one rule's limit hits stay, and junk of each kind goes; ties and equal rows alike."""
+    r = random.Random(2)
+    line = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(n)) + "."
+    prose = lambda: "\n".join(line(12) for _ in range(5))
+    rows = [(i, prose()) for i in range(300)]
+    poem = lambda: "\n".join(line(3)[-25:] for _ in range(20))
+    refrain = line(6)
+    rows += [(400 + i, poem()) for i in range(4)] + [(410 + i, prose() + ("\n" + refrain) * 4) for i in range(4)] * 2
+    rows += [(1000 + i, prose().replace(" ", "%%% ")) for i in range(12)] + [(2000 + i, prose().upper().replace(" ", "!! ")) for i in range(12)] + [(3000 + i, prose().replace(" ", " | ")) for i in range(12)]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string").withColumn("pattern", F.lit("x"))).collect()
+    assert len(got) == len(rows) and all(x.kept == (x.doc_id < 1000) for x in got if not x.base_failed)
+    overruled = [x for x in got if x.kept and x.n_bad]
+    assert len(overruled) >= 8 and any(x.doc_id < 410 for x in overruled) and any(x.doc_id >= 410 for x in overruled)
+
+
+def test_junk_planted_in_long_text_is_found(spark):
+    text = " ".join(f"word{i % 977}#$" for i in range(40_000))
+    clean = [(i, " ".join(random.Random(i).choice(["lorem", "ipsum", "dolor", "sit", "amet,", "elit."]) + "abcdefghijkl"[i % 9 : i % 9 + j % 4] for j in range(60)) + ".") for i in range(60)]
+    got = {x.doc_id: x for x in quality.quality(spark.createDataFrame([(100, text), *clean], "doc_id long, text string")).collect()}
+    assert got[100].n_words == 40_000 and not got[100].kept and got[100].base_failed
+    assert all(got[i].kept for i in range(60) if not got[i].base_failed)
 
 
 # 6
