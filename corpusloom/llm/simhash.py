@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, partitions, read
+from .common import map_texts, materialize, partitions, read, shielded
 from .components import connected_components
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
@@ -319,7 +319,7 @@ def near_deduplicated(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
     Of rows that share that doc_id, the one with the smallest fingerprint stays, and one of those that share both.
     """
-    plain = docs.toDF(*(f"_{i}" if c not in ("doc_id", "text") else c for i, c in enumerate(docs.columns)))
+    plain = shielded(docs, "doc_id", "text")
     prints = materialize(fingerprints(plain, tuple(plain.columns)), "simhash_rows")
     of = components(prints.select("doc_id", "fp"), budget).withColumnRenamed("fp", "_fp")
     return one_of_each(prints, of, plain.columns).toDF(*docs.columns)

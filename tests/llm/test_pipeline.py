@@ -83,3 +83,31 @@ def test_near_dedup_is_brute_force_at_its_similarity(spark, monkeypatch):
     assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == want
     monkeypatch.setattr(near_copies, "ORDERS", 1)
     assert sorted(x.doc_id for x in near_copies.near_deduplicated(docs).collect()) == want
+
+
+def stages(spark, docs, top):
+    """Each stage's columns and rows, on what the one before kept."""
+    out = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, top), f"odd_{name}")
+        out.append((docs.columns, [tuple(r) for r in docs.collect()]))
+    return out
+
+
+def test_stages_of_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    assert [rows for _, rows in stages(spark, docs, str(tmp_path))] == [[]] * 5
+
+
+def test_stages_with_nulls_repeated_rows_and_clashing_names(spark, tmp_path):
+    rows = table()
+    rows += [(None, "a text without any id " * 9, None, None, None)] * 3 + [rows[5]] * 2 + [(3, "other text of an id that is there " * 8, "en", "s1", 1), (300, "very long " * 30_000 + "end", "en", "s2", 1)]
+    extra = ("kept", "shard", "shard_order", "node", "fp", "_doc", "n_dropped", "size", "lang_pred", "cluster", "_c0", "buckets")
+    docs = spark.createDataFrame([(*r, *(f"{c}{i}" for c in extra)) for i, r in enumerate(rows)], SCHEMA + "".join(f", {c} string" for c in extra)).repartition(3)
+    language, lines, near, mixed, packed = stages(spark, docs, str(tmp_path))
+    assert all(columns == docs.columns for columns, _ in (language, lines, near, mixed))
+    known = {r[5:] for r in language[1]}
+    assert len(known) == len(language[1]) == len(lines[1]) and {r[5:] for r in lines[1]} == known and {r[5:] for r in near[1]} <= known
+    assert sum(r[0] is None for r in near[1]) == 1 and sum(r[0] == 300 for r in near[1]) == 1
+    assert {r[5:] for r in mixed[1]} <= {r[5:] for r in near[1]}
+    assert sum(r[4] for r in packed[1]) == sum(len(words(r[1])) for r in mixed[1])
