@@ -82,6 +82,7 @@ def test_near_dedup_is_brute_force_at_its_similarity(spark, monkeypatch):
     assert 12 < len(want) < len(rows) - 20
     assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == want
     monkeypatch.setattr(near_copies, "ORDERS", 1)
+    monkeypatch.setattr(near_copies, "SMALL", 3)
     assert sorted(x.doc_id for x in near_copies.near_deduplicated(docs).collect()) == want
 
 
