@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: A word, for regular expressions of Java.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Texts that are Python strings at once.
+TEXTS = 1024
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -76,7 +78,7 @@ def map_texts(docs: DataFrame, make: Callable[[list[str | None]], dict[str, Any]
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS)):
             made = make(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *map(pa.array, made.values())], names=[*keep, *made])
 

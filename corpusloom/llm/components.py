@@ -17,6 +17,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     whose skewed partitions AQE splits. Each round is written to the shared folder, which cuts the lineage.
     """
     own = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc_edges")
+    digest = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = digest(own)
     while True:
         both = own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "u")
@@ -25,9 +27,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(low, large["a"] == low["u"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = materialize(small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "cc_edges")
-        digest = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if digest(new) == digest(own):
+        after = digest(new)
+        if after == before:
             break
-        own = new
+        own, before = new, after
     stars = new.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(new.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -309,8 +309,8 @@ def one_of_each(rows: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame
     """``columns`` of one row of ``rows`` (``doc_id``, ``fp`` and others) for each component that ``of`` (``_fp``, ``component``) puts its ``fp`` in."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp"))
     stay = rows.select("doc_id", "fp").distinct().join(of, F.col("fp") == F.col("_fp")).groupBy("component").agg(first.alias("x"))
-    # one key of both, so that the join has dealt the texts as the last step needs them, and they move once
-    kept = rows.withColumn("_key", F.struct("doc_id", "fp")).join(stay.select(F.struct("x.doc_id", "x.fp").alias("_stay")), F.col("_key") == F.col("_stay"), "left_semi")
+    # a join by one key that isn't a semi-join, which would be pushed below it: it deals rows out as the last step needs them, so that texts move once
+    kept = rows.withColumn("_key", F.struct("doc_id", "fp")).join(stay.select(F.struct("x.doc_id", "x.fp").alias("_stay")).hint("merge"), F.col("_key") == F.col("_stay"))
     return kept.dropDuplicates(["_key"]).select(*columns)
 
 
