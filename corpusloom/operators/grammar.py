@@ -247,11 +247,18 @@ def verb_agreement(analysed_sentences: DataFrame) -> DataFrame:
 
 
 def rules_table(spark: SparkSession, rules: list[tuple] | None = None) -> DataFrame:
-    return spark.createDataFrame([r[:5] for r in rules or data.RULES], "rule_id string, category string, priority int, enabled boolean, severity string")
+    """Rules in order of priority; of rules that share an id the first holds."""
+    first: dict[str, tuple] = {}
+    for r in sorted(rules or data.RULES, key=lambda r: r[2]):
+        first.setdefault(r[0], r[:5])
+    return spark.createDataFrame(list(first.values()), "rule_id string, category string, priority int, enabled boolean, severity string")
 
 
 def enabled_rules(rules: list[tuple] | None = None, disabled: tuple[str, ...] = ()) -> set[str]:
-    return {r[0] for r in rules or data.RULES if r[3] and r[0] not in disabled}
+    first: dict[str, bool] = {}
+    for r in sorted(rules or data.RULES, key=lambda r: r[2]):
+        first.setdefault(r[0], r[3])
+    return {rule for rule, on in first.items() if on and rule not in disabled}
 
 
 TEXT_RULES = {"DOUBLE_SPACE": double_space_errors, "COMMA_SPACE": comma_space_errors, "PERIOD_SPACE": period_space_errors, "BRACKET_MATCH": bracket_errors}

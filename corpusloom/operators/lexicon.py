@@ -65,18 +65,17 @@ def classify_import(rows: DataFrame, main: DataFrame, user: DataFrame) -> DataFr
     """``rows`` (``ordinal``, ``word``) with ``normalized``, ``canonical`` and ``outcome``: added, in_main, in_user, or skipped.
 
     A word is known if any of its forms is; the second of a batch's equal words is in the user lexicon by then. Words are
-    made distinct before they meet the lexicons.
+    made distinct before they meet the lexicons, both in one join.
     """
     rows = rows.withColumn("normalized", T.normalize_word(F.col("word")))
     good = (F.col("normalized") != "") & ~T.skip_word(F.col("normalized"))
-    distinct = rows.where(good).groupBy("normalized").agg(F.min("ordinal").alias("first")).withColumn("forms", forms(F.col("normalized")))
-    each = distinct.select("normalized", F.explode("forms").alias("form"))
-
-    def known(lexicon: DataFrame, name: str) -> DataFrame:
-        return each.join(lexicon.select(F.col("word").alias("form")).distinct(), "form", "left_semi").select("normalized").distinct().withColumn(name, F.lit(True))
-
+    distinct = rows.where(good).groupBy("normalized").agg(F.min("ordinal").alias("first"))
+    each = distinct.select("normalized", "first", F.posexplode(forms(F.col("normalized"))).alias("_at", "form"))
+    known = main.select(F.col("word").alias("form"), F.lit(True).alias("_main"), F.lit(False).alias("_user"))
+    known = known.unionByName(user.select(F.col("word").alias("form"), F.lit(False).alias("_main"), F.lit(True).alias("_user")))
+    by = each.join(known, "form", "left").groupBy("normalized", "first")
+    distinct = by.agg(F.max("_main").alias("_main"), F.max("_user").alias("_user"), F.min_by("form", "_at").alias("canonical"))
     # of words in different scripts with one search form, the first is added
-    distinct = distinct.join(known(main, "_main"), "normalized", "left").join(known(user, "_user"), "normalized", "left").withColumn("canonical", F.get("forms", 0))
     distinct = distinct.withColumn("_first", F.min("first").over(Window.partitionBy("canonical")))
     rows = rows.join(distinct.select("normalized", "canonical", "_main", "_user", "_first"), "normalized", "left")
     outcome = F.when(~good, "skipped").when(F.col("_main"), "in_main").when(F.col("_user") | (F.col("ordinal") > F.col("_first")), "in_user").otherwise("added")

@@ -32,14 +32,16 @@ def checked(tokens: DataFrame) -> DataFrame:
 
 
 def misspelled(tokens: DataFrame, lexicon: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """Checked tokens whose word isn't in ``lexicon`` (``word``): an anti-join.
+    """Checked tokens whose word is in ``lexicon`` (``word``) neither in its own script nor in the other: two anti-joins.
 
     Words are made distinct before they meet the lexicon, and the unknown ones meet the tokens. ``words`` (``normalized``)
     may give the tokens' words in a cheaper way than tokens with places.
     """
     tokens = checked(tokens)
-    unknown = checked(words if words is not None else tokens).select("normalized").distinct().join(lexicon, F.col("normalized") == F.col("word"), "left_anti")
-    return tokens.join(unknown, "normalized", "left_semi")
+    unknown = checked(words if words is not None else tokens).select("normalized").distinct().join(lexicon.select("word"), F.col("normalized") == F.col("word"), "left_anti")
+    # few words are left to be written in the other script
+    unknown = unknown.withColumn("_other", translit.other_script(F.col("normalized"))).join(lexicon.select("word"), F.col("_other") == F.col("word"), "left_anti")
+    return tokens.join(unknown.select("normalized"), "normalized", "left_semi")
 
 
 def is_member(word: Column, lexicon_words: Column) -> Column:

@@ -256,6 +256,10 @@ UNION ALL SELECT doc_id, 'COMMA_SPACE', ' ,', start_index - 1, end_index, paragr
     "grammar_context": "WITH " + sql.matches(r"\.\p{Ll}") + " SELECT h.doc_id, start_index, substr(text, greatest(0, start_index - 25) + 1, least(length(text), start_index + 25) - greatest(0, start_index - 25)) AS context FROM hit h JOIN documents d ON d.doc_id = h.doc_id",
     "morph_analyze": """SELECT * FROM (VALUES ('мактабтан', 'мактаб', 'ABL_TAN', true, 'noun'), ('дарахтдан', 'дарахт', 'ABL_DAN', true, 'noun'), ('китобларлар', 'китоб', 'PL,AGR_LAR', true, 'verb'),
 ('юраким', 'юрак', 'POSS_1S', true, 'noun'), ('мактабка', 'мактабк', 'V_PRES', false, 'verb'), ('бораман', 'бор', 'V_PRES,AGR_MAN', true, 'verb'), ('китоб', 'китоб', '', true, 'unknown')) AS t(normalized, root, suffix_ids, is_known_root, part_of_speech)""",
+    "osa_distance": f"""WITH {UNKNOWN}, pr AS (SELECT query, lead(query) OVER (PARTITION BY substr(query, 1, 1) ORDER BY query) AS word FROM unk),
+pp AS (SELECT query, word, string_split(query, '') AS qa, string_split(word, '') AS wa, abs(length(query) - length(word))::INT AS gap FROM pr WHERE word IS NOT NULL),
+dd AS (SELECT query, word, gap, {sql.osa('qa', 'wa')}::INT AS d FROM pp)
+SELECT query, word, (CASE WHEN gap > 3 THEN gap ELSE d END)::INT AS distance, (CASE WHEN gap > 2 THEN 3 ELSE least(d, 3) END)::INT AS bounded FROM dd""",
     "shared_bigrams": f"WITH {UNKNOWN}, {SHARED} SELECT query, word, shared FROM shared",
     "transposition_variants": f"""WITH {TOK}, {sql.lexicon(5)}, v AS (SELECT DISTINCT word, unnest(list_transform(range(1, length(word)), lambda i: substr(word, 1, i - 1) || reverse(substr(word, i, 2)) || substr(word, i + 2))) AS variant FROM lex)
 SELECT word, variant FROM v WHERE variant <> word""",
@@ -265,9 +269,9 @@ SELECT word, variant FROM v WHERE variant <> word""",
     "lm_unigrams": f"WITH {TOK} SELECT normalized AS word, count(*) AS cnt FROM tok GROUP BY 1",
     "lm_bigrams": f"WITH {TOK}, l AS (SELECT lag(normalized) OVER (PARTITION BY doc_id ORDER BY pos) AS \"left\", normalized AS \"right\" FROM tok) SELECT \"left\", \"right\", count(*) AS cnt FROM l WHERE \"left\" IS NOT NULL GROUP BY 1, 2",
     "lm_prune": f"WITH {TOK}, l AS (SELECT lag(normalized) OVER (PARTITION BY doc_id ORDER BY pos) AS \"left\", normalized AS \"right\" FROM tok) SELECT \"left\", \"right\", count(*) AS cnt FROM l WHERE \"left\" IS NOT NULL GROUP BY 1, 2 ORDER BY cnt DESC, \"left\" DESC, \"right\" DESC LIMIT 30000",
-    "lm_context_score": f"""WITH {TOK}, {BENCH}, u AS (SELECT normalized AS w, count(*) AS c FROM tok GROUP BY 1),
-p AS (SELECT l, r, count(*) AS c FROM (SELECT lag(normalized) OVER (PARTITION BY doc_id ORDER BY pos) AS l, normalized AS r FROM tok) WHERE l IS NOT NULL GROUP BY 1, 2),
-t AS (SELECT doc_id, pos, normalized AS w, lag(normalized) OVER o AS pv, lead(normalized) OVER o AS nx FROM tokb WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+    "lm_context_score": f"""WITH {TOK}, {BENCH}, u AS MATERIALIZED (SELECT normalized AS w, count(*) AS c FROM tok GROUP BY 1),
+p AS MATERIALIZED (SELECT l, r, count(*) AS c FROM (SELECT lag(normalized) OVER (PARTITION BY doc_id ORDER BY pos) AS l, normalized AS r FROM tok) WHERE l IS NOT NULL GROUP BY 1, 2),
+t AS MATERIALIZED (SELECT doc_id, pos, normalized AS w, lag(normalized) OVER o AS pv, lead(normalized) OVER o AS nx FROM tokb WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 s AS (SELECT doc_id, pos, CASE WHEN pv IS NULL THEN 0 ELSE least(1, (coalesce(a.c, 0) + 1.0) / (coalesce(ua.c, 0) + 48.0) * 6.0) END AS x, CASE WHEN nx IS NULL THEN 0 ELSE least(1, (coalesce(b.c, 0) + 1.0) / (coalesce(ub.c, 0) + 48.0) * 6.0) END AS y
   FROM t LEFT JOIN p a ON a.l = pv AND a.r = t.w LEFT JOIN p b ON b.l = t.w AND b.r = nx LEFT JOIN u ua ON ua.w = pv LEFT JOIN u ub ON ub.w = t.w)
 SELECT doc_id, pos, round(CASE WHEN x > 0 AND y > 0 THEN (x::DOUBLE + y::DOUBLE) / 2 ELSE greatest(x, y)::DOUBLE END, 9) AS context FROM s""",

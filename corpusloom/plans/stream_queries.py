@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,10 @@ from ..operators import spelling
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder where driver and executors both reach it."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    top = top or f"{tempfile.gettempdir()}/corpusloom/{spark.sparkContext.applicationId}"
     return f"{top.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 

@@ -250,3 +250,20 @@ def test_settings():
     s = settings.loads("MaxPredictions=99\nPreferredScript=Greek\nAutoLearn=False\nPredictionSensitivity=x\nnonsense\n")
     assert (s.MaxPredictions, s.PreferredScript, s.AutoLearn, s.PredictionSensitivity) == (10, "Auto", False, 0.5)
     assert settings.loads(settings.dumps(s)) == s
+
+
+def test_membership_in_either_script(spark):
+    """A token is known if the lexicon has it in its own script or in the other one."""
+    from corpusloom.operators import spelling
+
+    docs = spark.createDataFrame([(1, "kitob китоб maktab мактаб olma xatoo")], "doc_id int, text string")
+    lexicon = spark.createDataFrame([("китоб",), ("maktab",)], "word string")
+    assert sorted(r.word for r in spelling.errors(docs, lexicon).collect()) == ["olma", "xatoo"]
+
+
+def test_rules_by_priority_and_the_first_of_an_id(spark):
+    from corpusloom.operators import grammar
+
+    rules = [("B", "x", 5, True, "Style"), ("A", "x", 2, False, "Grammar"), ("B", "y", 1, True, "Grammar"), ("A", "z", 9, True, "Style")]
+    assert [tuple(r) for r in grammar.rules_table(spark, rules).collect()] == [("B", "y", 1, True, "Grammar"), ("A", "x", 2, False, "Grammar")]
+    assert grammar.enabled_rules(rules) == {"B"} and grammar.enabled_rules(rules, ("B",)) == set()
