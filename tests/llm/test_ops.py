@@ -423,6 +423,16 @@ def test_the_posterior_is_not_all_must_pass(spark):
     assert len(overruled) >= 8 and any(x.doc_id < 410 for x in overruled) and any(x.doc_id >= 410 for x in overruled)
 
 
+def test_quality_is_learned_alike_in_the_driver_and_by_tasks(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(["Alpha", "beta.", "##", "|", "GAMMA", "7", "delta!!", "word\n"]) + str(r.random())[: r.randint(0, 6)] for _ in range(r.randint(15, 60)))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    a, b = ({x.doc_id: x for x in quality.quality(docs, in_driver=n).collect()} for n in (quality.IN_DRIVER, 0))
+    assert {k: x.kept for k, x in a.items()} == {k: x.kept for k, x in b.items()} and len(a) == 200
+    assert all(x.p_good is None or abs(x.p_good - b[k].p_good) < 1e-6 for k, x in a.items()) and len({x.p_good for x in a.values()}) > 2
+    assert quality.quality(empty(spark), in_driver=-1).count() == 0
+
+
 def test_junk_planted_in_long_text_is_found(spark):
     text = " ".join(f"word{i % 977}#$" for i in range(40_000))
     clean = [(i, " ".join(random.Random(i).choice(["lorem", "ipsum", "dolor", "sit", "amet,", "elit."]) + "abcdefghijkl"[i % 9 : i % 9 + j % 4] for j in range(60)) + ".") for i in range(60)]
