@@ -130,6 +130,12 @@ def stem(word: Column) -> Column:
     return F.when(F.char_length(word) < 4, word).otherwise(out)
 
 
+def deletions(word: Column) -> Column:
+    """A word and what is left of it without one of its letters: words one edit apart share one of these."""
+    n = F.greatest(F.char_length(word), F.lit(1))
+    return F.array_distinct(F.array_append(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, n))), word))
+
+
 def get_explanation(words: DataFrame, local: DataFrame, bundled: DataFrame) -> DataFrame:
     """``(word, source, key)``: local by word, by stem, by one edit (the first listed), then bundled by word, by stem."""
     w = words.select("word").distinct().withColumn("_n", T.normalize_word(F.col("word"))).withColumn("_s", stem(F.col("_n")))
@@ -139,8 +145,8 @@ def get_explanation(words: DataFrame, local: DataFrame, bundled: DataFrame) -> D
     def exact(e: DataFrame, column: str, rank: int, source: str) -> DataFrame:
         return w.join(e, F.col(column) == F.col("key")).select("word", F.lit(rank).alias("rank"), F.lit(source).alias("source"), "key", "ordinal")
 
-    near = w.withColumn("len", F.explode(F.sequence(F.greatest(F.char_length("_n") - 1, F.lit(1)), F.char_length("_n") + 1)))
-    near = near.join(a.withColumn("len", F.char_length("key")), "len").where((F.levenshtein("_n", "key") <= 2) & (T.edit_distance(F.col("_n"), F.col("key")) <= 1))
+    near = w.withColumn("left", F.explode(deletions(F.col("_n")))).join(a.withColumn("left", F.explode(deletions(F.col("key")))), "left")
+    near = near.select("word", "_n", "key", "ordinal").distinct().where(T.edit_distance(F.col("_n"), F.col("key")) <= 1)
     near = near.select("word", F.lit(3).alias("rank"), F.lit("local").alias("source"), "key", "ordinal")
     hits = reduce(DataFrame.unionByName, [exact(a, "_n", 1, "local"), exact(a, "_s", 2, "local"), near, exact(b, "_n", 4, "bundled"), exact(b, "_s", 5, "bundled")])
     best = hits.groupBy("word").agg(F.min(F.struct("rank", "ordinal", "source", "key")).alias("x"))

@@ -24,8 +24,6 @@ SAMPLES = [
     (1, "Мен мактабтан келди. дарахтдан китобларлар."), (2, "мен бораман. Сен бораман, юраким тоғ"), (3, "У эмас ман. тошкент шаҳар"), (4, "Амир темур (китоб [бор) \"тоғ"), (5, "a,b, c,1,,x"),
     (6, "Bir  ikki   uch ,to'rt"), (7, "so'z so'z. yangi Gap.davom"), (8, ""), (9, None),
 ]
-EXPLANATIONS = [(0, "китоб", "a book", None, None, []), (1, "maktab", "a school", None, "noun", ["x"]), (2, "тоғ", " ", "", None, []), (3, "kitob", "the book", None, None, [])]
-CORRECTIONS = [("kiotb", "kitob", "yangi", "bor"), ("kiotb", "kitob", "", "bor"), ("maktap", "maktab", "yangi", None), ("", "x", None, None)]
 
 
 def literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -63,7 +61,8 @@ def gr_repeated_word(spark, sf_dir):
 
 
 def gr_brackets(spark, sf_dir):
-    return G.brackets(docs_of(spark, sf_dir))
+    """Over texts whose commas were made opening brackets, and whose full stops were made closing ones."""
+    return G.brackets(docs_of(spark, sf_dir).withColumn("text", F.translate("text", ",.", "()")))
 
 
 def sentences(spark, sf_dir):
@@ -107,23 +106,25 @@ def transliteration_samples(spark, sf_dir):
     return rows.select("word", translit.to_cyrillic(w, data.EXCEPTIONS).alias("cyrillic"), translit.to_latin(w).alias("latin"), translit.normalize_apostrophes(w).alias("apostrophes"), translit.other_script(w).alias("other"))
 
 
-def unknown_words(spark, sf_dir) -> DataFrame:
-    """Words of the benchmark's texts that no two documents hold."""
-    words = K.words(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
-    lex = spelling.lexicon_of(docs_of(spark, sf_dir))
-    return words.select("normalized").distinct().where("length(normalized) > 1").join(lex, F.col("normalized") == F.col("word"), "left_anti").select(F.col("normalized").alias("query"))
+def lexicon_words(spark, sf_dir) -> DataFrame:
+    return spelling.lexicon_of(docs_of(spark, sf_dir)).select("word")
 
 
-def frequent(spark, sf_dir) -> DataFrame:
-    return spelling.lexicon_of(docs_of(spark, sf_dir), 5).select("word")
+def unknown_words(spark, sf_dir) -> DataFrame:
+    """Words of all the benchmark's texts that no two documents hold."""
+    words = K.words(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
+    words = words.select("normalized").distinct().where("length(normalized) > 1")
+    return words.join(lexicon_words(spark, sf_dir), F.col("normalized") == F.col("word"), "left_anti").select(F.col("normalized").alias("query"))
 
 
 def fuzzy_candidates(spark, sf_dir):
-    return suggest.candidates(unknown_words(spark, sf_dir), frequent(spark, sf_dir))
+    return suggest.candidates(unknown_words(spark, sf_dir), lexicon_words(spark, sf_dir))
 
 
 def shared_bigrams(spark, sf_dir):
-    return suggest.shared_bigrams(unknown_words(spark, sf_dir), frequent(spark, sf_dir))
+    """Of each unknown word: how many lexicon words share a bigram with it, and how many bigrams they share."""
+    pairs = suggest.shared_bigrams(unknown_words(spark, sf_dir), lexicon_words(spark, sf_dir))
+    return pairs.groupBy("query").agg(F.count(F.lit(1)).alias("words"), F.sum("shared").alias("shared"), F.max("shared").alias("most"))
 
 
 def osa_distance(spark, sf_dir):
@@ -136,21 +137,21 @@ def osa_distance(spark, sf_dir):
 
 
 def phonetic_variants(spark, sf_dir):
-    words = frequent(spark, sf_dir).select(translit.to_cyrillic(F.col("word")).alias("word")).distinct()
+    words = lexicon_words(spark, sf_dir).select(translit.to_cyrillic(F.col("word")).alias("word")).distinct()
     return words.select("word", F.explode(T.phonetic_variants(F.col("word"))).alias("variant"))
 
 
 def transposition_variants(spark, sf_dir):
-    return frequent(spark, sf_dir).select("word", F.explode(T.transposition_variants(F.col("word"))).alias("variant"))
+    return lexicon_words(spark, sf_dir).select("word", F.explode(T.transposition_variants(F.col("word"))).alias("variant"))
 
 
 def suggestions(spark, sf_dir):
-    found = suggest.same_script_suggestions(unknown_words(spark, sf_dir), frequent(spark, sf_dir))
+    found = suggest.same_script_suggestions(unknown_words(spark, sf_dir), lexicon_words(spark, sf_dir))
     return found.select("query", "rank", "suggestion", "distance", F.round("score", 6).alias("score"))
 
 
 def best_suggestion(spark, sf_dir):
-    found = suggest.same_script_suggestions(unknown_words(spark, sf_dir), frequent(spark, sf_dir), 1)
+    found = suggest.same_script_suggestions(unknown_words(spark, sf_dir), lexicon_words(spark, sf_dir), 1)
     return found.select("query", "suggestion", "distance", suggest.live_threshold(F.col("distance"), F.col("score")).alias("certain"))
 
 
@@ -189,7 +190,11 @@ def lm_priors(spark, sf_dir):
 
 
 def lm_learn(spark, sf_dir):
-    learned = LM.learn(literals(spark, CORRECTIONS, "source string, replacement string, prev string, next string"))
+    """From the conversations' tokens, each the correction of itself spelled backwards between its neighbours."""
+    found = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(T.TOKEN), F.lit(0)), T.normalize_token)
+    turns = read(spark, sf_dir, "conversations").select(found.alias("t"))
+    events = turns.select(F.explode(F.transform("t", lambda w, i: F.struct(F.reverse(w).alias("source"), w.alias("replacement"), F.get("t", i - 1).alias("prev"), F.get("t", i + 1).alias("next")))).alias("x")).select("x.*")
+    learned = LM.learn(events)
     uni = learned["unigrams"].select(F.lit("unigram").alias("kind"), "word", F.lit("").alias("other"), "cnt")
     return uni.unionByName(learned["bigrams"].select(F.lit("bigram").alias("kind"), F.col("left").alias("word"), F.col("right").alias("other"), "cnt")).unionByName(learned["corrections"].select(F.lit("correction").alias("kind"), F.col("source").alias("word"), F.col("target").alias("other"), "cnt"))
 
@@ -212,20 +217,33 @@ def autocorrect_decision(spark, sf_dir):
     return suggest.decide(ranked(spark, sf_dir), "balanced").select("query", "should_replace", "replacement", F.round("score", 6).alias("score"), "reason")
 
 
+def entries_of(spark, sf_dir) -> DataFrame:
+    """An explanation of each lexicon word: its length, in order of the words; those of an odd length say nothing."""
+    words = lexicon_words(spark, sf_dir)
+    n = F.char_length("word")
+    said = F.when(n % 2 == 0, F.concat(F.lit("a word of "), n)).otherwise(" ")
+    return words.select(n.alias("ordinal"), "word", said.alias("definition"), F.lit(None).cast("string").alias("spelling_rule"), F.lit("").alias("grammar_note"), F.array().cast("array<string>").alias("examples"))
+
+
+def talk_words(spark, sf_dir) -> DataFrame:
+    return K.words(read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text")).select(F.col("normalized").alias("word")).distinct()
+
+
 def explanation_lookup(spark, sf_dir):
-    words = literals(spark, [(w,) for w in ("kitob", "Мактаб", "тоғ", "nomalum")], "word string")
-    return L.explain(words, literals(spark, EXPLANATIONS, "ordinal int, word string, definition string, spelling_rule string, grammar_note string, examples array<string>")).select("word", "definition", "grammar_note")
+    """Of the conversations' words."""
+    return L.explain(talk_words(spark, sf_dir), entries_of(spark, sf_dir)).select("word", "definition")
 
 
 def get_explanation(spark, sf_dir):
-    words = literals(spark, [(w,) for w in ("китоблар", "китоп", "мактабда", "осмон", "юрак")], "word string")
-    local = literals(spark, [(0, "китоб"), (1, "китоби")], "ordinal int, word string")
-    return L.get_explanation(words, local, literals(spark, [(0, "мактаб"), (1, "юрак")], "ordinal int, word string"))
+    """Of the benchmark's words: local entries are the lexicon's words of an even length, bundled ones the others."""
+    words = K.words(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")).select(F.col("normalized").alias("word")).distinct()
+    entries = entries_of(spark, sf_dir).select("ordinal", "word")
+    return L.get_explanation(words, entries.where("ordinal % 2 = 0"), entries.where("ordinal % 2 = 1"))
 
 
 def validate_dictionary(spark, sf_dir):
-    entries = literals(spark, [("китоб",), ("Китоб",), (" ",), ("# x",), ("a\nb",), ("a​b",), ("тоғ",), (None,)], "word string")
-    return L.validate(entries)
+    """All lines of all documents as a word list."""
+    return L.validate(docs_of(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("word")))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -238,12 +256,16 @@ QUERIES = {f.__name__: f for f in (
 TOK = sql.tokens()
 SENTENCES = "sen AS (SELECT *, coalesce(sum((next_char IN ('.', '!', '?'))::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sentence_id FROM tok)"
 BENCH = sql.tokens("benchmark", "item_id", "b")
-UNKNOWN = f"{TOK}, {BENCH}, {sql.lexicon(2)}, unk AS (SELECT DISTINCT normalized AS query FROM tokb WHERE length(normalized) > 1 AND normalized NOT IN (SELECT word FROM lex)), freq AS (SELECT word FROM lex WHERE df >= 5)"
+UNKNOWN = f"{TOK}, {BENCH}, {sql.lexicon(2)}, unk AS (SELECT DISTINCT normalized AS query FROM tokb WHERE length(normalized) > 1 AND normalized NOT IN (SELECT word FROM lex)), freq AS (SELECT word FROM lex)"
 GRAMS = "list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))"
 SHARED = f"""qg AS (SELECT query, unnest({GRAMS.format('query')}) AS g FROM unk), dg AS (SELECT word, unnest({GRAMS.format('word')}) AS g FROM freq),
 shared AS (SELECT query, word, count(*) AS shared FROM qg JOIN dg USING (g) GROUP BY 1, 2)"""
 HEAD = "doc_id, '{0}' AS rule_id, m AS word, start_index, end_index, paragraph_index"
 
+TURNS = sql.tokens("(SELECT row_number() OVER () AS turn_id, text FROM conversations)", "turn_id", "b")
+#: A token's key in language models; of text in neither script as it is.
+KEY = "(CASE WHEN regexp_matches({0}, '[a-z]') THEN " + sql.to_cyrillic("{0}") + " ELSE {0} END)"
+
 ORACLE_SQL = {
     "gr_double_space": "WITH x AS (SELECT doc_id, replace(text, chr(10), '  ') AS text FROM documents), " + sql.matches(" {2,}", "x") + f" SELECT {HEAD.format('DOUBLE_SPACE')}, ' ' AS suggestion, length(m) - 1 AS distance FROM hit",
     "gr_period_space": "WITH " + sql.matches(r"\.\p{Ll}") + f" SELECT {HEAD.format('PERIOD_SPACE')}, '. ' || upper(m[-1]) AS suggestion, 1 AS distance FROM hit",
@@ -260,10 +282,10 @@ UNION ALL SELECT doc_id, 'COMMA_SPACE', ' ,', start_index - 1, end_index, paragr
 pp AS (SELECT query, word, string_split(query, '') AS qa, string_split(word, '') AS wa, abs(length(query) - length(word))::INT AS gap FROM pr WHERE word IS NOT NULL),
 dd AS (SELECT query, word, gap, {sql.osa('qa', 'wa')}::INT AS d FROM pp)
 SELECT query, word, (CASE WHEN gap > 3 THEN gap ELSE d END)::INT AS distance, (CASE WHEN gap > 2 THEN 3 ELSE least(d, 3) END)::INT AS bounded FROM dd""",
-    "shared_bigrams": f"WITH {UNKNOWN}, {SHARED} SELECT query, word, shared FROM shared",
-    "transposition_variants": f"""WITH {TOK}, {sql.lexicon(5)}, v AS (SELECT DISTINCT word, unnest(list_transform(range(1, length(word)), lambda i: substr(word, 1, i - 1) || reverse(substr(word, i, 2)) || substr(word, i + 2))) AS variant FROM lex)
+    "shared_bigrams": f"WITH {UNKNOWN}, {SHARED} SELECT query, count(*) AS words, sum(shared)::BIGINT AS shared, max(shared) AS most FROM shared GROUP BY 1",
+    "transposition_variants": f"""WITH {TOK}, {sql.lexicon(2)}, v AS (SELECT DISTINCT word, unnest(list_transform(range(1, length(word)), lambda i: substr(word, 1, i - 1) || reverse(substr(word, i, 2)) || substr(word, i + 2))) AS variant FROM lex)
 SELECT word, variant FROM v WHERE variant <> word""",
-    "phonetic_variants": f"""WITH {TOK}, {sql.lexicon(5)}, c AS (SELECT DISTINCT {sql.to_cyrillic('word')} AS word FROM lex),
+    "phonetic_variants": f"""WITH {TOK}, {sql.lexicon(2)}, c AS (SELECT DISTINCT {sql.to_cyrillic('word')} AS word FROM lex),
 v AS (SELECT DISTINCT word, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || translate(substr(word, i, 1), 'хҳкқгғуўеэийо', 'ҳхқкғгўуэейиў') || substr(word, i + 1))) AS variant FROM c)
 SELECT word, variant FROM v WHERE variant <> word""",
     "lm_unigrams": f"WITH {TOK} SELECT normalized AS word, count(*) AS cnt FROM tok GROUP BY 1",
@@ -277,9 +299,10 @@ s AS (SELECT doc_id, pos, CASE WHEN pv IS NULL THEN 0 ELSE least(1, (coalesce(a.
 SELECT doc_id, pos, round(CASE WHEN x > 0 AND y > 0 THEN (x::DOUBLE + y::DOUBLE) / 2 ELSE greatest(x, y)::DOUBLE END, 9) AS context FROM s""",
     "lm_priors": f"""WITH {TOK}, u AS (SELECT normalized AS word, count(*) AS c FROM tok GROUP BY 1), f AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS at FROM u ORDER BY word LIMIT 5000)
 SELECT u.word, round((CASE WHEN f.at IS NULL THEN 0.30::DOUBLE ELSE 0.35::DOUBLE + 0.25::DOUBLE * (1 - f.at::DOUBLE / (SELECT greatest(1, count(*) - 1) FROM f)) END) * 0.65::DOUBLE + c / (c + 8.0::DOUBLE) * 0.35::DOUBLE, 9) AS prior FROM u LEFT JOIN f USING (word)""",
-    "lm_learn": """SELECT * FROM (VALUES ('unigram', 'китоб', '', 4::BIGINT), ('unigram', 'мактаб', '', 2), ('bigram', 'янги', 'китоб', 2), ('bigram', 'китоб', 'бор', 2), ('bigram', 'янги', 'мактаб', 2),
-('correction', 'киотб', 'китоб', 2), ('correction', 'мактап', 'мактаб', 1)) AS t(kind, word, other, cnt)""",
-    "explanation_lookup": "SELECT * FROM (VALUES ('kitob', 'the book', NULL::VARCHAR), ('Мактаб', 'a school', 'noun'), ('тоғ', NULL, NULL), ('nomalum', NULL, NULL)) AS t(word, definition, grammar_note)",
-    "get_explanation": "SELECT * FROM (VALUES ('китоблар', 'local', 'китоб'), ('китоп', 'local', 'китоб'), ('мактабда', 'bundled', 'мактаб'), ('осмон', NULL, NULL), ('юрак', 'bundled', 'юрак')) AS t(word, source, key)",
-    "validate_dictionary": "SELECT * FROM (VALUES ('blank', ' '), ('blank', ''), ('comment', '# x'), ('line_break', 'a' || chr(10) || 'b'), ('control', 'a' || chr(8203) || 'b'), ('repeated', 'китоб')) AS t(problem, word)",
+    "lm_learn": f"""WITH {TURNS}, e AS (SELECT {KEY.format('reverse(normalized)')} AS s, {KEY.format('normalized')} AS r, {KEY.format('lag(normalized) OVER o')} AS pv, {KEY.format('lead(normalized) OVER o')} AS nx FROM tokb WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+p AS (SELECT pv AS a, r AS b, 2 AS w FROM e WHERE pv IS NOT NULL UNION ALL SELECT r, nx, 1 FROM e WHERE nx IS NOT NULL)
+SELECT 'unigram' AS kind, r AS word, '' AS other, (2 * count(*))::BIGINT AS cnt FROM e GROUP BY ALL UNION ALL SELECT 'bigram', a, b, sum(w)::BIGINT FROM p GROUP BY ALL UNION ALL SELECT 'correction', s, r, count(*) FROM e GROUP BY ALL""",
+    "validate_dictionary": r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS word FROM documents)
+SELECT CASE WHEN trim(word) = '' THEN 'blank' WHEN starts_with(word, '#') THEN 'comment' WHEN contains(word, chr(13)) THEN 'line_break' ELSE 'control' END AS problem, word FROM l
+WHERE trim(word) = '' OR starts_with(word, '#') OR regexp_matches(word, '[\p{Cc}\p{Cf}]') UNION ALL SELECT 'repeated', lower(word) FROM l WHERE trim(word) <> '' GROUP BY lower(word) HAVING count(*) > 1""",
 }

@@ -8,7 +8,7 @@ import pytest
 from corpusloom import data
 from corpusloom.functions import collation, morph, translit
 from corpusloom.functions import text as T
-from corpusloom.operators import grammar, lexicon, reports, rewrite, spelling, suggest
+from corpusloom.operators import grammar, language_model, lexicon, reports, rewrite, spelling, suggest
 from corpusloom.operators import tokens as K
 from corpusloom.sources import readers, writers
 from pyspark.sql import functions as F
@@ -267,3 +267,55 @@ def test_rules_by_priority_and_the_first_of_an_id(spark):
     rules = [("B", "x", 5, True, "Style"), ("A", "x", 2, False, "Grammar"), ("B", "y", 1, True, "Grammar"), ("A", "z", 9, True, "Style")]
     assert [tuple(r) for r in grammar.rules_table(spark, rules).collect()] == [("B", "y", 1, True, "Grammar"), ("A", "x", 2, False, "Grammar")]
     assert grammar.enabled_rules(rules) == {"B"} and grammar.enabled_rules(rules, ("B",)) == set()
+
+
+EXPLANATIONS = [(0, "китоб", "a book", None, None, []), (1, "maktab", "a school", None, "noun", ["x"]), (2, "тоғ", " ", "", None, []), (3, "kitob", "the book", None, None, [])]
+CORRECTIONS = [("kiotb", "kitob", "yangi", "bor"), ("kiotb", "kitob", "", "bor"), ("maktap", "maktab", "yangi", None), ("", "x", None, None)]
+
+
+def test_learned_counts(spark):
+    learned = language_model.learn(spark.createDataFrame(CORRECTIONS, "source string, replacement string, prev string, next string"))
+    assert {tuple(r) for r in learned["unigrams"].collect()} == {("китоб", 4), ("мактаб", 2)}
+    assert {tuple(r) for r in learned["bigrams"].collect()} == {("янги", "китоб", 2), ("китоб", "бор", 2), ("янги", "мактаб", 2)}
+    assert {tuple(r) for r in learned["corrections"].collect()} == {("киотб", "китоб", 2), ("мактап", "мактаб", 1)}
+
+
+def test_explanations(spark):
+    words = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
+    entries = spark.createDataFrame(EXPLANATIONS, "ordinal int, word string, definition string, spelling_rule string, grammar_note string, examples array<string>")
+    got = lexicon.explain(words("kitob", "Мактаб", "тоғ", "nomalum"), entries).select("word", "definition", "grammar_note").collect()
+    assert {tuple(r) for r in got} == {("kitob", "the book", None), ("Мактаб", "a school", "noun"), ("тоғ", None, None), ("nomalum", None, None)}
+    local, bundled = (spark.createDataFrame(list(enumerate(w)), "ordinal int, word string") for w in (("китоб", "китоби"), ("мактаб", "юрак")))
+    got = {r.word: (r.source, r.key) for r in lexicon.get_explanation(words("китоблар", "китоп", "мактабда", "осмон", "юрак"), local, bundled).collect()}
+    assert got == {"китоблар": ("local", "китоб"), "китоп": ("local", "китоб"), "мактабда": ("bundled", "мактаб"), "осмон": (None, None), "юрак": ("bundled", "юрак")}
+
+
+def test_words_one_edit_apart_are_found(spark):
+    """Against comparing all with all: swaps, changes, one letter more or less, empty and repeated letters."""
+    r = random.Random(7)
+    some = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(120)})
+    ask, entries = some[::3], [w for i, w in enumerate(some) if i % 3]
+    local = spark.createDataFrame(list(enumerate(entries)), "ordinal int, word string")
+    none = spark.createDataFrame([], "ordinal int, word string")
+    got = {x.word: x.key for x in lexicon.get_explanation(spark.createDataFrame([(w,) for w in ask], "word string"), local, none).collect()}
+
+    def near(a, b):
+        swaps = [a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)]
+        cuts = lambda w: {w[:i] + w[i + 1 :] for i in range(len(w))}
+        return b in swaps or b in cuts(a) or a in cuts(b) or len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+
+    assert got == {q: next((e for e in entries if near(q, e)), None) for q in ask}
+
+
+def test_validated_list(spark):
+    entries = spark.createDataFrame([("китоб",), ("Китоб",), (" ",), ("# x",), ("a\nb",), ("a\u200bb",), ("тоғ",), (None,)], "word string")
+    assert sorted(map(tuple, lexicon.validate(entries).collect())) == sorted([("blank", " "), ("blank", ""), ("comment", "# x"), ("line_break", "a\nb"), ("control", "a\u200bb"), ("repeated", "китоб")])
+
+
+def test_near_lengths_join_with_bigrams(spark):
+    """Pairs within reach are those of the plain join; others are left out."""
+    words = spark.createDataFrame([(w,) for w in ("banana", "bananas", "ananas", "an", "cabana", "nananana")], "word string")
+    ask = spark.createDataFrame([("banan",), ("ana",), ("a",)], "query string")
+    plain = {tuple(x) for x in suggest.shared_bigrams(ask, words).collect()}
+    near = {tuple(x) for x in suggest.shared_bigrams(ask, words, F.lit(1)).collect()}
+    assert near == {x for x in plain if abs(len(x[0]) - len(x[1])) <= 1} and near < plain
