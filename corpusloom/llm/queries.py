@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, media, mixing, packing, quality, secret_scan, simhash, token_counts, warc
+from . import block_max, divergence, hard_negatives, langid, line_dedup, media, mixing, packing, quality, secret_scan, simhash, token_counts, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_language_id": langid.op9_language_id,
     "op10_simhash": simhash.op10_simhash,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_exact_topk": block_max.op12_exact_topk,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 #: Where SQL can express the whole result.
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op12_exact_topk": block_max.ORACLE_SQL,
+    "op13_source_divergence": divergence.ORACLE_SQL,
 }
