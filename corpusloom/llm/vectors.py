@@ -69,6 +69,12 @@ class Summary:
 Bound = Callable[[np.ndarray, Summary], tuple[np.ndarray, np.ndarray]]
 
 
+def within(bound: Bound, queries: np.ndarray, s: Summary) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds on scores that are held to a long's limits."""
+    upper, lower = bound(queries, s)
+    return np.maximum(upper, float(LOWEST)), np.minimum(lower, float(HIGHEST))
+
+
 def whole_numbers(column: pa.ListArray, width: int) -> np.ndarray:
     """floor(SCALE * x) of lists of numbers; short lists are filled up with zeros."""
     n, lengths = len(column), np.asarray(column.value_lengths())
@@ -192,6 +198,8 @@ def best(found: list[np.ndarray], k: int) -> list[np.ndarray]:
 
 def scan(blocks: pa.Table, needs: pa.Table, kind: str, width: int, bound: Bound, k: int, same: bool | None) -> pa.Table:
     """The best ``k`` of each need in one slab. ``same``: only rows of the need's label, or only of others, or any."""
+    if not blocks.num_rows or not needs.num_rows:
+        return pa.table([pa.array([], pa.int64())] * 4, names=["need", "row", "vec_id", "score"])
     table = blocks.sort_by("block")
     floats = lambda c: np.array(table[c].to_pylist(), float).reshape(table.num_rows, -1)
     summary = Summary(np.asarray(table["pivot"]), np.asarray(table["near"]), np.asarray(table["far"]), floats("low"), floats("high"))
@@ -204,7 +212,7 @@ def scan(blocks: pa.Table, needs: pa.Table, kind: str, width: int, bound: Bound,
         need, label = np.asarray(part["need"]), np.array(part["label"].to_pylist(), float)
         _, one, inverse = np.unique(row, return_index=True, return_inverse=True)
         vectors = np.frombuffer(b"".join(part["v"].take(one).to_pylist()), kind).reshape(len(one), width).astype(float)
-        upper, lower = bound(vectors, summary)
+        upper, lower = within(bound, vectors, summary)
         order = np.argsort(-upper, axis=1, kind="stable")
         kth, active, at, step = least.copy(), np.arange(len(need)), 0, 1
         kept = [np.zeros(0, np.int64)] * 4
@@ -234,8 +242,7 @@ def scan(blocks: pa.Table, needs: pa.Table, kind: str, width: int, bound: Bound,
             if at < len(data):
                 active = active[upper[inverse[active], order[inverse[active], at]] >= kth[active]]
         result.append([need[kept[0]], *kept[1:]])
-    columns = [np.concatenate(x) for x in zip(*result, strict=True)] if result else [np.zeros(0, np.int64)] * 4
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["need", "row", "vec_id", "score"])
+    return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*result, strict=True)], names=["need", "row", "vec_id", "score"])
 
 
 def coarse_bounds(index: Index) -> tuple[int, np.ndarray, Summary]:
@@ -275,7 +282,7 @@ def search(index: Index, needs: DataFrame, bound: Bound, k: int, same: bool | No
         starts = np.flatnonzero(np.r_[True, np.diff(groups) != 0])
         for b in (b.slice(a, TOGETHER) for b in batches for a in range(0, b.num_rows, TOGETHER)):
             vectors = np.frombuffer(b"".join(b.column("v").to_pylist()), kind).reshape(b.num_rows, width).astype(float)
-            upper, lower = bound(vectors, summary)
+            upper, lower = within(bound, vectors, summary)
             reach = (upper >= np.asarray(b.column("least"))[:, None]) & (lower <= np.asarray(b.column("most"))[:, None])
             i, j = np.nonzero(np.maximum.reduceat(reach, starts, axis=1))
             for a in range(0, len(i), TOGETHER << 4):
