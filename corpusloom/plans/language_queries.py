@@ -117,8 +117,15 @@ def unknown_words(spark, sf_dir) -> DataFrame:
     return words.join(lexicon_words(spark, sf_dir), F.col("normalized") == F.col("word"), "left_anti").select(F.col("normalized").alias("query"))
 
 
+def error_words(spark, sf_dir) -> DataFrame:
+    """The documents' own misspelled words: those that are checked and stand in one document alone."""
+    words = spelling.checked(K.words(docs_of(spark, sf_dir))).select("normalized").distinct()
+    return words.join(lexicon_words(spark, sf_dir), F.col("normalized") == F.col("word"), "left_anti").select(F.col("normalized").alias("query"))
+
+
 def fuzzy_candidates(spark, sf_dir):
-    return suggest.candidates(unknown_words(spark, sf_dir), lexicon_words(spark, sf_dir))
+    """Of all the documents' misspelled words, as the next ones."""
+    return suggest.candidates(error_words(spark, sf_dir), lexicon_words(spark, sf_dir))
 
 
 def shared_bigrams(spark, sf_dir):
@@ -146,12 +153,12 @@ def transposition_variants(spark, sf_dir):
 
 
 def suggestions(spark, sf_dir):
-    found = suggest.same_script_suggestions(unknown_words(spark, sf_dir), lexicon_words(spark, sf_dir))
+    found = suggest.same_script_suggestions(error_words(spark, sf_dir), lexicon_words(spark, sf_dir))
     return found.select("query", "rank", "suggestion", "distance", F.round("score", 6).alias("score"))
 
 
 def best_suggestion(spark, sf_dir):
-    found = suggest.same_script_suggestions(unknown_words(spark, sf_dir), lexicon_words(spark, sf_dir), 1)
+    found = suggest.same_script_suggestions(error_words(spark, sf_dir), lexicon_words(spark, sf_dir), 1)
     return found.select("query", "suggestion", "distance", suggest.live_threshold(F.col("distance"), F.col("score")).alias("certain"))
 
 
@@ -199,22 +206,30 @@ def lm_learn(spark, sf_dir):
     return uni.unionByName(learned["bigrams"].select(F.lit("bigram").alias("kind"), F.col("left").alias("word"), F.col("right").alias("other"), "cnt")).unionByName(learned["corrections"].select(F.lit("correction").alias("kind"), F.col("source").alias("word"), F.col("target").alias("other"), "cnt"))
 
 
+PLACE = ("query", "prev", "next")
+
+
 def ranked(spark, sf_dir) -> DataFrame:
-    counts = lm_unigrams(spark, sf_dir)
-    found = fuzzy_candidates(spark, sf_dir).join(counts, "word", "left")
-    q, w = F.col("query"), F.col("word")
-    prior = LM.unigram_prior(F.lit(None).cast("double"), F.col("cnt"))
-    zero = F.lit(0.0)
-    scored = found.withColumn("prior", prior).withColumn("rank_score", suggest.rank_score(q, w, F.col("distance"), T.max_distance(q), F.col("prior"), zero, zero))
-    return suggest.rank(scored.withColumn("reason", suggest.reason(F.col("distance"), F.col("prior"), zero, suggest.apostrophe_signal(q, w), zero)))
+    """Candidates of each misspelled word between its neighbours, ranked with the documents' counts of words and pairs.
+
+    The history is what the benchmark's unknown words were corrected to: their best suggestions. Priors are by rank.
+    """
+    lex, unigrams = lexicon_words(spark, sf_dir), lm_unigrams(spark, sf_dir)
+    tokens = K.tokenize(docs_of(spark, sf_dir), gaps=True, ahead=1)
+    at = tokens.select(F.col("normalized").alias("query"), F.coalesce(T.normalize_token(F.col("previous")), F.lit("")).alias("prev"), F.coalesce(T.normalize_token(F.get("following", 1)), F.lit("")).alias("next"))
+    errors = error_words(spark, sf_dir)
+    asks = at.join(errors, "query", "left_semi").distinct()
+    accepted = suggest.same_script_suggestions(unknown_words(spark, sf_dir), lex, 1).select(F.col("query").alias("source"), F.col("word").alias("target"), F.lit(1).alias("cnt"))
+    counts = {"unigrams": unigrams, "bigrams": lm_bigrams(spark, sf_dir), "corrections": accepted}
+    return suggest.rank(suggest.with_model(asks, suggest.candidates(errors, lex), counts, LM.fallback_priors(unigrams)), by=PLACE)
 
 
 def rank_candidates(spark, sf_dir):
-    return ranked(spark, sf_dir).select("query", "word", "rank", "distance", F.round("rank_score", 6).alias("rank_score"), "reason")
+    return ranked(spark, sf_dir).select(*PLACE, "word", "rank", "distance", F.round("rank_score", 6).alias("rank_score"), "reason")
 
 
 def autocorrect_decision(spark, sf_dir):
-    return suggest.decide(ranked(spark, sf_dir), "balanced").select("query", "should_replace", "replacement", F.round("score", 6).alias("score"), "reason")
+    return suggest.decide(ranked(spark, sf_dir), "balanced", by=PLACE).select(*PLACE, "should_replace", "replacement", F.round("score", 6).alias("score"), "reason")
 
 
 def entries_of(spark, sf_dir) -> DataFrame:

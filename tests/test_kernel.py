@@ -92,14 +92,77 @@ def test_gate_is_lossy_and_can_be_lossless(spark):
     assert {(r.word, r.distance) for r in suggest.candidates(queries, words, "lossless").collect()} == {("kutib", 2), ("kiotb", 1)}
 
 
-def test_suggestions_are_brute_force(spark):
-    """The lossless gate finds all that a comparison of all pairs finds."""
+BOUND = lambda q: 1 if len(q) <= 4 else 2 if len(q) <= 8 else 3
+
+
+def frames(spark, queries, words):
+    return spark.createDataFrame([(q,) for q in queries], "query string"), spark.createDataFrame([(w,) for w in words], "word string")
+
+
+@pytest.mark.parametrize("letters", ["abcde", "ab", "китобларўғ'"])
+def test_suggestions_are_brute_force(spark, letters):
+    """Segments lose none of what a comparison of all pairs finds, and the usual gate leaves out what shares few bigrams."""
     r = random.Random(3)
-    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(2, 10)))
-    lex, ask = sorted({word() for _ in range(150)}), sorted({word() for _ in range(40)})
-    got = {(x.query, x.word, x.distance) for x in suggest.candidates(spark.createDataFrame([(q,) for q in ask], "query string"), spark.createDataFrame([(w,) for w in lex], "word string"), "lossless").collect()}
-    bound = lambda q: 1 if len(q) <= 4 else 2 if len(q) <= 8 else 3
-    assert got == {(q, w, osa(q, w)) for q in ask for w in lex if 0 < osa(q, w) <= bound(q)}
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(1, 12)))
+
+    def mistyped(w):
+        w = list(w)
+        for _ in range(r.randint(0, 3)):
+            i = r.randrange(len(w) + 1)
+            kind = r.randrange(4)
+            if kind == 0:
+                w.insert(i, r.choice(letters))
+            elif kind == 1 and i < len(w) > 1:
+                del w[i]
+            elif kind == 2 and i < len(w):
+                w[i] = r.choice(letters)
+            elif i + 1 < len(w):
+                w[i], w[i + 1] = w[i + 1], w[i]
+        return "".join(w)
+
+    lex = sorted({word() for _ in range(250)})
+    ask = sorted({word() for _ in range(40)} | {mistyped(w) for w in lex[::2]})
+    near = {(q, w, osa(q, w)) for q in ask for w in lex if 0 < osa(q, w) <= BOUND(q)}
+    rows = lambda gate: {(x.query, x.word, x.distance) for x in suggest.candidates(*frames(spark, ask, lex), gate).collect()}
+    variants = {(q, v, 1) for q in ask for v in phonetic(q) if v in lex}
+    assert rows("lossless") == {x for x in near if (x[0], x[1], 1) not in variants} | variants
+    grams = lambda w: [w[i : i + 2] for i in range(len(w) - 1)]
+    shares = lambda q, w: sum(grams(w).count(g) for g in grams(q))
+    gated = {x for x in near if len(x[0]) - 1 - BOUND(x[0]) < 1 or shares(x[0], x[1]) >= len(x[0]) - 1 - BOUND(x[0])}
+    assert rows("reference") == {x for x in gated if (x[0], x[1], 1) not in variants} | variants
+
+
+def phonetic(word):
+    return {word[:i] + T.CONFUSABLE[c] + word[i + 1 :] for i, c in enumerate(word) if c in T.CONFUSABLE}
+
+
+def test_swaps_across_segments(spark):
+    """Each swap of neighbours is found, alone and with another edit, wherever segments end."""
+    lex = ["abcdefghijkl", "abcdefg", "abcd", "ab"]
+    ask = {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for w in lex for i in range(len(w) - 1)}
+    ask |= {q[:i] + "z" + q[i + 1 :] for q in ask if len(q) > 4 for i in range(len(q))}
+    got = {(x.query, x.word) for x in suggest.candidates(*frames(spark, sorted(ask), lex), "lossless").collect()}
+    assert got >= {(q, w) for q in ask for w in lex if 0 < osa(q, w) <= BOUND(q)}
+
+
+def test_ranking_with_a_model(spark):
+    """Context, history and priors decide between candidates that are equally near."""
+    asks = spark.createDataFrame([("katta", "juda", "uy"), ("katta", "", "")], "query string, prev string, next string")
+    near = spark.createDataFrame([("katta", "kattu", 1), ("katta", "katti", 1)], "query string, word string, distance int")
+    counts = {
+        "unigrams": spark.createDataFrame([("juda", 10), ("kattu", 1), ("katti", 5)], "word string, cnt long"),
+        "bigrams": spark.createDataFrame([("juda", "kattu", 30)], "left string, right string, cnt long"),
+        "corrections": spark.createDataFrame([("katta", "katti", 3)], "source string, target string, cnt long"),
+    }
+    got = {(r.prev, r.word): r for r in suggest.with_model(asks, near, counts).collect()}
+    pair, single = min(1.0, 31 / 58 * 6), min(1.0, 1 / 49 * 6)
+    assert got["juda", "kattu"].context == pytest.approx((pair + single) / 2) and got["", "kattu"].context == 0
+    assert got["", "katti"].history == pytest.approx(0.06) and got["", "katti"].prior == pytest.approx(0.65 * 0.30 + 0.35 * 5 / 13)
+    assert got["juda", "kattu"].reason == "CONTEXT_BIGRAM" and got["juda", "katti"].reason == "USER_ACCEPTED_HISTORY"
+    q, w, d, one = F.col("query"), F.col("word"), F.col("distance"), suggest.with_model(asks, near, counts)
+    whole = suggest.rank_score(q, w, d, T.max_distance(q), F.col("prior"), F.col("context"), F.col("history"))
+    assert one.where(F.abs(whole - F.col("rank_score")) > 1e-9).count() == 0
+    assert one.count() == 4 and suggest.rank(one, 1, ("query", "prev")).count() == 2
 
 
 def test_transliteration(spark):
