@@ -53,23 +53,23 @@ SUFFIXES = [
     ("V_AYLIK", "айлик", "aylik", "verb_imperative", "verb", 5),
 ]
 
-# Id, category, priority, enabled, severity, description.
+# Id, category, priority, enabled, severity.
 RULES = [
-    ("DAT_ALLOMORPH", "morphological", 1, True, "Grammar", "Wrong dative case allomorph (-ga/-ka/-qa)"),
-    ("LOC_VOICING", "morphological", 2, True, "Grammar", "Locative voiced/voiceless mismatch (-da/-ta)"),
-    ("ABL_VOICING", "morphological", 2, True, "Grammar", "Ablative voiced/voiceless mismatch (-dan/-tan)"),
-    ("DOUBLE_PLURAL", "morphological", 3, True, "Grammar", "Double plural suffix"),
-    ("POSS_MUTATION", "morphological", 4, True, "Grammar", "Missing consonant mutation before possessive suffix"),
-    ("VERB_AGREEMENT", "agreement", 5, True, "Grammar", "Verb-subject agreement mismatch"),
-    ("COPULA_SPACING", "agreement", 6, True, "Grammar", "Copula negation with wrong spacing"),
-    ("SENT_CAPITALIZATION", "punctuation", 7, True, "Punctuation", "Missing capitalization at sentence start"),
-    ("COMMA_SPACE", "punctuation", 8, True, "Punctuation", "Missing/wrong spacing around comma"),
-    ("PERIOD_SPACE", "punctuation", 9, True, "Punctuation", "Missing space or capital after period"),
-    ("DOUBLE_SPACE", "punctuation", 10, True, "Style", "Multiple consecutive spaces"),
-    ("REPEATED_WORD", "style", 11, True, "Style", "Consecutive repeated word"),
-    ("PROPER_NOUN_CAPS", "punctuation", 12, True, "Grammar", "Proper noun not capitalized"),
-    ("BRACKET_MATCH", "punctuation", 14, True, "Punctuation", "Unmatched bracket/parenthesis"),
-    ("NEG_DOUBLE", "agreement", 13, False, "Style", "Double negation"),
+    ("DAT_ALLOMORPH", "morphological", 1, True, "Grammar"),
+    ("LOC_VOICING", "morphological", 2, True, "Grammar"),
+    ("ABL_VOICING", "morphological", 2, True, "Grammar"),
+    ("DOUBLE_PLURAL", "morphological", 3, True, "Grammar"),
+    ("POSS_MUTATION", "morphological", 4, True, "Grammar"),
+    ("VERB_AGREEMENT", "agreement", 5, True, "Grammar"),
+    ("COPULA_SPACING", "agreement", 6, True, "Grammar"),
+    ("SENT_CAPITALIZATION", "punctuation", 7, True, "Punctuation"),
+    ("COMMA_SPACE", "punctuation", 8, True, "Punctuation"),
+    ("PERIOD_SPACE", "punctuation", 9, True, "Punctuation"),
+    ("DOUBLE_SPACE", "punctuation", 10, True, "Style"),
+    ("REPEATED_WORD", "style", 11, True, "Style"),
+    ("PROPER_NOUN_CAPS", "punctuation", 12, True, "Grammar"),
+    ("BRACKET_MATCH", "punctuation", 14, True, "Punctuation"),
+    ("NEG_DOUBLE", "agreement", 13, False, "Style"),
 ]
 
 # Proper nouns, in both scripts.

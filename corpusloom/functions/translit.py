@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as T
+from . import tries
 
 # Pairs of letters, letters with an apostrophe, and single letters, Latin to Cyrillic. Order matters.
 DIGRAPHS = [
@@ -23,7 +25,6 @@ CYRILLIC_LETTERS = "АБДЕФГҲИЖКЛМНОПҚРСТУВХЙЗабдефг
 TO_LATIN_LONG = {"ш": "sh", "ч": "ch", "ё": "yo", "я": "ya", "ю": "yu", "ў": "oʻ", "ғ": "gʻ", "щ": "sh"}
 TO_LATIN_SINGLE = ("ҳқъыабвгджзийклмнопрстуфхэ", "hqʻiabvgdjziyklmnoprstufxe")
 CYRILLIC_VOWELS = "аеёиоуўэюя"
-MONTHS = {"сентябр": "sentabr", "сентябрь": "sentabr", "октябр": "oktabr", "октябрь": "oktabr"}
 #: What looks like an apostrophe between Latin letters.
 APOSTROPHE_LIKE = "'‘’ʻʼ`´ʹ＇"
 
@@ -36,20 +37,29 @@ def _literal(replacement: str) -> str:
     return re.sub(r"([\\$])", r"\\\1", replacement)
 
 
-def apply_exceptions(text: Column, exceptions: list[dict], to_cyrillic: bool) -> Column:
-    """Replaces whole words in order of the list, whatever their case; a replacement takes the found word's case.
+def directed(exceptions: list[dict], to_cyrillic: bool) -> list[tuple[str, str]]:
+    """What is found and what is put in, of the exceptions that are enabled and have both."""
+    pairs = ((e["original"], e["replacement"]) if to_cyrillic else (e["replacement"], e["original"]) for e in exceptions if e.get("enabled", True))
+    return [(find, new) for find, new in pairs if find and new]
+
 
-    An exception has ``original`` (Latin), ``replacement`` (Cyrillic) and ``enabled``. Later ones see what earlier ones
-    made. Each is three replacements that exclude each other: all upper case, first letter upper, and else. Texts
-    that hold none of the words are passed over by one look.
+def independent(pairs: list[tuple[str, str]]) -> list[bool]:
+    """Which pairs can't touch what others find or make, so that their order doesn't matter.
+
+    Both sides begin and end with a letter or digit, and no run of these that the pair finds stands in another pair's found word or in
+    any replacement, nor one that it makes in any found word. Two matches that overlap would share a run.
     """
-    made, words = text, []
-    for e in exceptions:
-        find, new = (e["original"], e["replacement"]) if to_cyrillic else (e["replacement"], e["original"])
-        if not e.get("enabled", True) or not find or not new:
-            continue
+    runs = [(set(tries.word_runs(find)), set(tries.word_runs(new))) for find, new in pairs]
+    found, made = Counter(r for a, _ in runs for r in a), Counter(r for _, b in runs for r in b)
+    whole = lambda w: bool(re.match(r"\w", w) and re.search(r"\w$", w))
+    return [whole(find) and whole(new) and all(found[r] == 1 and not made[r] for r in a) and not any(found[r] for r in b) for (find, new), (a, b) in zip(pairs, runs, strict=True)]
+
+
+def _one_by_one(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Each is three replacements that exclude each other: all upper case, first letter upper, and else. Later ones see what earlier ones made."""
+    made = text
+    for find, new in pairs:
         word = f"(?iu:{_escaped(find)})"
-        words.append(_escaped(find))
         title = new[:1].upper() + new[1:].lower()
         for pattern, replacement in (
             (rf"(?U)\b{_escaped(find.upper())}\b", new.upper()),
@@ -57,7 +67,37 @@ def apply_exceptions(text: Column, exceptions: list[dict], to_cyrillic: bool) ->
             (rf"(?U)\b(?=\P{{Lu}}){word}\b", new.lower()),
         ):
             made = F.regexp_replace(made, pattern, _literal(replacement))
-    return F.when(text.rlike(f"(?iu){'|'.join(words)}"), made).otherwise(text) if words else text
+    return F.when(text.rlike(f"(?iu){'|'.join(_escaped(find) for find, _ in pairs)}"), made).otherwise(text)
+
+
+def _all_at_once(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """One pass for any number of pairs: a text is split at the matches of a trie, and each match is looked up."""
+    key = lambda w: F.lower(F.upper(w))  # noqa: E731  as matching without case has it
+    table = tries.Table({find.upper().lower(): (find.upper(), new.upper(), new[:1].upper() + new[1:].lower(), new.lower()) for find, new in pairs}, "find string, upper string, title string, lower string")
+    pattern = rf"(?iuU)\b{tries.pattern(sorted({find.lower() for find, _ in pairs}))}\b"
+
+    def put(m: Column) -> Column:
+        cased = lambda e: F.when(m == e["find"], e["upper"]).when(~m.rlike(r"^\p{Lu}"), e["lower"]).when(m.rlike(r"\p{Ll}"), e["title"])
+        return F.coalesce(T.let(table.get(key(m)), cased), m)
+
+    def joined(matches: Column) -> Column:
+        new = F.concat(F.transform(matches, put), F.array(F.lit("")))
+        return F.array_join(F.flatten(F.zip_with(F.split(text, pattern, -1), new, lambda b, x: F.array(b, x))), "")
+
+    return F.when(text.rlike(pattern), T.let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), joined)).otherwise(text)
+
+
+def apply_exceptions(text: Column, exceptions: list[dict], to_cyrillic: bool) -> Column:
+    """Replaces whole words in order of the list, whatever their case; a replacement takes the found word's case.
+
+    An exception has ``original`` (Latin), ``replacement`` (Cyrillic) and ``enabled``. Those whose order can't matter are put in by
+    one pass, however many they are; the others one after the other, in order. Texts that hold none are passed over by one look.
+    """
+    pairs = directed(exceptions, to_cyrillic)
+    free = independent(pairs)
+    rest = [p for p, x in zip(pairs, free, strict=True) if not x]
+    made = _all_at_once(text, [p for p, x in zip(pairs, free, strict=True) if x]) if any(free) else text
+    return T.let(made, lambda t: _one_by_one(t, rest)) if rest else made
 
 
 def to_cyrillic(text: Column, exceptions: list[dict] = ()) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import data
 from ..functions import morph as M
 from ..functions import text as T
-from ..functions import translit
+from ..functions import translit, tries
 from . import tokens as K
 
 COLUMNS = ["doc_id", "rule_id", "word", "start_index", "end_index", "paragraph_index", "suggestion", "distance"]
@@ -150,25 +150,44 @@ def proper_nouns(nouns: list[str] | None = None) -> tuple[list[str], list[tuple[
 
 
 def proper_noun_errors(nouns: list[str] | None = None) -> Column:
-    """Proper nouns in lower case: single words by a look-up, phrases by the next words; one error a span."""
-    single, phrases = proper_nouns(nouns)
+    """Single proper nouns in lower case, by a look-up."""
+    single, _ = proper_nouns(nouns)
     o = F.col("original")
     low = (F.char_length(o) >= 2) & ~o.rlike(r"^\p{Lu}") & F.lower(o).isin(sorted({n.lower() for n in single}))
-    alone = if_so(low, token_error("PROPER_NOUN_CAPS", capitalized(o)))
-    found = []
-    for display, parts in phrases:
-        rest = [_ahead(j) for j in range(1, len(parts))]
-        same = reduce(lambda a, b: a & b, (T.normalize_token(w) == p for (_, w, _), p in zip(rest, parts[1:], strict=True)), F.col("normalized") == parts[0])
-        close = reduce(lambda a, b: a & b, (g.rlike(r"^\s*$") for g, _, _ in rest))
-        lower = reduce(lambda a, b: a | b, (w.rlike(r"^\p{Ll}") for w in [o, *(w for _, w, _ in rest)]))
-        text = F.array_join(F.array(o, *(w for _, w, _ in rest)), " ")
-        found.append(F.when(same & close & lower, token_error("PROPER_NOUN_CAPS", F.lit(display), text, rest[-1][2])))
-    if not found:
-        return alone
-    firsts = sorted({p[0] for _, p in phrases})
-    hits = F.when(F.col("normalized").isin(firsts), F.filter(F.array(*found), lambda x: x.isNotNull())).otherwise(F.array().cast(ERRORS))
-    once = T.let(hits, lambda h: F.filter(h, lambda x, i: ~F.exists(F.slice(h, F.lit(1), i), lambda y: y["end_index"] == x["end_index"])))
-    return F.concat(alone, once)
+    return if_so(low, token_error("PROPER_NOUN_CAPS", capitalized(o)))
+
+
+def proper_phrase_errors(paragraph: str = K.PARAGRAPH, nouns: list[str] | None = None) -> Column:
+    """Proper nouns of several words, any of them in lower case, from the text alone: a trie of words is walked from those that begin a name.
+
+    Names may be as long and as many as they like; two that end at one place are one error.
+    """
+    phrases = tries.Phrases(proper_nouns(nouns)[1])
+    none = F.array().cast(ERRORS)
+    if not phrases.longest:
+        return none
+    text = F.col("text")
+    written = lambda c: f"[{T.APOSTROPHES}']" if c == "'" else tries._escaped(c)
+    begins = rf"(?iu)(?<![{T.WORD_CLASS}]){tries.pattern(phrases.firsts, written)}(?![{T.WORD_CLASS}])"
+
+    def found(s: Column) -> Column:
+        first = F.when(F.get(s, 0).rlike("^" + T.TOKEN), 0).otherwise(1)
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i % 2 == first) & T.normalize_token(x).isin(phrases.firsts), i)), lambda i: i.isNotNull())
+
+        def errors(at: Column) -> Column:
+            place = lambda k: K.lower_half(F.get(at, k))
+
+            def one(i: Column, e: Column) -> Column:
+                words = F.transform(F.sequence(i, e["last"], F.lit(2)), lambda k: F.get(s, k))
+                end = place(e["last"]) + F.char_length(F.get(s, e["last"]))
+                wrong = error("PROPER_NOUN_CAPS", F.array_join(words, " "), place(i), end, K.upper_half(F.get(at, i)) + 1, e["display"])
+                return F.when(F.exists(words, lambda w: w.rlike(r"^\p{Ll}")), wrong)
+
+            return F.array_compact(F.flatten(F.transform(starts, lambda i: F.transform(phrases.ends(s, i), lambda e: one(i, e)))))
+
+        return T.let(T.running_starts(F.transform(s, lambda x: K.measure(x, paragraph)), "long"), errors)
+
+    return F.when(text.rlike(begins), T.let(F.regexp_extract_all(text, F.lit(T.SEGMENT), F.lit(0)), found)).otherwise(none)
 
 
 def sentence_caps(tokens: DataFrame) -> DataFrame:
@@ -183,8 +202,10 @@ def copula_spacing(tokens: DataFrame) -> DataFrame:
     return rows_of(tokens, copula_spacing_errors())
 
 
-def proper_noun_caps(tokens: DataFrame, nouns: list[str] | None = None) -> DataFrame:
-    return rows_of(tokens, proper_noun_errors(nouns))
+def proper_noun_caps(docs: DataFrame, nouns: list[str] | None = None, paragraph: str = K.PARAGRAPH) -> DataFrame:
+    """Of texts: single names, and names of several words."""
+    single = rows_of(K.tokenize(docs, paragraph=paragraph), proper_noun_errors(nouns))
+    return single.unionByName(rows_of(docs, proper_phrase_errors(paragraph, nouns)))
 
 
 # Rules on analysed tokens: tokens joined with ``morph.analyze`` of their distinct words
@@ -250,7 +271,7 @@ def rules_table(spark: SparkSession, rules: list[tuple] | None = None) -> DataFr
     """Rules in order of priority; of rules that share an id the first holds."""
     first: dict[str, tuple] = {}
     for r in sorted(rules or data.RULES, key=lambda r: r[2]):
-        first.setdefault(r[0], r[:5])
+        first.setdefault(r[0], r)
     return spark.createDataFrame(list(first.values()), "rule_id string, category string, priority int, enabled boolean, severity string")
 
 
@@ -261,7 +282,7 @@ def enabled_rules(rules: list[tuple] | None = None, disabled: tuple[str, ...] =
     return {rule for rule, on in first.items() if on and rule not in disabled}
 
 
-TEXT_RULES = {"DOUBLE_SPACE": double_space_errors, "COMMA_SPACE": comma_space_errors, "PERIOD_SPACE": period_space_errors, "BRACKET_MATCH": bracket_errors}
+TEXT_RULES = [("DOUBLE_SPACE", double_space_errors), ("COMMA_SPACE", comma_space_errors), ("PERIOD_SPACE", period_space_errors), ("BRACKET_MATCH", bracket_errors), ("PROPER_NOUN_CAPS", proper_phrase_errors)]
 TOKEN_RULES = {"SENT_CAPITALIZATION": sentence_caps_errors, "REPEATED_WORD": repeated_word_errors, "COPULA_SPACING": copula_spacing_errors, "PROPER_NOUN_CAPS": proper_noun_errors}
 WORD_RULES = {"DAT_ALLOMORPH": dative_errors, "LOC_VOICING": locative_errors, "ABL_VOICING": ablative_errors, "DOUBLE_PLURAL": double_plural_errors, "POSS_MUTATION": possessive_errors}
 
@@ -274,7 +295,7 @@ def check(docs: DataFrame, lexicon: DataFrame, disabled: tuple[str, ...] = (), p
     on = enabled_rules(disabled=disabled)
     tokens = K.tokenize(docs, paragraph=paragraph, gaps=True)
     parts = []
-    if chosen := [f(paragraph) for rule, f in TEXT_RULES.items() if rule in on]:
+    if chosen := [f(paragraph) for rule, f in TEXT_RULES if rule in on]:
         parts.append(rows_of(docs, *chosen))
     if chosen := [f() for rule, f in TOKEN_RULES.items() if rule in on]:
         parts.append(rows_of(tokens, *chosen))

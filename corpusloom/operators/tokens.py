@@ -24,7 +24,7 @@ def upper_half(x: Column) -> Column:
     return F.shiftright(x, 32).cast("int")
 
 
-def tokenize(docs: DataFrame, key: str = "doc_id", paragraph: str = PARAGRAPH, gaps: bool = False, ahead: int = 3) -> DataFrame:
+def tokenize(docs: DataFrame, key: str = "doc_id", paragraph: str = PARAGRAPH, gaps: bool = False, ahead: int = 1) -> DataFrame:
     """``(key, pos, original, normalized, start_index, end_index, paragraph_index)``, and if asked what stands around a token.
 
     Places are code points, the end exclusive; ``pos`` counts from 0, ``paragraph_index`` from 1. With ``gaps``: ``gap_before``

@@ -1,6 +1,7 @@
 """Golden rows and properties of the expressions, readers, writers and rewrites."""
 
 import functools
+import itertools
 import json
 import random
 
@@ -382,3 +383,29 @@ def test_near_lengths_join_with_bigrams(spark):
     plain = {tuple(x) for x in suggest.shared_bigrams(ask, words).collect()}
     near = {tuple(x) for x in suggest.shared_bigrams(ask, words, F.lit(1)).collect()}
     assert near == {x for x in plain if abs(len(x[0]) - len(x[1])) <= 1} and near < plain
+
+def test_phrases_of_any_length(spark):
+    nouns = ["Buyuk Ipak Yo'li Xalqaro Markazi", "Buyuk Ipak", "Amir Temur", "Toshkent"] + [f"Nom{a} Ikkinchi{b} So'z" for a in "abcdefgh" for b in map("".join, itertools.product("abcdefgh", repeat=3))]
+    texts = ["bu buyuk  ipak yoʻli\nxalqaro Markazi va amir, temur Amir temur.", "Buyuk Ipak Yo'li Xalqaro Markazi toshkent", "noma ikkinchibca so’z nomx ikkinchibca so'z buyuk buyuk ipak", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.start_index, r.end_index, r.paragraph_index, r.suggestion) for r in grammar.proper_noun_caps(docs, nouns).collect())
+    one = texts[0]
+    assert got == [
+        (0, 3, 14, 1, "Buyuk Ipak"), (0, 3, one.index(" va"), 1, nouns[0]), (0, one.index("Amir temur"), one.index("Amir temur") + 10, 2, "Amir Temur"),
+        (1, 33, 41, 1, "Toshkent"), (2, 0, 21, 1, "Noma Ikkinchibca So'z"), (2, texts[2].index("buyuk ipak"), len(texts[2]), 1, "Buyuk Ipak"),
+    ]
+
+
+def test_exceptions_at_once_and_in_order(spark):
+    """Exceptions that can't touch each other are put in by one pass, with the result of one after the other; chains keep their order."""
+    chained = [{"original": "ab", "replacement": "cd"}, {"original": "cd", "replacement": "ef"}, {"original": "x-ray", "replacement": "рентген"}, {"original": "ray", "replacement": "нур"}]
+    plain = [{"original": f"word{i}", "replacement": f"сўз{i}"} for i in range(300)] + [{"original": "kino teatr", "replacement": "кинотеатр"}, {"original": "off", "replacement": "x", "enabled": False}]
+    both = translit.directed(chained + plain, True)
+    assert translit.independent(both) == [False] * 4 + [True] * 301
+    words = ["word1 Word2 WORD3 wORD4 word1x", "ab AB Ab cd", "X-ray ray Ray", "Kino teatr KINO TEATR kino  teatr", "no off", "", "word299,word29;word2"]
+    got = values(spark, words, lambda w: translit.apply_exceptions(w, chained + plain, True))
+    assert got == ["сўз1 Сўз2 СЎЗ3 сўз4 word1x", "ef EF Ef ef", "Рентген нур Нур", "Кинотеатр КИНОТЕАТР kino  teatr", "no off", "", "сўз299,сўз29;сўз2"]
+    texts = ["Sentabr OKTABR oktabr, sentabr", "aksiya Aksiya AKSIYA"]
+    pairs = translit.directed(data.EXCEPTIONS, True)
+    texts += [" ".join((f, f.upper(), f.capitalize(), f + "x")) for f, _ in pairs]
+    assert values(spark, texts, lambda w: translit.apply_exceptions(w, data.EXCEPTIONS, True)) == values(spark, texts, lambda w: translit._one_by_one(w, pairs))
