@@ -10,14 +10,19 @@ from ..functions import translit
 from . import tokens as K
 
 
-def lexicon_of(docs: DataFrame, min_docs: int = 2, key: str = "doc_id") -> DataFrame:
-    """``(word)``: words of at least two letters found in ``min_docs`` documents.
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """``(word, df)``: in how many documents each word of at least two letters stands.
 
     Words are made distinct per document by arrays before the shuffle, so that a document counts once.
     """
     found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(T.TOKEN), F.lit(0)), T.normalize_token))
     each = docs.select(F.explode(found).alias("word")).where(F.char_length("word") > 1)
-    return each.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_docs)
+    return each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+
+
+def lexicon_of(docs: DataFrame, min_docs: int = 2, key: str = "doc_id") -> DataFrame:
+    """``(word, df)``: words of at least two letters found in ``min_docs`` documents."""
+    return document_frequencies(docs).where(F.col("df") >= min_docs)
 
 
 def expand_scripts(lexicon: DataFrame, word: str = "word") -> DataFrame:
@@ -55,6 +60,21 @@ def errors(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", paragraph:
     return found.select(key, F.col("normalized").alias("word"), F.col("original").alias("original_text"), "start_index", "end_index", "paragraph_index")
 
 
+def own_errors(docs: DataFrame, min_docs: int = 2, key: str = "doc_id", paragraph: str = K.PARAGRAPH) -> DataFrame:
+    """``errors`` against the documents' own lexicon, from one count of their words: rare ones are unknown, but for their form in the other script.
+
+    The count is read twice and made once, as Spark sees that both plans begin alike.
+    """
+    counts = document_frequencies(docs)
+    # a condition that needs the count stays above it, so that both uses of it stay the same
+    rare = counts.where(F.when(F.col("df") < min_docs, ~T.skip_word(F.col("word"))).otherwise(False))
+    lexicon = counts.where(F.col("df") >= min_docs).select(F.col("word").alias("_known"))
+    unknown = rare.withColumn("_other", translit.other_script(F.col("word"))).join(lexicon, F.col("_other") == F.col("_known"), "left_anti").select("word")
+    tokens = checked(K.tokenize(docs, key, paragraph))
+    found = tokens.join(unknown, F.col("normalized") == F.col("word"), "left_semi")
+    return found.select(key, F.col("normalized").alias("word"), F.col("original").alias("original_text"), "start_index", "end_index", "paragraph_index")
+
+
 def with_context(errors: DataFrame, docs: DataFrame, key: str = "doc_id", radius: int = 30, paragraph: str = K.PARAGRAPH) -> DataFrame:
     """Errors with a snippet of what stands around them in their paragraph."""
     both = K.with_text(errors, docs, key)

@@ -57,7 +57,7 @@ def skip_words(spark, sf_dir):
 
 def spell_check(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    return spelling.errors(docs, spelling.lexicon_of(docs))
+    return spelling.own_errors(docs)
 
 
 def severe(errors: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def spell_stats(spark, sf_dir):
 def top_errors(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
     # words of three documents or fewer are errors here, so that there are counts to order
-    return spelling.top_words(spelling.errors(docs, spelling.lexicon_of(docs, 4)))
+    return spelling.top_words(spelling.own_errors(docs, 4))
 
 
 def error_context(spark, sf_dir):

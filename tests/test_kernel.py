@@ -4,6 +4,7 @@ import functools
 import itertools
 import json
 import random
+import time
 
 import pytest
 from corpusloom import data
@@ -232,6 +233,40 @@ def test_replace_all(spark):
     assert values(spark, ["a  b \n c", "a\tb"], translit.cleanup_spaces) == ["a b\nc", "a\tb"]
 
 
+def test_replace_all_is_brute_force(spark):
+    """Overlaps, missing texts, odd places, characters beyond the basic plane; and many fixes in one long text."""
+    r = random.Random(2)
+    docs, fixes, want = [], [], {}
+    for d in range(30):
+        text = "".join(r.choice("ab \n😀é") for _ in range(r.choice([0, 5, 600])))
+        own = []
+        for _ in range(r.randint(0, 40)):
+            a = r.randint(-1, len(text) + 1)
+            b = a + r.randint(0, 5)
+            own.append((a, b, text[max(0, a) : b] if r.random() < 0.8 else "zz", r.choice(["X", "yy", "😀"])))
+        out, at, done = text, len(text) + 9, 0
+        for a, b, old, new in sorted(own, reverse=True):
+            if 0 <= a and b <= len(text) and text[a:b] == old and b <= at:
+                out, at, done = out[:a] + new + out[b:], a, done + 1
+        want[d] = (out, done, len(own) - done)
+        docs.append((d, text))
+        fixes += [(d, *f) for f in own]
+    long = "word " * 20000
+    docs.append((99, long))
+    fixes += [(99, 5 * i, 5 * i + 4, "word", "w") for i in range(20000)]
+    want[99] = ("w " * 20000, 20000, 0)
+    frame = spark.createDataFrame(fixes, "doc_id long, start_index int, end_index int, original_text string, replacement string")
+    began = time.time()
+    got = {x.doc_id: (x.text, x.replaced, x.skipped) for x in rewrite.replace_all(spark.createDataFrame(docs, "doc_id long, text string"), frame).collect()}
+    assert got == want and time.time() - began < 30
+
+
+def test_own_errors_are_errors(spark):
+    docs = spark.createDataFrame([(1, "kitob uy қалам китоб"), (2, "uy Kitob kitb"), (3, "qalam UY x")], "doc_id long, text string")
+    for n in (1, 2, 3):
+        assert sorted(map(tuple, spelling.own_errors(docs, n).collect())) == sorted(map(tuple, spelling.errors(docs, spelling.lexicon_of(docs, n)).collect()))
+
+
 def test_records_and_headers():
     assert readers.records('Word;Definition\nkitob;"Bilim, manbai;\nIkkinchi satr"\n\n', ";") == [["Word", "Definition"], ["kitob", "Bilim, manbai;\nIkkinchi satr"]]
     assert [readers.find_delimiter(x) for x in ("a;b", "\n\na\tb;c", 'a,"b;c;d"', "word", "a;b,c")] == [";", "\t", ",", ",", ";"]
