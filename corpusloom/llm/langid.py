@@ -35,8 +35,8 @@ RIDGE, BATCH, PIECE = 1e-3, 64, 1 << 20
 UNPACKED = 1 << 22
 #: Two scores' difference counts so much in the softmax that gives the reported score.
 SHARPNESS = 6.0
-#: Documents below this score are rejected by ``identified``; four equal odds would be 0.25.
-UNDETERMINED, MIN_SCORE = "und", 0.4
+#: Documents whose winner leads by less than this part of the median lead of the learned ones are rejected by ``identified``, however many languages there are.
+UNDETERMINED, MIN_LEAD = "und", 0.1
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -68,6 +68,7 @@ class Model:
     marks: np.ndarray  # which landmarks hold each: packed bits, (vocabulary, landmark / 8)
     sizes: np.ndarray  # of the landmarks, in n-grams
     weights: np.ndarray | None = None  # (landmark + 1, language): whitening and ridge regression in one
+    lead: float = 1.0  # the median lead of the texts that it was fitted to
 
     def __post_init__(self):
         self._held: list[np.ndarray] = []
@@ -100,8 +101,17 @@ class Model:
     def raw(self, kernels: np.ndarray) -> np.ndarray:
         return np.hstack([kernels, np.ones((len(kernels), 1), np.float32)]) @ self.weights
 
+    @staticmethod
+    def leads(raw: np.ndarray) -> np.ndarray:
+        """By how much the winner's score exceeds the next one's, or where there is no other, that of a text of no language."""
+        best = np.sort(raw, axis=1)
+        return best[:, -1] - (best[:, -2] if raw.shape[1] > 1 else -1.0)
+
     def scores(self, sets: list[np.ndarray]) -> np.ndarray:
-        raw = self.raw(self.kernels(sets))
+        return self.odds(self.raw(self.kernels(sets)))
+
+    @staticmethod
+    def odds(raw: np.ndarray) -> np.ndarray:
         odds = np.exp(SHARPNESS * (raw - raw.max(axis=1, keepdims=True)))
         return odds / odds.sum(axis=1, keepdims=True)
 
@@ -132,6 +142,7 @@ def fitted(model: Model, kernels: np.ndarray, langs: list[str], ridge: float = R
     balance = np.array([1 / langs.count(a) for a in langs])[:, None]
     solved = np.linalg.solve(x.T @ (balance * x) + ridge * np.eye(x.shape[1]), x.T @ (balance * y))
     model.weights = np.vstack([whiten @ solved[:-1], solved[-1:]]).astype(np.float32)
+    model.lead = float(np.median(model.leads(model.raw(kernels))))
     return model
 
 
@@ -181,19 +192,20 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
 
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``docs``' columns ``keep`` with ``lang_pred`` and ``score``, from the text alone."""
+    """``docs``' columns ``keep`` with ``lang_pred``, ``score`` and ``lead`` (in median leads of the learned texts), from the text alone."""
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(texts: list[str | None]) -> dict[str, list]:
-        model, pred, score = kept.value, [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        model, pred, score, lead = kept.value, [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         good = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
         for k in range(0, len(good), BATCH):
             part = good[k : k + BATCH]
-            for i, s in zip(part, model.scores([presence(texts[i]) for i in part]).astype(float), strict=True):
-                pred[i], score[i] = model.langs[s.argmax()], min(1.0, s.max())
-        return {"lang_pred": pred, "score": score}
+            raw = model.raw(model.kernels([presence(texts[i]) for i in part]))
+            for i, s, by in zip(part, model.odds(raw).astype(float), model.leads(raw), strict=True):
+                pred[i], score[i], lead[i] = model.langs[s.argmax()], min(1.0, s.max()), float(by) / max(model.lead, 1e-9)
+        return {"lang_pred": pred, "score": score, "lead": lead}
 
-    return map_texts(docs, make, "lang_pred string, score double", keep)
+    return map_texts(docs, make, "lang_pred string, score double, lead double", keep)
 
 
 def held_out() -> Column:
@@ -217,11 +229,11 @@ def language_id(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def identified(docs: DataFrame, min_score: float = MIN_SCORE, per_lang: int = PER_LANG) -> DataFrame:
-    """The rows of ``docs`` whose language is determined with ``min_score`` at least; their columns are as they were, whatever their names."""
+def identified(docs: DataFrame, min_lead: float = MIN_LEAD, per_lang: int = PER_LANG) -> DataFrame:
+    """The rows of ``docs`` whose language is determined with a lead of ``min_lead`` at least; their columns are as they were, whatever their names."""
     plain = shielded(docs, "text")
     found = predict(plain, train(learnable(docs), per_lang), tuple(plain.columns))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*plain.columns).toDF(*docs.columns)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lead") >= min_lead)).select(*plain.columns).toDF(*docs.columns)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,19 @@ def repeat_words(ids: np.ndarray, window: int = WINDOW) -> int:
     return int((np.cumsum(cover[:-1]) > 0).sum())
 
 
+def seen_before(ids: np.ndarray, window: int = SEEN) -> float:
+    """The share of words that repeat an earlier one of their window, over all windows of so many words: fair to length and order. A shorter text is one window."""
+    n = len(ids)
+    order = np.argsort(ids, kind="stable")
+    last = np.full(n, -1)
+    again = ids[order[1:]] == ids[order[:-1]]
+    last[order[1:][again]] = order[:-1][again]
+    at, width = np.arange(n), min(n, window)
+    # a word counts as new in the windows that hold it and not the one before it
+    new = np.minimum(at, n - width) - np.maximum(np.maximum(last + 1, at - width + 1), 0) + 1
+    return 1 - float(np.maximum(0, new).sum()) / ((n - width + 1) * width)
+
+
 def figures(text: str | None, known: dict[bytes, int]) -> tuple[int, int, int, int, int, list[float]]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the figure that each rule looks at. ``known`` keeps words' marks."""
     text = text or ""
@@ -125,7 +138,7 @@ def figures(text: str | None, known: dict[bytes, int]) -> tuple[int, int, int, i
     pairs = np.unique(ids[:-1] * n + ids[1:], return_counts=True)[1].max(initial=0)
     look = [
         symbols / n, of(0), 1 - letters / chars, of(1), of(2), counts.max() / n, 2 * pairs / n if pairs > 1 else 0.0, dup / len(lines),
-        float((ids[1:] == ids[:-1]).mean()) if n > 1 else 0.0, 1 - len(np.unique(ids[:SEEN])) / min(n, SEEN), upper / max(1, letters), of(3), of(4),
+        float((ids[1:] == ids[:-1]).mean()) if n > 1 else 0.0, seen_before(ids), upper / max(1, letters), of(3), of(4),
         sum(len(x) < SHORT_LINE for x in lines) / len(lines), sum(not x.rstrip().endswith(ENDS) for x in lines) / len(lines), sum(map(str.isdigit, text)) / chars,
     ]
     return n, chars, symbols, dup, repeats, look

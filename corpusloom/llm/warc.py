@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,6 +40,8 @@ ARCHIVE, RANGE, CHUNK = 32 << 20, 4 << 20, 1 << 18
 #: Ranges that a reading task takes, where there are more than tasks at once.
 RANGES_PER_TASK = 4
 LEVEL, MAGIC, VERSION = 6, b"\x1f\x8b\x08", b"WARC/1."
+#: Types of record that are read where no others are asked for.
+PAGES = ("response", "revisit")
 EPOCH = "1970-01-01T00:00:00Z"
 
 
@@ -47,27 +50,70 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     url = "".join(c if c.isprintable() else "%%%02X" % ord(c) for c in url or "")
-    head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"]
+    name = lambda page: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {digest}')}>"
+    head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}"]
     head += [f"WARC-Date: {EPOCH}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}"]
     head += [f"WARC-Warcinfo-ID: <urn:uuid:{archive_id}>"] if archive_id else []
     head += [] if page_id is None else [f"X-Page-Id: {page_id}"]
     if refers_to is not None:
-        head += [f"X-Refers-To-Page-Id: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"X-Refers-To-Page-Id: {refers_to}", f"WARC-Refers-To: {name(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(["WARC/1.1", *head, "", ""]).encode() + block + b"\r\n\r\n"
 
 
+def warcinfo(archive_id: str, filename: str) -> bytes:
+    """The record that an archive begins with; the others name it."""
+    block = b"software: corpusloom\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{archive_id}>", f"WARC-Date: {EPOCH}", f"WARC-Filename: {filename}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
 def member(data: bytes) -> bytes:
     packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """A record's headers, lower-cased, and its block."""
-    head, _, block = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    fields = {k.lower(): v for k, v in fields.items()}
-    return fields, block[: int(fields.get("content-length", len(block)))]
+def headers(head: bytes) -> dict[str, str]:
+    """Fields by lower-cased name, the first of each; lines that go on in the next are joined. What is no field is passed over."""
+    out: dict[str, str] = {}
+    for line in re.sub(rb"\r?\n[ \t]+", b" ", head).decode("utf-8", "replace").splitlines()[1:]:
+        key, colon, value = line.partition(":")
+        if colon:
+            out.setdefault(key.strip().lower(), value.strip())
+    return out
+
+
+def number(value: str | None) -> int | None:
+    return int(value) if value and re.fullmatch(r"-?[0-9]{1,18}", value) else None
+
+
+def parse(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
+    """A record's headers and block, and what follows it."""
+    head, _, rest = data.partition(b"\r\n\r\n")
+    fields = headers(head)
+    length = number(fields.get("content-length"))
+    length = len(rest) if length is None or length < 0 else length
+    return fields, rest[:length], rest[length:].lstrip(b"\r\n")
+
+
+def read_record(fields: dict[str, str], block: bytes) -> dict:
+    """A row of any record. What it doesn't say is null.
+
+    The payload of a response or request over HTTP is what follows the HTTP headers; of other records it is the block, but
+    a revisit has none: its length and digest are those that it names.
+    """
+    kind, http = fields.get("warc-type", "").lower() or None, {}
+    payload: bytes | None = block
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        http = headers(head)
+    length, digest = len(payload), hashlib.sha1(payload).hexdigest()
+    if kind == "revisit":
+        payload, length, digest = None, number(http.get("content-length")), fields.get("warc-payload-digest", "").rpartition(":")[2] or None
+    return {
+        "page_id": number(fields.get("x-page-id")), "url": fields["warc-target-uri"].strip("<>") if "warc-target-uri" in fields else None, "payload_bytes": length,
+        "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("x-refers-to-page-id")), "payload": payload,
+    }
 
 
 def with_types(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
@@ -115,6 +161,9 @@ def write_archives(pages: DataFrame, path: str, archive: int = ARCHIVE, min_payl
                     name, size, records = f"{base}/part-{context.partitionId():06d}-{k:04d}.warc.gz", 0, 0
                     temp, k, archive_id = f"{base}/.{uuid.uuid4().hex}", k + 1, str(uuid.uuid5(run_id, name.rpartition("/")[2]))
                     out = where.open_output_stream(temp, compression=None)
+                    first = member(warcinfo(archive_id, name.rpartition("/")[2]))
+                    out.write(first)
+                    size = len(first)
                 data = member(record(row["page_id"], row["url"], row["html"].encode("utf-8", "surrogatepass"), row["digest"], row["refers_to"], archive_id))
                 out.write(data)
                 size, records = size + len(data), records + 1
@@ -134,9 +183,9 @@ def write_archives(pages: DataFrame, path: str, archive: int = ARCHIVE, min_payl
 def scan_range(file, size: int, start: int, end: int, archive_id: str = "") -> Iterator[bytes]:
     """The records whose members start in ``start:end`` of an open archive. False magic inside a member fails to decode.
 
-    With ``archive_id``, only records that name it count.
+    With ``archive_id``, only its own warcinfo record and those that name it count.
     """
-    mark = f"\r\nWARC-Warcinfo-ID: <urn:uuid:{archive_id}>\r\n".encode() if archive_id else b""
+    marks = [f"\r\nWARC-{name}-ID: <urn:uuid:{archive_id}>\r\n".encode() for name in ("Warcinfo", "Record")] if archive_id else []
     window, base = b"", start
 
     def more(upto: int) -> None:
@@ -157,7 +206,7 @@ def scan_range(file, size: int, start: int, end: int, archive_id: str = "") -> I
             if at >= end:
                 return
             data, after = decode(lambda i, n: (more(i + n), window[i - base : i - base + n])[1], at, size)
-            if data is None or mark and mark not in data.partition(b"\r\n\r\n")[0] + b"\r\n":
+            if data is None or marks and not any(m in data.partition(b"\r\n\r\n")[0] + b"\r\n" for m in marks):
                 at += 1
             else:
                 yield data
@@ -187,9 +236,13 @@ def decode(get, at: int, size: int) -> tuple[bytes | None, int]:
     return (data, n - len(unpacker.unused_data)) if data.startswith(VERSION) else (None, at)
 
 
-def read_archives(manifest: DataFrame, span: int = RANGE) -> DataFrame:
-    """One row a record of the archives in ``manifest`` (``path``, ``bytes``, ``archive_id`` if known), by byte ranges of ``span``."""
-    archive_id = F.col("archive_id") if "archive_id" in manifest.columns else F.lit("")
+def read_archives(manifest: DataFrame, span: int = RANGE, types: tuple[str, ...] | None = PAGES) -> DataFrame:
+    """One row a record of the archives in ``manifest`` (``path``, ``bytes``, ``archive_id`` if known), by byte ranges of ``span``.
+
+    Archives may be anyone's: records of other ``types`` are passed over (None: of none), whatever a record lacks is null, and bytes that
+    are no gzip member are passed over.
+    """
+    archive_id = F.coalesce("archive_id", F.lit("")) if "archive_id" in manifest.columns else F.lit("")
     starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(span).cast("long"))
     ranges = manifest.where("bytes > 0").select("path", archive_id.alias("archive_id"), F.col("bytes").alias("size"), F.explode(starts).alias("start"))
     cores = manifest.sparkSession.sparkContext.defaultParallelism
@@ -198,22 +251,21 @@ def read_archives(manifest: DataFrame, span: int = RANGE) -> DataFrame:
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
-    def row(data: bytes) -> dict:
-        fields, block = parse(data)
-        http, _, payload = block.partition(b"\r\n\r\n")
-        whole = fields["warc-type"] == "response"
-        length = len(payload) if whole else next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-        digest = hashlib.sha1(payload).hexdigest() if whole else fields["warc-payload-digest"].partition(":")[2]
-        number = lambda key: int(fields[key]) if key in fields else None
-        return dict(zip(schema.names, (number("x-page-id"), fields["warc-target-uri"], length, digest, fields["warc-type"], number("x-refers-to-page-id"), payload if whole else None), strict=True))
+    def rows_of(members: Iterator[bytes]) -> Iterator[dict]:
+        for data in members:
+            while data.startswith(VERSION):  # a member may hold several records
+                fields, block, data = parse(data)
+                row = read_record(fields, block)
+                if types is None or row["record_type"] in types:
+                    yield row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 where, name = filesystem(r["path"])
                 with where.open_input_file(name) as file:
-                    found = scan_range(file, r["size"], r["start"], min(r["size"], r["start"] + span), r["archive_id"])
-                    while rows := [row(data) for data in itertools.islice(found, 256)]:
+                    found = rows_of(scan_range(file, r["size"], r["start"], min(r["size"], r["start"] + span), r["archive_id"]))
+                    while rows := list(itertools.islice(found, 256)):
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return ranges.repartition(tasks).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")

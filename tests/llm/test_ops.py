@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -373,6 +374,20 @@ def test_quality_figures(odd, rows):
     assert got == sorted(want)
 
 
+def test_words_seen_before_look_at_the_whole_text():
+    r = random.Random(4)
+    distinct, few = [f"w{i}" for i in range(200)], [r.choice("abc") for _ in range(4000)]
+    at = [rule.name for rule in quality.RULES].index("words_seen_before")
+    figure = lambda w: quality.figures(" ".join(w), {})[5][at]
+    assert abs(figure(distinct + few) - figure(few + distinct)) < 1e-3 and figure(distinct + few) > 0.85
+    for _ in range(20):
+        n = r.randint(1, 900)
+        w = [r.choice([f"x{i}" for i in range(r.choice([3, 50, 2000]))]) for _ in range(n)]
+        windows = [w[i : i + min(n, 200)] for i in range(n - min(n, 200) + 1)]
+        assert abs(figure(w) - (1 - sum(len(set(x)) for x in windows) / sum(map(len, windows)))) < 1e-9
+        assert abs(figure(w[n // 2 :] + w[: n // 2]) - figure(w)) < 0.05
+
+
 def test_quality_of_nothing(spark):
     assert quality.quality(empty(spark)).count() == 0
     (one,) = quality.quality(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()
@@ -483,6 +498,38 @@ def test_an_archive_as_a_payload_is_no_record(spark, tmp_path):
     assert len(list(warc.scan_range(io.BytesIO(data), len(data), len(own), len(data)))) == 2
 
 
+def test_any_archive_is_read(spark, tmp_path):
+    """Records of all types, of others' making: no HTTP headers, no address, several in one member, odd lines, and bytes that are no member."""
+
+    def record(kind, block, *head):
+        return "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", *head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\ncontent-length:4\r\nX: a\r\n b\r\n\r\nbody"
+    records = [
+        record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "WARC-Target-URI:<http://a/>", "Content-Type: application/http; msgtype=request"),
+        record("response", http, "WARC-Target-URI: http://a/", "Content-Type: application/http", "WARC-Truncated: length", "no field"), record("metadata", b"via: b\r\n"),
+        record("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", "Content-Type: application/http", "WARC-Payload-Digest: sha1:ABC"), record("revisit", b""), record("resource", b"\x00\xff", "WARC-Target-URI: file:a"), record("conversion", "é".encode()),
+    ]
+    data = b"junk" + b"".join(map(warc.member, records[:3])) + warc.member(b"".join(records[3:])) + b"\x1f\x8b\x08tail, not compressed\r\nWARC/1.0\r\n"
+    path = tmp_path / "other.warc.gz"
+    path.write_bytes(data)
+    manifest = spark.createDataFrame([(str(path), len(data))], "path string, bytes long")
+    for span in (17, 1 << 20):
+        got = {(r.record_type, r.url, r.payload_bytes, bytes(r.payload) if r.payload is not None else None) for r in warc.read_archives(manifest, span, None).collect()}
+        assert got == {
+            ("warcinfo", None, 13, b"software: x\r\n"), ("request", "http://a/", 0, b""), ("response", "http://a/", 4, b"body"), ("metadata", None, 8, b"via: b\r\n"),
+            ("revisit", None, None, None), ("resource", "file:a", 2, b"\x00\xff"), ("conversion", None, 2, "é".encode()),
+        }
+    assert warc.read_archives(manifest, types=("response",)).count() == 1
+    own = warc.write_archives(spark.createDataFrame([(1, "u", "x" * 2000), (2, "v", "x" * 2000)], "page_id long, url string, html string").repartition(1), warc.new_path(spark, "warc"))
+    import gzip
+
+    members = gzip.open(own.first().path).read().decode()
+    assert members.startswith("WARC/1.1\r\nWARC-Type: warcinfo") and f"WARC-Record-ID: <urn:uuid:{own.first().archive_id}>" in members
+    refers, ids = re.search("WARC-Refers-To: (.*)\r", members)[1], re.findall("WARC-Record-ID: (.*)\r", members)
+    assert refers in ids and {r.record_type for r in warc.read_archives(own, types=None).collect()} == {"warcinfo", "response", "revisit"}
+
+
 def test_warc_of_nothing(spark):
     assert warc.archive_and_read(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -530,6 +577,30 @@ def test_models_find_what_no_pattern_does(spark):
     assert secret_scan.scan(empty(spark)).count() == 0
 
 
+def test_short_keys_and_many_matches(spark):
+    """Keys of 12 to 19 characters without a pattern, beside ordinary words of that length; and 20 000 matches in one text."""
+    keys = ["zQ8vX2kLr9Tn", "Xk7Pq2Zw9RtL4v", "q9Zx7Kp2Wv8Ytr3B", "4fG7kQz9XwP2mN8vRtB"]
+    plain = "understanding configuration Wahrscheinlichkeit getElementById snake_case_name 2024-01-15-1200 MAXIMUM_SIZE internationalization"
+    rows = [(i, f"{plain} {k} {plain}") for i, k in enumerate(keys)] + [(9, plain), (10, "token=abcdefgh1 " * 20000)]
+    began = time.time()
+    for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert [r.text[s.start : s.end] for s in r.found] == (keys[r.doc_id : r.doc_id + 1] if r.doc_id < 9 else [])
+        assert r.doc_id != 10 or len(r.base) == 20000 and r.base[-1].start == 16 * 19999
+    assert time.time() - began < 60
+
+
+def test_documents_label_themselves(spark):
+    """Values of patterns and other tokens, but where the models of made samples say the opposite; a part is held out."""
+    ratios = secret_scan.log_ratios(secret_scan.labelled_samples(spark).where("not held_out"))
+    rows = [(i, f"token=Qx7zK{i:05d}wV9 plainidentifierword password=understanding Xk7Pq2Zw9RtL4vQ8 " + "0123456789abcdef" * 2) for i in range(50)] + [(None, None), (60, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = secret_scan.labelled_documents(docs, ratios).collect()
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(50)}
+    want = {(f"Qx7zK{i:05d}wV9", True, held[i]) for i in range(50)} | {(t, r, x) for t, r in (("plainidentifierword", False), ("0123456789abcdef" * 2, True)) for x in (True, False)}
+    assert {tuple(r) for r in got} == want and len(got) == 150
+    assert secret_scan.labelled_documents(docs, ratios, 10).count() < 150
+
+
 def test_models_on_held_out_samples(spark):
     """Held-out strings, and identifiers of words that no sample for training has; the score is that of plain counting."""
     labelled = secret_scan.labelled_samples(spark).cache()
@@ -687,6 +758,19 @@ def test_the_sample_is_bounded(spark, monkeypatch):
     assert len(model.langs) == 20 == len(model.sizes) and len(kernels) == len(langs) == 60 and max(collections.Counter(langs).values()) == 3
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 40])
+def test_rejection_depends_on_the_lead_not_on_the_number_of_languages(spark, n):
+    """Texts like those learned stay, whatever the number of languages; a text between two languages goes."""
+    r = random.Random(8)
+    stems = ["".join(chr(97 + (k * 7 + j * (k % 5 + 1)) % 26) for j in range(5)) + chr(0x430 + k % 30) * 2 for k in range(n)]
+    word = lambda k: "".join(r.sample(stems[k], 6))
+    rows = [(i, " ".join(word(i % n) for _ in range(25)), f"l{i % n:02d}", "s", 1) for i in range(max(80, n * 12))]
+    kept = {x.doc_id for x in langid.identified(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(kept) >= 0.97 * len(rows)
+    raw = np.array([[1.0, 0.9], [1.0, -1.0]])
+    assert np.allclose(langid.Model.leads(raw), [0.1, 2.0]) and np.allclose(langid.Model.leads(raw[:, :1]), 2.0)
+
+
 def test_language_id_without_labels(spark):
     got = langid.language_id(spark.createDataFrame([(1, "some text", None, "s", 1)], SCHEMA)).collect()
     assert got[0].lang_pred == "und" and got[0].score == 0

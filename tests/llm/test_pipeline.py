@@ -33,8 +33,9 @@ def test_stages(spark, tmp_path):
             assert out.dtypes == docs.dtypes
         docs = out
     language, lines, near, mixed, packed = kept
-    scores = {x.doc_id: (x.lang_pred, x.score) for x in langid.language_id(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert sorted(r[0] for r in language) == sorted(d for d, (lang, score) in scores.items() if lang != "und" and score >= langid.MIN_SCORE)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    leads = {x.doc_id: (x.lang_pred, x.lead) for x in langid.predict(frame, langid.train(langid.learnable(frame))).collect()}
+    assert sorted(r[0] for r in language) == sorted(d for d, (lang, lead) in leads.items() if lang != "und" and lead >= langid.MIN_LEAD)
     assert sorted((r[0], r[1]) for r in lines) == [(d, text) for d, _, _, text in brute_lines(language)]
     assert all(r[4] == len(r[1]) for r in lines)
     ids = brute_components([brute_fingerprint(r[1]) for r in lines])

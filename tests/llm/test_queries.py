@@ -2,10 +2,13 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import os
 import re
 import zlib
 
+import numpy as np
 import pytest
 from corpusloom.llm import quality, queries, secret_scan, token_counts
 from test_entry import SF, duck, rows  # noqa: F401  a fixture
@@ -91,19 +94,62 @@ def test_op5(documents, result):
         r = got[doc]
         assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), cover)
         assert r.n_symbols == len(re.findall(r"[#*$%&|<>]", text or "")) and r.base_failed == (len(w) < 20 or 100 * cover > 30 * len(w))
-        assert not (r.kept and r.base_failed) and (r.base_failed or r.kept == (r.p_good >= quality.KEEP))
-
-
-def test_op7(documents, result):
+        assert not (r.kept and r.base_failed)
+    votes = {d[0]: tuple(int(rule.votes(np.array([x]))[0]) for rule, x in zip(quality.RULES, quality.figures(d[1], {})[5], strict=True)) for d in documents if not got[d[0]].base_failed}
+    good = independent_em(collections.Counter(votes.values()))
+    for doc, v in votes.items():
+        assert abs(got[doc].p_good - good[v]) < 1e-6 and got[doc].kept == (good[v] >= 0.5)
+
+
+def independent_em(patterns):
+    """Each pattern's probability of good, from the method's description alone: plain sums, one pattern and rule after the other."""
+    rules, kinds = range(len(quality.RULES)), list(dict.fromkeys(r.kind for r in quality.RULES))
+    voted = [sum(n for v, n in patterns.items() if v[j]) for j in rules]
+    objects = [sum(n for v, n in patterns.items() if v[j] == 2) / max(1, voted[j]) for j in rules]
+    start = [[max(1e-3, objects[j] - 0.1) for j in rules]] + [[0.9 if quality.RULES[j].kind == k else max(1e-3, objects[j] - 0.1) for j in rules] for k in kinds]
+    first = [0.9] + [0.1 / len(kinds)] * len(kinds)
+    share, rate = first, start
+
+    def odds(v):
+        each = [math.log(s) + sum(math.log(r[j] if v[j] == 2 else 1 - r[j]) for j in rules if v[j]) for s, r in zip(share, rate, strict=True)]
+        top = [math.exp(x - max(each)) for x in each]
+        return [x / sum(top) for x in top]
+
+    for _ in range(200):
+        weight = {v: [n * p for p in odds(v)] for v, n in patterns.items()}
+        total = [sum(w[c] for w in weight.values()) for c in range(len(share))]
+        new = [(t + 20 * f) / (sum(total) + 20) for t, f in zip(total, first, strict=True)]
+        said = lambda c, j, kinds: sum(w[c] for v, w in weight.items() if v[j] in kinds)
+        table = [[(said(c, j, (2,)) + 20 * start[c][j]) / (said(c, j, (1, 2)) + 20) for j in rules] for c in range(len(share))]
+        moved = max([abs(a - b) for a, b in zip(new, share, strict=True)] + [abs(a - b) for x, y in zip(table, rate, strict=True) for a, b in zip(x, y, strict=True)])
+        share, rate = new, table
+        if moved < 1e-9:
+            break
+    return {v: odds(v)[0] for v in patterns}
+
+
+def test_op11_and_op12_have_rows(result):
+    assert len(result("op12_exact_topk")) == 50 and len(result("op11_hard_negatives"))
+
+
+def test_op7(spark, documents, result):
+    """Base spans by the patterns, the models' by their log ratios: both worked out token by token."""
+    docs = spark.createDataFrame([d[:2] for d in documents], "doc_id long, text string")
+    made = secret_scan.labelled_samples(spark).where("not held_out")
+    ratios = secret_scan.log_ratios(made, secret_scan.labelled_documents(docs, secret_scan.log_ratios(made)).where("not held_out"))
+    n = len(secret_scan.ALPHABET) + 1
+    code = lambda c: secret_scan.ALPHABET.find(c) if c in secret_scan.ALPHABET else n - 1
+    token = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
     got = {r.doc_id: r for r in result("op7_secret_scan").itertuples()}
     for doc, text, *_ in documents:
         base = sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(secret_scan.PATTERNS) for m in re.finditer(p, text or "") if len(m[g]) >= n)
         listed = [f"{secret_scan.PATTERNS[k][0]}:{a}:{b}" for a, k, b in base]
         r = got[doc]
         assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest() and (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
-        spans = [s for s in r.spans.split(",") if s]
-        assert [s for s in spans if not s.startswith(secret_scan.KIND)] == listed and [int(s.split(":")[1]) for s in spans] == sorted(int(s.split(":")[1]) for s in spans)
-        assert all(len((text or "")[int(s.split(":")[1]) : int(s.split(":")[2])]) >= 20 for s in spans if s.startswith(secret_scan.KIND))
+        sums = ((m, sum(ratios[code(a) * n + code(b)] for a, b in itertools.pairwise(m[0]))) for m in token.finditer(text or ""))
+        more = [(m.start(), len(secret_scan.PATTERNS), m.end()) for m, x in sums if x >= max(secret_scan.MIN_TOTAL, secret_scan.MIN_RATIO * (len(m[0]) - 1))]
+        names = [p[0] for p in secret_scan.PATTERNS] + [secret_scan.KIND]
+        assert r.spans == ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(base + more))
 
 
 def test_op8(documents, result):
