@@ -111,7 +111,7 @@ def texts():
     known = ["alpha", "Beta", "ÉCOLE", "école", "x", "naïve", "z" * 400, "слово", "it's", "a1b", "tie", "eit"]
     pick = lambda n: "".join(r.choice(known) + r.choice([" ", "\n", ", ", "  ", "0", "\x00"]) for _ in range(n))
     out = [(i, pick(r.randint(0, 12)), ["en", "en", "de", None, "few"][i % 5 if i % 35 == 4 or i % 5 != 4 else 0], ["a", "b", "c", None, ""][i % 7 % 5], "", "", "") for i in range(150)]
-    out += [(200, None, "en", "a", "", "", ""), (201, "", "en", "silent", "", "", ""), (202, pick(3000), "de", "a", "", "", ""), (202, "alpha", "de", "a", "", "", "")]
+    out += [(200, None, "en", "a", "", "", ""), (201, "", "en", "silent", "", "", ""), (202, pick(3000), "de", "a", "", "", ""), (202, "alpha", "de", "a", "", "", ""), (203, "alpha", "few", "b", "", "", "")]
     return out
 
 
