@@ -306,8 +306,8 @@ SELECT word, variant FROM v WHERE variant <> word""",
     "lm_unigrams": f"WITH {TOK} SELECT normalized AS word, count(*) AS cnt FROM tok GROUP BY 1",
     "lm_bigrams": f"WITH {TOK}, l AS (SELECT lag(normalized) OVER (PARTITION BY doc_id ORDER BY pos) AS \"left\", normalized AS \"right\" FROM tok) SELECT \"left\", \"right\", count(*) AS cnt FROM l WHERE \"left\" IS NOT NULL GROUP BY 1, 2",
     "lm_prune": f"WITH {TOK}, l AS (SELECT lag(normalized) OVER (PARTITION BY doc_id ORDER BY pos) AS \"left\", normalized AS \"right\" FROM tok) SELECT \"left\", \"right\", count(*) AS cnt FROM l WHERE \"left\" IS NOT NULL GROUP BY 1, 2 ORDER BY cnt DESC, \"left\" DESC, \"right\" DESC LIMIT 30000",
-    "lm_context_score": f"""WITH {TOK}, {BENCH}, u AS MATERIALIZED (SELECT normalized AS w, count(*) AS c FROM tok GROUP BY 1),
-p AS MATERIALIZED (SELECT l, r, count(*) AS c FROM (SELECT lag(normalized) OVER (PARTITION BY doc_id ORDER BY pos) AS l, normalized AS r FROM tok) WHERE l IS NOT NULL GROUP BY 1, 2),
+    "lm_context_score": f"""WITH {TOK}, {BENCH}, bw AS MATERIALIZED (SELECT DISTINCT normalized AS w FROM tokb), u AS MATERIALIZED (SELECT normalized AS w, count(*) AS c FROM tok WHERE normalized IN (SELECT w FROM bw) GROUP BY 1),
+p AS MATERIALIZED (SELECT l, r, count(*) AS c FROM (SELECT lag(normalized) OVER (PARTITION BY doc_id ORDER BY pos) AS l, normalized AS r FROM tok) WHERE l IN (SELECT w FROM bw) AND r IN (SELECT w FROM bw) GROUP BY 1, 2),
 t AS MATERIALIZED (SELECT doc_id, pos, normalized AS w, lag(normalized) OVER o AS pv, lead(normalized) OVER o AS nx FROM tokb WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 s AS (SELECT doc_id, pos, CASE WHEN pv IS NULL THEN 0 ELSE least(1, (coalesce(a.c, 0) + 1.0) / (coalesce(ua.c, 0) + 48.0) * 6.0) END AS x, CASE WHEN nx IS NULL THEN 0 ELSE least(1, (coalesce(b.c, 0) + 1.0) / (coalesce(ub.c, 0) + 48.0) * 6.0) END AS y
   FROM t LEFT JOIN p a ON a.l = pv AND a.r = t.w LEFT JOIN p b ON b.l = t.w AND b.r = nx LEFT JOIN u ua ON ua.w = pv LEFT JOIN u ub ON ub.w = t.w)

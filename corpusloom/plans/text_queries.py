@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from .. import data
 from ..functions import text as T
 from ..functions import translit
-from ..functions.collation import is_cyrillic_word, sort_key
+from ..functions.collation import CYRILLIC_ORDER, LATIN_ORDER, is_cyrillic_word, sort_key
 from ..operators import lexicon as L
 from ..operators import reports, rewrite, spelling
 from ..operators import tokens as K
+from ..operators.ranking import ranked
 from . import sql
 
 
@@ -151,11 +152,11 @@ def length_index(spark, sf_dir):
 
 
 def collation_sort(spark, sf_dir):
-    """The lexicon's words with their place in order of the alphabet, by initial."""
-    from pyspark.sql import Window
+    """The lexicon's words with their place in order of the alphabet."""
+    from .stream_queries import work_dir
 
-    words = spelling.lexicon_of(docs_of(spark, sf_dir)).select("word", F.substring("word", 1, 1).alias("initial"))
-    return words.withColumn("place", F.row_number().over(Window.partitionBy("initial").orderBy(sort_key(F.col("word")), "word")))
+    words = spelling.lexicon_of(docs_of(spark, sf_dir)).select("word")
+    return ranked(words, [sort_key(F.col("word")), F.col("word")], work_dir(spark, "collation"))
 
 
 def lexicon_union(spark, sf_dir):
@@ -207,7 +208,12 @@ o AS (SELECT normalized AS word, CASE WHEN {sql.SKIP} THEN 'skipped' WHEN (SELEC
       WHEN normalized IN (SELECT word FROM lex) THEN 'in_user' ELSE 'added' END AS outcome FROM w)
 """
 
+LATIN_WEIGHT = f"list_position([{', '.join(repr(x) if chr(39) not in x else chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in LATIN_ORDER)}], t)"
 ORACLE_SQL = {
+    "collation_sort": rf"""WITH {LEX2}, k AS (SELECT word, len(regexp_extract_all(lower(word), '[а-яўқғҳё]')) >= len(regexp_extract_all(lower(word), '[a-z]')) AS c,
+  list_transform(regexp_extract_all(lower(word), '.'), lambda t: coalesce(nullif(strpos('{CYRILLIC_ORDER}', t), 0), unicode(t) + 1000)) AS cw,
+  list_transform(regexp_extract_all(translate(lower(word), 'ʻʼ‘’`', repeat('''', 5)), 'ch|g''|ng|o''|sh|.'), lambda t: coalesce(nullif({LATIN_WEIGHT}, 0), unicode(t) + 10000)) AS lw FROM lex)
+SELECT word, row_number() OVER (ORDER BY NOT c, CASE WHEN c THEN cw ELSE lw END, word) AS place FROM k""",
     "tokenize": f"WITH {TOK} SELECT doc_id, pos, original, normalized, start_index, end_index, paragraph_index FROM tok",
     "normalize_words": f"WITH {TOK} SELECT normalized, count(*) AS n, count(DISTINCT doc_id) AS docs FROM tok GROUP BY 1",
     "detect_script": f"WITH {SCRIPTS} SELECT doc_id, {SCRIPT} AS script, latin, cyrillic FROM c",

@@ -1,4 +1,4 @@
-"""Streams of typing events: auto-correction, debounced script detection, suppression of repeats, learned counts.
+"""Streams of typing events: auto-correction, debounced script detection, suppression of repeats.
 
 Event time is a column; state is bounded by watermarks or by what is kept per key. Every function takes a batch or a
 streaming DataFrame, but for those that keep state of their own.
@@ -17,7 +17,6 @@ from ..functions import text as T
 from ..operators import suggest
 
 DEBOUNCE, DUPLICATE_MS, LOOK = "300 milliseconds", 1200, 2000
-FLUSH_EVERY = 8
 
 
 def typed_words(events: DataFrame, text: str = "text") -> DataFrame:
@@ -86,26 +85,6 @@ def suppress_repeats_stream(requests: DataFrame, key: str, word: str, time: str,
     return grouped.applyInPandasWithState(step, f"{key} {key_type}, event_id long, {word} string, repeated boolean", "w string, ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def learned_counts(corrections: DataFrame) -> DataFrame:
-    """Running counts of accepted corrections (``source``, ``replacement``): an update-mode aggregation."""
-    return corrections.groupBy("source", "replacement").agg(F.count(F.lit(1)).alias("cnt"))
-
-
-def upsert_counts(path: str):
-    """A ``foreachBatch`` sink that merges each batch's counts, keyed by batch id so that a batch run again adds nothing."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return write
-
-
-def merged_counts(spark, path: str) -> DataFrame:
-    """The sink's latest counts of each key."""
-    rows = spark.read.parquet(f"{path}/batch=*")
-    return rows.groupBy("source", "replacement").agg(F.max_by("cnt", "batch_id").alias("cnt"))
-
-
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is now, into Parquet under ``path``, and reads the result."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
