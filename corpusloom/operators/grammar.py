@@ -49,10 +49,6 @@ def if_so(condition: Column, e: Column) -> Column:
     return F.filter(F.array(F.when(condition, e)), lambda x: x.isNotNull())
 
 
-def capitalized(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.char_length(word)))
-
-
 # Punctuation and style, from the text alone: arrays of errors of a text
 
 
@@ -71,7 +67,7 @@ def comma_space_errors(paragraph: str = K.PARAGRAPH) -> Column:
 
 
 def period_space_errors(paragraph: str = K.PARAGRAPH) -> Column:
-    return _of_spans(r"\.\p{Ll}", "PERIOD_SPACE", paragraph, lambda m: F.concat(F.lit(". "), F.upper(F.right(m, F.lit(1)))))
+    return _of_spans(r"\.\p{Ll}", "PERIOD_SPACE", paragraph, lambda m: F.concat(F.lit(". "), T.upper(F.right(m, F.lit(1)))))
 
 
 def bracket_errors(paragraph: str = K.PARAGRAPH) -> Column:
@@ -118,7 +114,7 @@ def brackets(docs: DataFrame) -> DataFrame:
 def sentence_caps_errors() -> Column:
     """The text's first token, or one after a gap with an end of sentence, that starts in lower case."""
     starts = (F.col("pos") == 0) | F.col("gap_before").rlike(K.SENTENCE_END)
-    return if_so(starts & F.col("original").rlike(r"^\p{Ll}"), token_error("SENT_CAPITALIZATION", capitalized(F.col("original"))))
+    return if_so(starts & F.col("original").rlike(r"^\p{Ll}"), token_error("SENT_CAPITALIZATION", T.capitalized(F.col("original"))))
 
 
 def repeated_word_errors() -> Column:
@@ -154,7 +150,7 @@ def proper_noun_errors(nouns: list[str] | None = None) -> Column:
     single, _ = proper_nouns(nouns)
     o = F.col("original")
     low = (F.char_length(o) >= 2) & ~o.rlike(r"^\p{Lu}") & F.lower(o).isin(sorted({n.lower() for n in single}))
-    return if_so(low, token_error("PROPER_NOUN_CAPS", capitalized(o)))
+    return if_so(low, token_error("PROPER_NOUN_CAPS", T.capitalized(o)))
 
 
 def proper_phrase_errors(paragraph: str = K.PARAGRAPH, nouns: list[str] | None = None) -> Column:

@@ -314,6 +314,23 @@ def test_lexicon_changes(spark):
     assert {r.word for r in lexicon.remove_words(user, spark.createDataFrame([("KITOB",)], "word string")).collect()} == {"uy"}
 
 
+def test_upper_case_keeps_a_words_length(spark):
+    words = ["ßer", "maß", "abc", "ŉa", "ᾳx", "ﬁx", "юрак", "", None]
+    assert values(spark, words, T.upper) == ["ẞER", "MAẞ", "ABC", "ŉA", "ᾼX", "ﬁX", "ЮРАК", "", None]
+    docs = spark.createDataFrame([(1, "Abc. ßer x.ßa")], "doc_id long, text string")
+    assert [r.suggestion for r in grammar.sentence_caps(K.tokenize(docs, gaps=True)).orderBy("start_index").collect()] == ["ẞer", "ẞa"]
+    assert [r.suggestion for r in grammar.period_space(docs).collect()] == [". ẞ"]
+
+
+def test_autocorrect_keeps_case_of_sharp_s(spark):
+    from corpusloom.streaming import autocorrect
+
+    turns = spark.createDataFrame([(1, "die Schzuungß "), (2, "SCHZUUNG ")], "conv_id long, text string")
+    best = spark.createDataFrame([("schzuungß", "ßgnuuzhcs", 1, 0.9), ("schzuung", "gnuuzhßs", 1, 0.9)], "query string, suggestion string, distance int, score double")
+    got = autocorrect.autocorrect(turns, spark.createDataFrame([], "word string"), best)
+    assert [r.replacement for r in got.orderBy("conv_id").collect()] == ["ẞgnuuzhcs", "GNUUZHẞS"]
+
+
 def test_reports(spark):
     errors = spark.createDataFrame(
         [(1, 'a"b', 0, 3, 1, "Spelling", None, False, "<x>", "c & d"), (1, "z", 9, 10, 2, "Style", "R", False, None, None), (1, "r", 5, 6, 1, "Spelling", None, True, None, None)],
