@@ -340,6 +340,26 @@ def test_autocorrect_keeps_case_of_sharp_s(spark):
     assert [r.replacement for r in got.orderBy("conv_id").collect()] == ["ẞgnuuzhcs", "GNUUZHẞS"]
 
 
+def test_near_words_meet_by_most_of_their_letters(spark):
+    """Short and long words against all pairs; of words that share common segments, few that aren't near meet."""
+    from corpusloom.operators import near_words
+
+    r = random.Random(5)
+    base = ["".join(r.choice(["en", "ta", "mi", "s", "lo"]) for _ in range(r.choice([2, 4, 5, 9, 10]))) for _ in range(60)]
+    words = sorted({w[:i] + r.choice(["", "x", w[i : i + 2][::-1]]) + w[i + r.choice([0, 1, 2]) :] for w in base for i in (r.randrange(len(w)), 0)} | set(base) | {"a"})
+    asks = [(w, 1 if len(w) <= 4 else 2 if len(w) <= 8 else 3) for w in words]
+    queries, lex = spark.createDataFrame(asks, "query string, reach int"), spark.createDataFrame([(w,) for w in words if w], "word string")
+    got = near_words.near_pairs(queries, lex).select("query", "word", "reach", near_words.distance().alias("d")).collect()
+    assert len({(x.query, x.word) for x in got}) == len(got)
+    assert {(x.query, x.word, x.d) for x in got if x.d <= x.reach} == {(q, w, osa(q, w)) for q, t in asks for w in words if q and w and osa(q, w) <= t}
+    assert max(len(w) for w in words) > near_words.LONG
+    assert sorted(values(spark, ["abca"], lambda w: near_words.without(w, 2))[0]) == sorted({"abca", "bca", "aca", "aba", "abc", "ca", "ba", "bc", "aa", "ac", "ab"})
+    # segments of these four-letter halves are all alike: as keys they make every word meet every other
+    alike = [a + b for a in ("enta", "mita", "loen") for b in ("".join(x) for x in itertools.permutations(["en", "ta", "mi", "lo"]))]
+    q, w = spark.createDataFrame([(x, 3) for x in alike], "query string, reach int"), spark.createDataFrame([(x,) for x in alike], "word string")
+    assert {(x.query, x.word) for x in near_words.near_pairs(q, w).where("steps <= 3").collect()} >= {(a, b) for a in alike for b in alike if osa(a, b) <= 3}
+
+
 def test_reports(spark):
     errors = spark.createDataFrame(
         [(1, 'a"b', 0, 3, 1, "Spelling", None, False, "<x>", "c & d"), (1, "z", 9, 10, 2, "Style", "R", False, None, None), (1, "r", 5, 6, 1, "Spelling", None, True, None, None)],
