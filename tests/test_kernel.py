@@ -360,6 +360,16 @@ def test_near_words_meet_by_most_of_their_letters(spark):
     assert {(x.query, x.word) for x in near_words.near_pairs(q, w).where("steps <= 3").collect()} >= {(a, b) for a in alike for b in alike if osa(a, b) <= 3}
 
 
+def test_learned_words_are_counted_before_they_are_converted(spark):
+    events = spark.createDataFrame([("kitb", "Kitob ", None, "uy"), ("китб", "китоб", "bu", "уй"), ("kitb", "kitob", "бу", ""), ("!", "kitob", "bu", "uy")], "source string, replacement string, prev string, next string")
+    got = language_model.learn(events)
+    assert {tuple(r) for r in got["unigrams"].collect()} == {("китоб", 6)}
+    assert {tuple(r) for r in got["bigrams"].collect()} == {("бу", "китоб", 4), ("китоб", "уй", 2)}
+    assert {tuple(r) for r in got["corrections"].collect()} == {("китб", "китоб", 3)}
+    lines = got["unigrams"]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert [i for i, x in enumerate(lines) if "Aggregate" in x][1] >= [i for i, x in enumerate(lines) if "sh, ш" in x][-1]
+
+
 def test_reports(spark):
     errors = spark.createDataFrame(
         [(1, 'a"b', 0, 3, 1, "Spelling", None, False, "<x>", "c & d"), (1, "z", 9, 10, 2, "Style", "R", False, None, None), (1, "r", 5, 6, 1, "Spelling", None, True, None, None)],
