@@ -267,6 +267,27 @@ def test_own_errors_are_errors(spark):
         assert sorted(map(tuple, spelling.own_errors(docs, n).collect())) == sorted(map(tuple, spelling.errors(docs, spelling.lexicon_of(docs, n)).collect()))
 
 
+def test_neighbours_of_tokens(spark):
+    """What stands around tokens, all of it or by name, against what a plain walk finds; more documents than are summed up at once."""
+    import re
+
+    r = random.Random(6)
+    docs = [(i, "".join(r.choice(["Ab", "o'z", "😀", ". ", "!", " ", "\n", "ғa"]) for _ in range(r.randint(0, 12)))) for i in range(600)]
+    want = set()
+    for i, text in docs:
+        found = [(m.group(), m.start(), m.end()) for m in re.finditer("[Aboz'ғa]+", text)]
+        parts = re.findall("[Aboz'ғa]+|[^Aboz'ғa]+", text)
+        first = 0 if found and found[0][1] == 0 else 1
+        for n, (w, a, b) in enumerate(found):
+            at = 2 * n + first
+            stops = sum(text[e : e + 1] in (".", "!") and bool(text[e : e + 1]) for _, _, e in found[:n])
+            want.add((i, n, w, a, b, 1 + text[:a].count("\n"), parts[at - 1] if at else "", text[b : b + 1], found[n - 1][0] if n else None, tuple(parts[at + 1 : at + 5]), stops))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = K.tokenize(frame, gaps=True, ahead=2).drop("normalized").collect()
+    assert {tuple(tuple(v) if isinstance(v, list) else v for v in x) for x in got} == want and len(got) == len(want)
+    assert K.tokenize(frame, gaps=("previous",)).columns[-2:] == ["paragraph_index", "previous"]
+
+
 def test_records_and_headers():
     assert readers.records('Word;Definition\nkitob;"Bilim, manbai;\nIkkinchi satr"\n\n', ";") == [["Word", "Definition"], ["kitob", "Bilim, manbai;\nIkkinchi satr"]]
     assert [readers.find_delimiter(x) for x in ("a;b", "\n\na\tb;c", 'a,"b;c;d"', "word", "a;b,c")] == [";", "\t", ",", ",", ";"]
