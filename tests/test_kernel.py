@@ -267,6 +267,19 @@ def test_own_errors_are_errors(spark):
         assert sorted(map(tuple, spelling.own_errors(docs, n).collect())) == sorted(map(tuple, spelling.errors(docs, spelling.lexicon_of(docs, n)).collect()))
 
 
+def test_own_errors_move_no_tokens(spark):
+    """Rare words of up to three documents, of repeated and null keys, and with letters whose lower case hangs on the word."""
+    r = random.Random(4)
+    words = ["kitob", "uy", "ΑΣ", "Σας", "İzmir", "O‘zbek", "ẞe", "don't"] + ["w" + "".join(r.choice("abcş") for _ in range(3)) for _ in range(150)]
+    rows = [(r.choice([i, i // 2, None]), "".join(r.choice(words) + r.choice([" ", ".\n", ", "]) for _ in range(r.randint(0, 9)))) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (99, None)], "doc_id long, text string")
+    for n in (1, 2, 3, 4, 5):
+        got = spelling.own_errors(docs, n)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, spelling.errors(docs, spelling.lexicon_of(docs, n)).collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert n == 5 or "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
 def test_neighbours_of_tokens(spark):
     """What stands around tokens, all of it or by name, against what a plain walk finds; more documents than are summed up at once."""
     import re
