@@ -15,6 +15,7 @@ from .. import data
 from ..functions import morph as M
 from ..functions import text as T
 from ..functions import translit, tries
+from . import spelling
 from . import tokens as K
 
 COLUMNS = ["doc_id", "rule_id", "word", "start_index", "end_index", "paragraph_index", "suggestion", "distance"]
@@ -49,6 +50,12 @@ def if_so(condition: Column, e: Column) -> Column:
     return F.filter(F.array(F.when(condition, e)), lambda x: x.isNotNull())
 
 
+def rows_where(tokens: DataFrame, *rules: tuple[Column, Column]) -> DataFrame:
+    """The errors of rules that are a condition and an error each: only rows on which one of them holds are gone through by rule."""
+    some = reduce(lambda a, b: a | b, [condition for condition, _ in rules])
+    return rows_of(tokens.where(some), *(if_so(*rule) for rule in rules))
+
+
 # Punctuation and style, from the text alone: arrays of errors of a text
 
 
@@ -108,19 +115,19 @@ def brackets(docs: DataFrame) -> DataFrame:
     return rows_of(docs, bracket_errors())
 
 
-# Rules on tokens and their neighbours (``tokens.tokenize`` with gaps): arrays of errors of a token
+# Rules on tokens and their neighbours (``tokens.tokenize`` with gaps): when a token is wrong, and its error
 
 
-def sentence_caps_errors() -> Column:
+def sentence_caps_errors() -> tuple[Column, Column]:
     """The text's first token, or one after a gap with an end of sentence, that starts in lower case."""
     starts = (F.col("pos") == 0) | F.col("gap_before").rlike(K.SENTENCE_END)
-    return if_so(starts & F.col("original").rlike(r"^\p{Ll}"), token_error("SENT_CAPITALIZATION", T.capitalized(F.col("original"))))
+    return starts & F.col("original").rlike(r"^\p{Ll}"), token_error("SENT_CAPITALIZATION", T.capitalized(F.col("original")))
 
 
-def repeated_word_errors() -> Column:
+def repeated_word_errors() -> tuple[Column, Column]:
     """A word that is the one before, whatever stands between."""
     same = F.coalesce(T.normalize_token(F.col("previous")) == F.col("normalized"), F.lit(False))
-    return if_so(same & ~T.skip_word(F.col("normalized")), token_error("REPEATED_WORD"))
+    return same & ~T.skip_word(F.col("normalized")), token_error("REPEATED_WORD")
 
 
 def _ahead(j: int) -> tuple[Column, Column, Column]:
@@ -130,11 +137,11 @@ def _ahead(j: int) -> tuple[Column, Column, Column]:
     return F.get(f, 2 * j - 2), F.get(f, 2 * j - 1), F.col("end_index") + length
 
 
-def copula_spacing_errors() -> Column:
+def copula_spacing_errors() -> tuple[Column, Column]:
     """The copula and its ending written apart; only blanks between, so that no sentence ends there."""
     gap, word, end = _ahead(1)
     apart = F.col("normalized").isin(*COPULAS) & T.normalize_token(word).isin(*ENDINGS) & gap.rlike(r"^\s+$")
-    return if_so(F.coalesce(apart, F.lit(False)), token_error("COPULA_SPACING", F.concat("original", word), F.concat("original", gap, word), end))
+    return F.coalesce(apart, F.lit(False)), token_error("COPULA_SPACING", F.concat("original", word), F.concat("original", gap, word), end)
 
 
 def proper_nouns(nouns: list[str] | None = None) -> tuple[list[str], list[tuple[str, list[str]]]]:
@@ -145,12 +152,12 @@ def proper_nouns(nouns: list[str] | None = None) -> tuple[list[str], list[tuple[
     return [n for n, parts in split if len(parts) == 1], [(n, [clean(p) for p in parts]) for n, parts in split if len(parts) > 1]
 
 
-def proper_noun_errors(nouns: list[str] | None = None) -> Column:
+def proper_noun_errors(nouns: list[str] | None = None) -> tuple[Column, Column]:
     """Single proper nouns in lower case, by a look-up."""
     single, _ = proper_nouns(nouns)
     o = F.col("original")
     low = (F.char_length(o) >= 2) & ~o.rlike(r"^\p{Lu}") & F.lower(o).isin(sorted({n.lower() for n in single}))
-    return if_so(low, token_error("PROPER_NOUN_CAPS", T.capitalized(o)))
+    return low, token_error("PROPER_NOUN_CAPS", T.capitalized(o))
 
 
 def proper_phrase_errors(paragraph: str = K.PARAGRAPH, nouns: list[str] | None = None) -> Column:
@@ -187,20 +194,20 @@ def proper_phrase_errors(paragraph: str = K.PARAGRAPH, nouns: list[str] | None =
 
 
 def sentence_caps(tokens: DataFrame) -> DataFrame:
-    return rows_of(tokens, sentence_caps_errors())
+    return rows_where(tokens, sentence_caps_errors())
 
 
 def repeated_word(tokens: DataFrame) -> DataFrame:
-    return rows_of(tokens, repeated_word_errors())
+    return rows_where(tokens, repeated_word_errors())
 
 
 def copula_spacing(tokens: DataFrame) -> DataFrame:
-    return rows_of(tokens, copula_spacing_errors())
+    return rows_where(tokens, copula_spacing_errors())
 
 
 def proper_noun_caps(docs: DataFrame, nouns: list[str] | None = None, paragraph: str = K.PARAGRAPH) -> DataFrame:
     """Of texts: single names, and names of several words."""
-    single = rows_of(K.tokenize(docs, paragraph=paragraph), proper_noun_errors(nouns))
+    single = rows_where(K.tokenize(docs, paragraph=paragraph), proper_noun_errors(nouns))
     return single.unionByName(rows_of(docs, proper_phrase_errors(paragraph, nouns)))
 
 
@@ -283,24 +290,46 @@ TOKEN_RULES = {"SENT_CAPITALIZATION": sentence_caps_errors, "REPEATED_WORD": rep
 WORD_RULES = {"DAT_ALLOMORPH": dative_errors, "LOC_VOICING": locative_errors, "ABL_VOICING": ablative_errors, "DOUBLE_PLURAL": double_plural_errors, "POSS_MUTATION": possessive_errors}
 
 
+def word_errors(docs: DataFrame, words: DataFrame, *arrays: Column, paragraph: str = K.PARAGRAPH) -> DataFrame:
+    """Errors of rules on analysed ``words``, which look at the word alone: those that are wrong are found before any token is.
+
+    Each document's own wrong words move to its text, so that tokens never move.
+    """
+    nowhere = {"original": F.col("normalized"), **{c: F.lit(0) for c in ("start_index", "end_index", "paragraph_index")}}
+    wrong = words.withColumns(nowhere).where(F.size(F.concat(*arrays)) > 0).drop(*nowhere)
+    each = spelling.words_by_document(docs, F.xxhash64("doc_id").alias("_h"))
+    found = spelling.found_in(docs, each.join(wrong.select("normalized"), F.col("word") == F.col("normalized"), "left_semi"), paragraph=paragraph)
+    return rows_of(found.withColumnsRenamed({"word": "normalized", "original_text": "original"}).join(wrong, "normalized"), *arrays)
+
+
+def with_pronouns(docs: DataFrame, paragraph: str = K.PARAGRAPH) -> DataFrame:
+    """All tokens of the sentences that have a subject pronoun; texts without one are passed over by one look."""
+    pronouns = (*PRONOUNS, *LATIN_PRONOUNS)
+    some = docs.where(F.col("text").rlike(rf"(?iu)(?<![{T.WORD_CLASS}])(?:{'|'.join(pronouns)})(?![{T.WORD_CLASS}])"))
+    tokens = K.tokenize(some, paragraph=paragraph, gaps=("sentence_id",))
+    theirs = tokens.where(F.col("normalized").isin(*pronouns)).select(F.col("doc_id").alias("_d"), F.col("sentence_id").alias("_s")).distinct()
+    return tokens.join(theirs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("sentence_id") == F.col("_s")), "left_semi")
+
+
 def check(docs: DataFrame, lexicon: DataFrame, disabled: tuple[str, ...] = (), paragraph: str = K.PARAGRAPH) -> DataFrame:
     """Errors of all rules that are enabled: one pass for the rules on texts, one for those on tokens, one for those on words.
 
-    Only words with a suffix are of interest to the last, and words are analysed once each.
+    Only words with a suffix are of interest to the last, and words are analysed once each; only sentences with a pronoun are to
+    verb agreement.
     """
     on = enabled_rules(disabled=disabled)
-    tokens = K.tokenize(docs, paragraph=paragraph, gaps=True)
     parts = []
     if chosen := [f(paragraph) for rule, f in TEXT_RULES if rule in on]:
         parts.append(rows_of(docs, *chosen))
     if chosen := [f() for rule, f in TOKEN_RULES.items() if rule in on]:
-        parts.append(rows_of(tokens, *chosen))
-    plain = tokens.select("doc_id", "pos", "normalized", "original", "start_index", "end_index", "paragraph_index", "sentence_id")
-    words = M.analyze(plain.select("normalized").where(~T.skip_word(F.col("normalized"))), lexicon).where(F.size("suffix_ids") > 0)
+        parts.append(rows_where(K.tokenize(docs, paragraph=paragraph, gaps=("gap_before", "previous", "following")), *chosen))
+    checked = spelling.words_by_document(docs).where(~T.skip_word(F.col("word")))
+    words = M.analyze(checked.select(F.col("word").alias("normalized")), lexicon).where(F.size("suffix_ids") > 0)
     if chosen := [f() for rule, f in WORD_RULES.items() if rule in on]:
-        parts.append(rows_of(plain.join(words, "normalized"), *chosen))
+        parts.append(word_errors(docs, words, *chosen, paragraph=paragraph))
     if "VERB_AGREEMENT" in on:
-        parts.append(verb_agreement(plain.join(words.select("normalized", "cyrillic", "suffix_ids", "part_of_speech"), "normalized", "left")))
+        verbs = words.where("part_of_speech = 'verb'").select("normalized", "cyrillic", "suffix_ids", "part_of_speech")
+        parts.append(verb_agreement(with_pronouns(docs, paragraph).join(verbs, "normalized", "left")))
     return reduce(DataFrame.unionByName, [p.select(*COLUMNS) for p in parts])
 
 

@@ -301,6 +301,16 @@ def test_neighbours_of_tokens(spark):
     assert K.tokenize(frame, gaps=("previous",)).columns[-2:] == ["paragraph_index", "previous"]
 
 
+def test_grammar_moves_wrong_words_and_pronouns_alone(spark):
+    """Words are judged before tokens are made, and verb agreement looks at sentences with a pronoun alone."""
+    texts = ["Мен бордасан. nonlarlar бордасан", "бордасан", "siz. бораман", "СЕН бораман ва дарахтдан. мен", "nonlarlar X nonlarlar"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lex = spark.createDataFrame([("дарахт",), ("бор",)], "word string")
+    assert sorted((x.doc_id, x.original) for x in grammar.with_pronouns(docs).collect()) == [(0, "Мен"), (0, "бордасан"), (2, "siz"), (3, "СЕН"), (3, "бораман"), (3, "ва"), (3, "дарахтдан"), (3, "мен")]
+    got = sorted((x.doc_id, x.rule_id, x.start_index) for x in grammar.check(docs, lex, ("SENT_CAPITALIZATION",)).collect())
+    assert got == [(0, "DOUBLE_PLURAL", 14), (0, "VERB_AGREEMENT", 4), (3, "ABL_VOICING", 15), (3, "VERB_AGREEMENT", 4), (4, "DOUBLE_PLURAL", 0), (4, "DOUBLE_PLURAL", 12)]
+
+
 def test_records_and_headers():
     assert readers.records('Word;Definition\nkitob;"Bilim, manbai;\nIkkinchi satr"\n\n', ";") == [["Word", "Definition"], ["kitob", "Bilim, manbai;\nIkkinchi satr"]]
     assert [readers.find_delimiter(x) for x in ("a;b", "\n\na\tb;c", 'a,"b;c;d"', "word", "a;b,c")] == [";", "\t", ",", ",", ";"]
