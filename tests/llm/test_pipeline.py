@@ -7,6 +7,7 @@ import random
 import corpus_pipeline
 from corpusloom.llm import langid, near_copies
 from corpusloom.llm.common import materialize
+from pyspark.sql import functions as F
 from test_ops import LONG, SCHEMA, brute_components, brute_fingerprint, brute_lines, brute_targets, words
 
 
@@ -113,3 +114,15 @@ def test_stages_with_nulls_repeated_rows_and_clashing_names(spark, tmp_path):
     assert sum(r[0] is None for r in near[1]) == 1 and sum(r[0] == 300 for r in near[1]) == 1
     assert {r[5:] for r in mixed[1]} <= {r[5:] for r in near[1]}
     assert sum(r[4] for r in packed[1]) == sum(len(words(r[1])) for r in mixed[1])
+
+
+def test_near_dedup_goes_through_the_trie(spark, monkeypatch):
+    """Without any band of minima in common but within op10's bits, near copies are found by their fingerprints; far texts they propose are no links."""
+    r = random.Random(8)
+    base = [f"w{r.randint(0, 9999)}" for _ in range(400)]
+    texts = [base, [*base[:200], "new", *base[201:]], [f"x{i}" for i in range(400)]]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate(texts)], SCHEMA)
+    monkeypatch.setattr(near_copies, "links", lambda classes, n: classes.crossJoin(classes.toDF("b", "other")).select(classes["fp"].alias("a"), "b"))
+    real = near_copies.signatures
+    monkeypatch.setattr(near_copies, "signatures", lambda docs, keep: real(docs, keep).withColumn("buckets", F.array(F.xxhash64("node"))))
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
