@@ -544,3 +544,26 @@ def test_exceptions_at_once_and_in_order(spark):
     pairs = translit.directed(data.EXCEPTIONS, True)
     texts += [" ".join((f, f.upper(), f.capitalize(), f + "x")) for f, _ in pairs]
     assert values(spark, texts, lambda w: translit.apply_exceptions(w, data.EXCEPTIONS, True)) == values(spark, texts, lambda w: translit._one_by_one(w, pairs))
+
+
+def test_script_is_counted_once_a_text(spark):
+    """Letters are counted as before, and a conversion counts them, and looks for exceptions, once."""
+    texts = ["Salom, дунё!", "ſtraße ҚҲқҳ Ёё ўЎ", "", None, "🙂aЯ𝐀", "ѐѓ àé", "iPhone vaqti", "aPi", "Rapid apis", "salom dunyo ёз"]
+    latin, cyrillic = (lambda w: None if w is None else sum(c.isascii() and c.isalpha() for c in w)), (lambda w: None if w is None else sum("а" <= c <= "я" or "А" <= c <= "Я" or c in "ёЁўЎғҒҳҲқҚ" for c in w))
+    assert values(spark, texts, T.count_latin) == list(map(latin, texts)) and values(spark, texts, T.count_cyrillic) == list(map(cyrillic, texts))
+    got = values(spark, texts, lambda w: translit.switch_script(w, "Cyrillic", data.EXCEPTIONS))
+    assert got == ["Салом, дунё!", "ſтраßе ҚҲқҳ Ёё ўЎ", "", None, "🙂aЯ𝐀", "ѐѓ àé", "ипҳоне вақти", "апи", "Рапид апис", "салом дунё ёз"]
+    plan = spark.createDataFrame([("a",)], "w string").select(translit.switch_script(F.col("w"), "Cyrillic", data.EXCEPTIONS).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(T.LATIN_LETTERS) == plan.count(T.CYRILLIC_LETTERS) == 1
+    assert plan.count(translit._seen(translit.directed(data.EXCEPTIONS, True))) == 1
+
+
+def test_exceptions_are_found_in_any_case(spark):
+    """What is looked for first is found wherever the exceptions are: letters that only equal others without case, and at edges."""
+    exceptions = [{"original": "kilo six", "replacement": "кило олти"}, {"original": "straße", "replacement": "кўча"}, {"original": "'tis", "replacement": "шу"}, {"original": "tis", "replacement": "тис"}]
+    texts = ["KİLO", "Kilo ſix", "KILO SIX", "xkilo six", "яkilo six", "-kilo six-", "Straße STRASSE", "it's 'tis", "a'tis", "Kılo sıx"]
+    pairs = translit.directed(exceptions, True)
+    free = translit.independent(pairs)
+    one = lambda w: translit._one_by_one(translit._all_at_once(w, [p for p, x in zip(pairs, free, strict=True) if x]), [p for p, x in zip(pairs, free, strict=True) if not x])
+    got = values(spark, texts, lambda w: translit.apply_exceptions(w, exceptions, True))
+    assert got == values(spark, texts, one) and sum(a != b for a, b in zip(texts, got, strict=True)) >= 4
