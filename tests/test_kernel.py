@@ -567,3 +567,15 @@ def test_exceptions_are_found_in_any_case(spark):
     one = lambda w: translit._one_by_one(translit._all_at_once(w, [p for p, x in zip(pairs, free, strict=True) if x]), [p for p, x in zip(pairs, free, strict=True) if not x])
     got = values(spark, texts, lambda w: translit.apply_exceptions(w, exceptions, True))
     assert got == values(spark, texts, one) and sum(a != b for a, b in zip(texts, got, strict=True)) >= 4
+
+
+def test_whole_texts_to_latin(spark, monkeypatch):
+    """A whole text is what its letter runs are, one by one, and only texts with odd letters are cut into runs."""
+    rng = random.Random(5)
+    odd = list("абвгдеёжцшщъыьэюяўғқҳі" * 4 + "abeghoʻ'" * 3 + "ßİıſKϴΣσςǅẞªʰⒶⅣ𝐀𝐐中é😀́ \n-1" + " " * 12) + ["сентябрь", "октябр", "Ье", "Еш", "аЦ", "ац"]
+    texts = ["", None, "Шаҳар ШАҲАР шаҲар Я яЯ Ер ЕР ель Поезд ПОЕЗД циркЦ АЦЕТ ацет Ацет Ььa", "Сентябрь ОКТЯБР сенТябрь тябр", "ШЕ Ше шЕ Ёе Щʻа Щʻ"]
+    texts += ["".join(c.upper() if rng.random() < p else c for c in rng.choices(odd, k=rng.choice([3, 12, 40]))) for p in (0, 0.1, 0.5, 1) for _ in range(500)]
+    assert values(spark, texts, translit.to_latin) == values(spark, texts, translit._runs_to_latin)
+
+    monkeypatch.setattr(translit, "_runs_to_latin", lambda t: F.lit("run by run"))
+    assert values(spark, ["Тошкент шаҳрида ЯНГИ йил; поездЛАР — Ер", "oʻzbek «ñandú» ΣΑΣ 🙂 中", "Ья", "ǅ"], translit.to_latin) == ["Toshkent shahrida YANGI yil; poyezdlar — Yer", "oʻzbek «ñandú» ΣΑΣ 🙂 中", "run by run", "run by run"]
