@@ -36,7 +36,7 @@ def autocorrect(events: DataFrame, lexicon: DataFrame, best: DataFrame) -> DataF
     """
     words = typed_words(events).join(lexicon.select(F.col("word").alias("_w")), F.col("normalized") == F.col("_w"), "left_anti")
     sure = best.where(suggest.live_threshold(F.col("distance"), F.col("score"))).select(F.col("query").alias("_q"), "suggestion", "distance")
-    return words.join(sure, F.col("normalized") == F.col("_q")).drop("_q").withColumn("replacement", T.keep_case(F.col("typed"), F.col("suggestion"))).drop("suggestion")
+    return words.join(sure, F.col("normalized") == F.col("_q")).drop("_q").withColumn("replacement", T.keep_first_case(F.col("typed"), F.col("suggestion"))).drop("suggestion")
 
 
 def once_per_place(words: DataFrame, keys: list[str], time: str, within: str = "10 minutes") -> DataFrame:

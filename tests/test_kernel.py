@@ -384,6 +384,15 @@ def test_autocorrect_keeps_case_of_sharp_s(spark):
     assert [r.replacement for r in got.orderBy("conv_id").collect()] == ["ẞgnuuzhcs", "GNUUZHẞS"]
 
 
+def test_autocorrect_capitalizes_after_any_capital(spark):
+    from corpusloom.streaming import autocorrect
+
+    turns = spark.createDataFrame([(1, "die SSer "), (2, "iPod "), (3, "Gnudl "), (4, "GNUDL "), (5, "STRAßE ")], "conv_id long, text string")
+    best = spark.createDataFrame([("sser", "ress", 1, 0.9), ("ipod", "dopi", 1, 0.9), ("gnudl", "ldung", 1, 0.9), ("straße", "eßarts", 1, 0.9)], "query string, suggestion string, distance int, score double")
+    got = autocorrect.autocorrect(turns, spark.createDataFrame([], "word string"), best)
+    assert [r.replacement for r in got.orderBy("conv_id").collect()] == ["Ress", "dopi", "Ldung", "LDUNG", "Eßarts"]
+
+
 def test_near_words_meet_by_most_of_their_letters(spark):
     """Short and long words against all pairs; of words that share common segments, few that aren't near meet."""
     from corpusloom.operators import near_words
