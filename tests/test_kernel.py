@@ -413,6 +413,27 @@ def test_near_words_meet_by_most_of_their_letters(spark):
     assert {(x.query, x.word) for x in near_words.near_pairs(q, w).where("steps <= 3").collect()} >= {(a, b) for a in alike for b in alike if osa(a, b) <= 3}
 
 
+def test_gated_pairs_are_brute_force(spark, monkeypatch):
+    """Blocks, tables and chunks of any size find the same pairs: all that are near and share enough bigrams, repeats multiplied."""
+    import pyarrow as pa
+
+    from corpusloom.operators import gated_words as G
+
+    r = random.Random(9)
+    words = sorted({"".join(r.choice(["ha", "en", "ßa", "t", "語", "𝒂b"]) for _ in range(r.choice([1, 2, 4, 5, 6]))) for _ in range(250)} | {"a" * k for k in (1, 2, 15, 16, 19)})
+    grams = lambda w: [w[i : i + 2] for i in range(len(w) - 1)]
+    shares = lambda q, w: sum(grams(w).count(g) for g in grams(q))
+    asks = [(w, BOUND(w)) for w in words if len(w) <= G.LONG]
+    want = {(q, w, osa(q, w)) for q, t in asks for w in words if 0 < osa(q, w) <= t and shares(q, w) >= len(q) - 1 - t}
+    got = G.gated_pairs(spark.createDataFrame(asks, "query string, reach int"), spark.createDataFrame([(w,) for w in words], "word string")).collect()
+    assert len(got) == len(want) > 200 and {tuple(x) for x in got} == want
+    for name, value in {"WIDTH": 24, "ROWS": 3, "PAIRS": 7}.items():
+        monkeypatch.setattr(G, name, value)
+    own = lambda n: pa.array([w for w in words if len(w) == n])
+    small = {tuple(x.values()) for n in range(1, 17) for m in range(max(1, n - 3), n + 4) if len(own(n)) and len(own(m)) for b in G.near(own(n), own(m), n, m, 1 if n <= 4 else 2 if n <= 8 else 3) for x in b.to_pylist()}
+    assert small == {x for x in want if abs(len(x[0]) - len(x[1])) <= BOUND(x[0])}
+
+
 def test_learned_words_are_counted_before_they_are_converted(spark):
     events = spark.createDataFrame([("kitb", "Kitob ", None, "uy"), ("китб", "китоб", "bu", "уй"), ("kitb", "kitob", "бу", ""), ("!", "kitob", "bu", "uy")], "source string, replacement string, prev string, next string")
     got = language_model.learn(events)
